@@ -89,13 +89,14 @@ def interaction_features(ratings: DataFrame, users: DataFrame, items: DataFrame)
     """Ratings with their user's and item's features and the cross features.
 
     Neither side is hinted: the planner broadcasts what it measures as small and
-    splits the partitions of hot users or items otherwise.
+    splits the partitions of hot users or items otherwise. Users come last, so the
+    result leaves partitioned by user, ready for a per-user window.
     """
     extra_user = [c for c in ("user_idx",) if c in users.columns]
     extra_item = [c for c in ("item_idx",) if c in items.columns]
     return (
-        ratings.join(users.select("userId", *USER_JOIN_COLUMNS, *extra_user), "userId", "left")
-        .join(items.select("movieId", *ITEM_JOIN_COLUMNS, *extra_item), "movieId", "left")
+        ratings.join(items.select("movieId", *ITEM_JOIN_COLUMNS, *extra_item), "movieId", "left")
+        .join(users.select("userId", *USER_JOIN_COLUMNS, *extra_user), "userId", "left")
         .withColumns(cross_features())
     )
 

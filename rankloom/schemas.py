@@ -3,23 +3,53 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    ArrayType,
+    BooleanType,
+    DataType,
+    DoubleType,
+    FloatType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructType,
+)
+
+_TYPES: dict[str, DataType] = {
+    "INT": IntegerType(),
+    "BIGINT": LongType(),
+    "FLOAT": FloatType(),
+    "DOUBLE": DoubleType(),
+    "STRING": StringType(),
+    "BOOLEAN": BooleanType(),
+    "ARRAY<FLOAT>": ArrayType(FloatType()),
+}
+
+
+def _columns(text: str) -> StructType:
+    """Schema from "name TYPE, ..." without needing a session at import time."""
+    schema = StructType()
+    for column in text.split(", "):
+        name, kind = column.split(" ")
+        schema.add(name, _TYPES[kind])
+    return schema
+
 
 # Column names and types of the exchanged tables.
-RATINGS = StructType.fromDDL("userId INT, movieId INT, rating FLOAT, timestamp BIGINT")
-ITEMS = StructType.fromDDL("movieId INT, title STRING, genres STRING")
-TAGS = StructType.fromDDL("userId INT, movieId INT, tag STRING, timestamp BIGINT")
-LINKS = StructType.fromDDL("movieId INT, imdbId STRING, tmdbId INT")
-USER_FEATURES = StructType.fromDDL(
+RATINGS = _columns("userId INT, movieId INT, rating FLOAT, timestamp BIGINT")
+ITEMS = _columns("movieId INT, title STRING, genres STRING")
+TAGS = _columns("userId INT, movieId INT, tag STRING, timestamp BIGINT")
+LINKS = _columns("movieId INT, imdbId STRING, tmdbId INT")
+USER_FEATURES = _columns(
     "userId INT, user_avg_rating DOUBLE, user_rating_count INT, user_rating_stddev DOUBLE, "
     "user_active_days INT, user_genre_diversity INT, user_avg_timestamp DOUBLE, "
     "user_positive_ratio DOUBLE"
 )
-ITEM_FEATURES = StructType.fromDDL(
+ITEM_FEATURES = _columns(
     "movieId INT, item_avg_rating DOUBLE, item_rating_count INT, item_rating_stddev DOUBLE, "
     "item_genre_count INT, item_recency_score DOUBLE, item_popularity_rank INT"
 )
-INTERACTIONS = StructType.fromDDL(
+INTERACTIONS = _columns(
     "userId INT, movieId INT, rating FLOAT, timestamp BIGINT, "
     "user_avg_rating DOUBLE, user_rating_count INT, user_rating_stddev DOUBLE, "
     "user_genre_diversity INT, user_avg_timestamp DOUBLE, user_positive_ratio DOUBLE, "
@@ -28,11 +58,11 @@ INTERACTIONS = StructType.fromDDL(
     "rating_deviation DOUBLE, popularity_alignment BIGINT, user_idx INT, item_idx INT, "
     "split STRING"
 )
-LABELLED = StructType.fromDDL("user_idx INT, item_idx INT, label FLOAT")
-CANDIDATES = StructType.fromDDL("user_idx INT, item_idx INT, is_positive BOOLEAN")
-FACTORS = StructType.fromDDL("id INT, features ARRAY<FLOAT>, bias FLOAT")
-DISTRIBUTIONS = StructType.fromDDL("feature STRING, value DOUBLE")
-RUN_METRICS = StructType.fromDDL(
+LABELLED = _columns("user_idx INT, item_idx INT, label FLOAT")
+CANDIDATES = _columns("user_idx INT, item_idx INT, is_positive BOOLEAN")
+FACTORS = _columns("id INT, features ARRAY<FLOAT>, bias FLOAT")
+DISTRIBUTIONS = _columns("feature STRING, value DOUBLE")
+RUN_METRICS = _columns(
     "run_id STRING, model_type STRING, metric STRING, value DOUBLE, step BIGINT"
 )
 
