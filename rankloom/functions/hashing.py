@@ -22,11 +22,18 @@ SHIFT_A = 1_664_525_021
 SHIFT_B = 1_013_904_223
 
 
-def seeded_hash(seed: int, *cols: Column | str) -> Column:
-    """BIGINT in [0, 2**31) that depends on ``seed`` and every column, in order."""
-    x = F.lit(seed % PRIME_A).cast("bigint")
-    for c in cols:
-        value = (F.col(c) if isinstance(c, str) else c).cast("bigint")
-        x = F.pmod(x * F.lit(FOLD) + value, F.lit(PRIME_A))
-    x = x * (x + F.lit(SHIFT_A)) % F.lit(PRIME_B)
-    return x * (x + F.lit(SHIFT_B)) % F.lit(PRIME_A)
+def seeded_hash_sql(seed: int, *values: str) -> str:
+    """SQL text of :func:`seeded_hash`."""
+    x = f"{seed % PRIME_A}L"
+    for v in values:
+        x = f"pmod({x} * {FOLD}L + bigint({v}), {PRIME_A}L)"
+    x = f"({x} * ({x} + {SHIFT_A}L) % {PRIME_B}L)"
+    return f"({x} * ({x} + {SHIFT_B}L) % {PRIME_A}L)"
+
+
+def seeded_hash(seed: int, *values: str) -> Column:
+    """BIGINT in [0, 2**31) that depends on ``seed`` and every value, in order.
+
+    Values are column names or SQL expressions of an integer type.
+    """
+    return F.expr(seeded_hash_sql(seed, *values))

@@ -20,7 +20,7 @@ ID_CELL_BITS = 16
 
 def prefix_sums(
     df: DataFrame,
-    value: str,
+    value: str | Sequence[str],
     weights: Sequence[str],
     cell: Column,
     keys: Sequence[str] = (),
@@ -28,7 +28,8 @@ def prefix_sums(
 ) -> DataFrame:
     """Add ``<w>_before``: the sum of ``w`` over rows of the group with a smaller ``value``.
 
-    ``df`` holds one row per (keys, value). ``cell`` maps values to bounded integers
+    ``value`` names one column or several that are compared in turn. ``df`` holds one
+    row per (keys, value). ``cell`` maps values to bounded integers
     without breaking their order. With ``descending`` "smaller" reads "larger".
     """
     direction = F.desc if descending else F.asc
@@ -41,7 +42,8 @@ def prefix_sums(
         "_cell",
         *[F.coalesce(F.sum(f"_{w}_cell").over(across), F.lit(0)).alias(f"_{w}_start") for w in weights],
     )
-    inside = before.partitionBy(*keys, "_cell").orderBy(direction(value))
+    values = [value] if isinstance(value, str) else value
+    inside = before.partitionBy(*keys, "_cell").orderBy(*[direction(v) for v in values])
     joined = df.join(starts, [*keys, "_cell"])
     return joined.withColumns(
         {

@@ -14,7 +14,7 @@ from __future__ import annotations
 from functools import reduce
 from math import gcd
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.config import (
@@ -26,7 +26,7 @@ from rankloom.config import (
     NEGATIVES_VAL,
     SEED,
 )
-from rankloom.functions.hashing import seeded_hash
+from rankloom.functions.hashing import seeded_hash, seeded_hash_sql
 
 # Number of different strides users are spread over.
 STRIDES = 64
@@ -46,26 +46,26 @@ def walk_strides(n_items: int) -> list[int]:
 class Walk:
     """The per-user permutation of [0, n_items) as column expressions."""
 
-    def __init__(self, n_items: int, seed: int, user: str = "user_idx"):
+    def __init__(self, n_items: int, seed: int):
         if n_items < 1:
             raise ValueError("n_items must be positive")
         strides = walk_strides(n_items)
-        slot = F.pmod(seeded_hash(seed, user), F.lit(STRIDES)).cast("int")
-        self._n = F.lit(n_items).cast("bigint")
-        self._stride = F.array(*[F.lit(s).cast("bigint") for s in strides])[slot]
-        self._inverse = F.array(*[F.lit(pow(s, -1, n_items)).cast("bigint") for s in strides])[slot]
-        self._offset = F.pmod(seeded_hash(seed + 1, user), self._n)
+        slot = f"int({seeded_hash_sql(seed, 'user_idx')} % {STRIDES})"
+        offset = f"({seeded_hash_sql(seed + 1, 'user_idx')} % {n_items}L)"
+        inverse = _choice([pow(s, -1, n_items) for s in strides], slot)
+        self.stride = F.expr(_choice(strides, slot))
+        self.offset = F.expr(offset)
+        self.step = F.expr(f"pmod(pmod(bigint(item_idx) - {offset}, {n_items}L) * {inverse}, {n_items}L)")
 
-    def step_of(self, item: Column) -> Column:
-        return F.pmod(F.pmod(item.cast("bigint") - self._offset, self._n) * self._inverse, self._n)
 
-    def item_at(self, step: Column) -> Column:
-        return F.pmod(step * self._stride + self._offset, self._n).cast("int")
+def _choice(values: list[int], slot: str) -> str:
+    """SQL text that picks one of the listed values; the array is a constant of the plan."""
+    return f"array({', '.join(f'{v}L' for v in values)})[{slot}]"
 
 
 def distinct_pairs(interactions: DataFrame) -> DataFrame:
     """(user_idx, item_idx) without repeats; copies of a pair collapse before the shuffle."""
-    return interactions.select("user_idx", "item_idx").distinct()
+    return interactions.select("user_idx", "item_idx").dropna().distinct()
 
 
 def seen_pairs(*splits: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def sample_unseen(
     # The walk cannot be longer than this; excluded items met later do not matter.
     demand = demand.where("want > 0").withColumn("_end", F.col("want") + F.col("n_excluded"))
     met = (
-        excluded.withColumn("_step", walk.step_of(F.col("item_idx")))
+        excluded.withColumn("_step", walk.step)
         .join(demand, "user_idx")
         .where(F.col("_step") < F.col("_end"))
         .select("user_idx", "want", "_step")
@@ -102,17 +102,24 @@ def sample_unseen(
     gaps = _gaps(stops, n_items, max_group_rows)
     free_before = F.col("_previous") + 1 - F.col("_met")
     length = F.least(F.col("_step") - F.col("_previous") - 1, F.col("want") - free_before)
+    # Stride and offset are worked out once per run and carried to its steps.
     runs = (
-        gaps.select("user_idx", (F.col("_previous") + 1).alias("_from"), length.alias("_length"))
+        gaps.select(
+            "user_idx",
+            walk.stride.alias("_stride"),
+            walk.offset.alias("_offset"),
+            (F.col("_previous") + 1).alias("_from"),
+            length.alias("_length"),
+        )
         .where("_length > 0")
         .withColumn("_to", F.col("_from") + F.col("_length") - 1)
     )
-    pieces = runs.select(
-        "user_idx", "_to", F.explode(F.sequence("_from", "_to", F.lit(EXPLODE_CHUNK).cast("bigint"))).alias("_start")
+    pieces = runs.withColumn("_start", F.expr(f"explode(sequence(_from, _to, {EXPLODE_CHUNK}L))"))
+    steps = pieces.withColumn(
+        "_k", F.expr(f"explode(sequence(_start, least(_to, _start + {EXPLODE_CHUNK - 1}L)))")
     )
-    stop = F.least(F.col("_to"), F.col("_start") + (EXPLODE_CHUNK - 1))
-    steps = pieces.select("user_idx", F.explode(F.sequence(F.col("_start"), stop)).alias("_k"))
-    return steps.select("user_idx", walk.item_at(F.col("_k")).alias("item_idx"))
+    item = F.expr(f"int((_k * _stride + _offset) % {n_items}L)")
+    return steps.select("user_idx", item.alias("item_idx"))
 
 
 def _gaps(stops: DataFrame, n_items: int, max_group_rows: int) -> DataFrame:
