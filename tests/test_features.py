@@ -1,0 +1,144 @@
+from __future__ import annotations
+
+import math
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from rankloom import schemas
+from rankloom.operators import features
+from rankloom.operators.cold_start import filter_cold_start
+from rankloom.operators.indexing import index_map, remap_ids
+from rankloom.operators.ordering import dense_rank_desc
+from tests.conftest import RATINGS, plan_text
+
+DAY = 86_400
+
+
+def test_cold_start_thresholds(random_ratings):
+    kept = filter_cold_start(random_ratings, 8, 15)
+    rows = [(r["userId"], r["movieId"]) for r in random_ratings.collect()]
+    users, items = Counter(u for u, _ in rows), Counter(i for _, i in rows)
+    want = sorted((u, i) for u, i in rows if users[u] >= 8 and items[i] >= 15)
+    assert 0 < len(want) < len(rows)
+    assert sorted((r["userId"], r["movieId"]) for r in kept.collect()) == want
+
+
+def test_cold_start_is_one_pass(spark):
+    # Item 1 keeps only user 1's rating; it stays although it is then below the threshold.
+    rows = [(1, 1, 3.0, 0), (1, 2, 3.0, 0), (2, 1, 3.0, 0), (3, 2, 3.0, 0), (None, 1, 1.0, 0)]
+    kept = filter_cold_start(spark.createDataFrame(rows, RATINGS), 2, 2)
+    assert sorted((r["userId"], r["movieId"]) for r in kept.collect()) == [(1, 1), (1, 2)]
+
+
+@pytest.fixture(scope="module")
+def tiny(spark):
+    ratings = spark.createDataFrame(
+        [
+            (1, 1, 4.0, DAY - 1),
+            (1, 2, 2.0, DAY),
+            (1, 3, 5.0, 3 * DAY),
+            (2, 1, 3.0, 10),
+            (3, 9, 4.5, 20),
+            (3, 4, None, 20),
+        ],
+        RATINGS,
+    )
+    items = spark.createDataFrame(
+        [(1, "a", "X|Y"), (2, "b", "Y"), (3, "c", ""), (4, "d", None)],
+        "movieId int, title string, genres string",
+    )
+    return ratings, items
+
+
+def test_user_features(tiny):
+    rows = {r["userId"]: r for r in features.user_features(*tiny).collect()}
+    one = rows[1]
+    assert one["user_avg_rating"] == pytest.approx(11 / 3)
+    assert one["user_rating_stddev"] == pytest.approx(math.sqrt(14 / 3 / 2))
+    assert one["user_rating_count"] == 3
+    # Days are calendar days: one second before midnight is the day before.
+    assert one["user_active_days"] == 3
+    # X, Y and the empty genre string.
+    assert one["user_genre_diversity"] == 3
+    assert one["user_positive_ratio"] == pytest.approx(2 / 3)
+    assert one["user_avg_timestamp"] == pytest.approx((DAY - 1 + DAY + 3 * DAY) / 3)
+    assert (rows[2]["user_rating_stddev"], rows[2]["user_genre_diversity"]) == (0.0, 2)
+    # Item 9 is unknown and item 4 has no genres; the missing rating is not counted.
+    assert (rows[3]["user_genre_diversity"], rows[3]["user_rating_count"]) == (0, 1)
+
+
+def test_item_features(tiny):
+    rows = {r["movieId"]: r for r in features.item_features(*tiny).collect()}
+    assert rows[1]["item_popularity_rank"] == 1
+    assert {rows[i]["item_popularity_rank"] for i in (2, 3, 9)} == {2}
+    assert rows[4]["item_popularity_rank"] == 3
+    assert [rows[i]["item_genre_count"] for i in (1, 2, 3, 4, 9)] == [2, 1, 1, 0, 0]
+    assert rows[3]["item_recency_score"] == 1.0
+    assert rows[9]["item_recency_score"] == pytest.approx(math.exp(-1e-7 * (3 * DAY - 20)))
+    assert rows[1]["item_rating_stddev"] == pytest.approx(math.sqrt(0.5))
+
+
+def test_schemas_of_feature_tables(tiny):
+    assert features.user_features(*tiny).dtypes == [(f.name, f.dataType.simpleString()) for f in schemas.USER_FEATURES]
+    assert features.item_features(*tiny).dtypes == [(f.name, f.dataType.simpleString()) for f in schemas.ITEM_FEATURES]
+
+
+def test_cross_features(spark, tiny):
+    users, items = features.user_features(*tiny), features.item_features(*tiny)
+    rows = {
+        (r["userId"], r["movieId"]): r for r in features.interaction_features(tiny[0], users, items).collect()
+    }
+    assert len(rows) == 6
+    assert rows[1, 1]["rating_deviation"] == pytest.approx(4 - 11 / 3)
+    assert rows[1, 1]["popularity_alignment"] == 6
+
+
+def test_large_counts_do_not_overflow(spark):
+    df = spark.createDataFrame([(1.0, 1.0, 70_000, 70_000)], "rating float, user_avg_rating double, user_rating_count int, item_rating_count int")
+    assert df.withColumns(features.cross_features()).first()["popularity_alignment"] == 4_900_000_000
+
+
+def test_distributions(tiny):
+    users, items = features.user_features(*tiny), features.item_features(*tiny)
+    counts = {r["feature"]: r["count"] for r in features.distributions(users, items).groupBy("feature").count().collect()}
+    assert counts == {
+        "user_avg_rating": 3,
+        "user_rating_count": 3,
+        "item_avg_rating": 5,
+        "item_rating_count": 5,
+        "item_recency_score": 5,
+    }
+
+
+@pytest.mark.parametrize("ids", [[5], [0, 1, 2], [-70_000, -1, 0, 65_535, 65_536, 2_147_483_647, 131_072, 7]])
+def test_index_is_contiguous_in_id_order(spark, ids):
+    df = spark.createDataFrame([(i,) for i in ids * 3], "userId int")
+    got = {r["userId"]: r["user_idx"] for r in index_map(df, "userId", "user_idx").collect()}
+    assert got == {v: n for n, v in enumerate(sorted(ids))}
+
+
+def test_remap_keeps_rows(random_ratings):
+    mapped, users, items = remap_ids(random_ratings)
+    assert mapped.count() == 500
+    top = mapped.agg(F.max("user_idx"), F.max("item_idx"), F.min("user_idx")).first()
+    assert tuple(top) == (users.count() - 1, items.count() - 1, 0)
+
+
+def test_dense_rank_across_cells(spark):
+    values = [1, 1, 5, 70_000, 70_000, 200_000]
+    df = spark.createDataFrame([(v,) for v in values], "n bigint")
+    got = {r["n"]: r["r"] for r in dense_rank_desc(df, "n", "r").collect()}
+    assert got == {200_000: 1, 70_000: 2, 5: 3, 1: 4}
+
+
+def test_plan_has_no_python_and_orders_only_cells(random_ratings, small_items):
+    users = index_map(random_ratings, "userId", "user_idx")
+    text = plan_text(features.user_features(random_ratings, small_items)) + plan_text(users)
+    assert "Python" not in text
+    # The only single-partition exchange carries cell totals.
+    single = [line for line in plan_text(users).splitlines() if "SinglePartition" in line]
+    assert len(single) == 1
+    after = plan_text(users).split("SinglePartition", 1)[1].splitlines()[1]
+    assert "HashAggregate(keys=[_cell" in after

@@ -1,0 +1,154 @@
+"""Estimators, and the stages strung together on synthetic data."""
+
+from __future__ import annotations
+
+import json
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from rankloom import schemas
+from rankloom.config import FeatureConfig
+from rankloom.operators import metrics, models, runs
+from rankloom.plans import feature_plan, training_plan
+from rankloom.sources import readers
+from tests.conftest import RATINGS, plan_text
+
+
+@pytest.fixture(scope="module")
+def raw(spark):
+    """100 users in two taste groups, 200 items; times rise within a user."""
+    rng = np.random.default_rng(42)
+    rows = []
+    for user in range(1, 101):
+        liked = rng.choice(100, int(rng.integers(15, 31)), replace=False) + 100 * (user % 2)
+        when = 1_000_000_000
+        for item in liked:
+            when += int(rng.integers(1_000, 100_000))
+            rows.append((user, int(item) + 1, float(rng.integers(1, 11)) / 2, when))
+    items = [(i, f"Item {i}", "|".join(rng.choice(["A", "B", "C", "D"], 2, replace=False))) for i in range(1, 201)]
+    return (
+        spark.createDataFrame(rows, RATINGS),
+        spark.createDataFrame(items, "movieId int, title string, genres string"),
+    )
+
+
+CONFIG = FeatureConfig(min_user_ratings=5, min_item_ratings=3)
+
+
+@pytest.fixture(scope="module")
+def written(raw, tmp_path_factory):
+    out = str(tmp_path_factory.mktemp("features"))
+    return out, feature_plan.run(*raw, out, CONFIG)
+
+
+def test_outputs(spark, raw, written):
+    out, facts = written
+    table = spark.read.parquet(f"{out}/interactions")
+    assert sorted(table.dtypes) == sorted((f.name, f.dataType.simpleString()) for f in schemas.INTERACTIONS)
+    assert len(table.columns) == 21
+    counts = {r["split"]: r["count"] for r in table.groupBy("split").count().collect()}
+    assert counts == {s: facts[f"{s}_count"] for s in ("train", "val", "test")}
+    assert facts["n_users"] == spark.read.parquet(f"{out}/user_features").count() == 100
+    assert facts["n_items"] == table.agg(F.max("item_idx")).first()[0] + 1
+    nulls = table.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in table.columns]).first()
+    assert not any(nulls)
+    assert spark.read.parquet(f"{out}/baseline_distributions").select("feature").distinct().count() == 5
+    stored = spark.read.json(f"{out}/feature_manifest").first().asDict()
+    assert stored == json.loads(json.dumps(facts))
+
+
+def test_splits_are_pruned(spark, written):
+    text = plan_text(readers.load_interactions(spark, f"{written[0]}/interactions", "val"))
+    assert "PartitionFilters: [isnotnull(split" in text
+
+
+def test_pair_sets_of_splits_do_not_meet(spark, written):
+    read = lambda s: readers.load_interactions(spark, f"{written[0]}/interactions", s).select("user_idx", "item_idx")
+    assert read("train").intersect(read("test")).isEmpty()
+
+
+def test_train_scope(raw):
+    """Features of the training part only: later ratings leave no trace."""
+    tables = feature_plan.build(*raw, FeatureConfig(5, 3, feature_scope="train"))
+    n = tables.interactions.where("split = 'train'").groupBy("userId").count()
+    joined = tables.users.join(n, "userId")
+    assert joined.where("user_rating_count <> count").isEmpty()
+    full = feature_plan.build(*raw, CONFIG)
+    assert full.interactions.select("userId", "movieId", "split").exceptAll(
+        tables.interactions.select("userId", "movieId", "split")
+    ).isEmpty()
+    with pytest.raises(ValueError, match="feature_scope"):
+        FeatureConfig(feature_scope="test")
+
+
+def test_hot_user_takes_the_counting_path(raw):
+    small = feature_plan.build(*raw, FeatureConfig(5, 3, max_group_rows=20))
+    plain = feature_plan.build(*raw, CONFIG)
+    keys = ("userId", "movieId", "user_idx", "item_idx", "split")
+    assert small.interactions.select(*keys).exceptAll(plain.interactions.select(*keys)).isEmpty()
+
+
+def test_feature_plan_stays_in_the_jvm(raw):
+    text = plan_text(feature_plan.build(*raw, CONFIG).interactions)
+    assert "Python" not in text and "SinglePartition" not in text
+
+
+@pytest.fixture(scope="module")
+def data(spark, written):
+    return training_plan.prepare(readers.load_interactions(spark, f"{written[0]}/interactions"))
+
+
+@pytest.fixture(scope="module")
+def als(data):
+    return models.fit_als(data.train.where("label = 1"), dim=8, max_iter=5)
+
+
+def test_mf_learns_and_reloads(spark, data, tmp_path):
+    model = models.fit_mf(data.train, data.n_users, data.n_items, dim=4, max_iter=60)
+    assert (model.users.count(), model.items.count()) == (data.n_users, data.n_items)
+    scored = model.score(data.validation)
+    assert scored.count() == data.validation.count()
+    assert scored.where("score < 0 OR score > 1").isEmpty()
+    assert metrics.binary_metrics(scored).first()["auc"] > 0.6
+    model.save(str(tmp_path / "mf"))
+    again = models.FactorModel.load(spark, str(tmp_path / "mf")).score(data.validation)
+    assert scored.exceptAll(again).isEmpty()
+
+
+def test_mf_refuses_what_the_driver_cannot_hold(data):
+    with pytest.raises(ValueError, match="use fit_als"):
+        models.fit_mf(data.train, 10**9, 10**6)
+
+
+def test_als_ranks_above_chance(als, data):
+    report = {r["metric"]: r["value"] for r in training_plan.evaluate(als, data).collect()}
+    assert report["HR@20"] >= report["HR@10"] >= report["HR@5"] >= report["NDCG@5"]
+    # 100 candidates: chance is 0.1.
+    assert report["HR@10"] > 0.12
+    assert 0 < report["Coverage@10"] <= 1
+
+
+def test_ncf_learns_and_reloads(spark, als, data, tmp_path):
+    model = models.fit_ncf(data.train, als, hidden=(16, 8), max_iter=40)
+    scored = model.score(data.validation)
+    assert scored.where("score < 0 OR score > 1").isEmpty()
+    assert metrics.binary_metrics(scored).first()["auc"] > 0.6
+    model.save(str(tmp_path / "ncf"))
+    again = models.NcfModel.load(spark, str(tmp_path / "ncf")).score(data.validation)
+    assert scored.exceptAll(again).isEmpty()
+
+
+def test_selection(als, data):
+    flat = models.FactorModel(als.users, als.items, -9.0, als.dim)
+    best, reports = models.select_model({"als": als, "flat": flat}, data.validation)
+    losses = {r["model"]: r["log_loss"] for r in reports.collect()}
+    assert best == min(losses, key=losses.get)
+
+
+def test_report_feeds_the_gate(spark, als, data):
+    values = {r["metric"]: r["value"] for r in training_plan.evaluate(als, data).collect()}
+    finals = runs.last_values(runs.metric_rows(spark, "new", "als", values))
+    none = spark.createDataFrame([], "metric string, value double")
+    assert runs.promotion_gate(finals, none).first()["promoted"]

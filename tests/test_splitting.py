@@ -1,0 +1,65 @@
+from __future__ import annotations
+
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from rankloom.operators.splitting import temporal_split
+
+SCHEMA = "userId int, movieId int, rating float, timestamp bigint, line int"
+ORDER = ("timestamp", "movieId", "line")
+
+
+def history(spark, seed, sizes, distinct_times=20):
+    rng = np.random.default_rng(seed)
+    rows, line = [], 0
+    for user, size in sizes.items():
+        for _ in range(size):
+            when = int(rng.integers(0, distinct_times)) * 100_003 - 500_000
+            rows.append((user, int(rng.integers(0, 100_000)), 3.0, when, line))
+            line += 1
+    return rows, spark.createDataFrame(rows, SCHEMA)
+
+
+def brute(rows):
+    by_user = defaultdict(list)
+    for r in rows:
+        by_user[r[0]].append((r[3], r[1], r[4]))
+    want = {}
+    for keys in by_user.values():
+        n = len(keys)
+        for place, key in enumerate(sorted(keys), 1):
+            want[key[2]] = "train" if place <= n * 8 // 10 else "val" if place <= n * 9 // 10 else "test"
+    return want
+
+
+@pytest.mark.parametrize("limit", [10**6, 30, 0])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_equals_sorting(spark, seed, limit):
+    """Also with a user of a third of all rows and users cut by counting instead of sorting."""
+    rows, df = history(spark, seed, {1: 1, 2: 2, 3: 9, 4: 10, 5: 31, 6: 200, 7: 347})
+    got = {r["line"]: r["split"] for r in temporal_split(df, order=ORDER, max_group_rows=limit).collect()}
+    assert got == brute(rows)
+
+
+def test_one_timestamp_for_everything(spark):
+    rows, df = history(spark, 3, {1: 500, 2: 10}, distinct_times=1)
+    got = {r["line"]: r["split"] for r in temporal_split(df, order=ORDER, max_group_rows=50).collect()}
+    assert got == brute(rows)
+    assert Counter(got.values()) == {"train": 408, "val": 51, "test": 51}
+
+
+def test_no_leak_over_time(spark, random_ratings):
+    ends = defaultdict(lambda: {"train": [], "val": [], "test": []})
+    for r in temporal_split(random_ratings).collect():
+        ends[r["userId"]][r["split"]].append(r["timestamp"])
+    for parts in ends.values():
+        for early, late in (("train", "val"), ("val", "test"), ("train", "test")):
+            if parts[early] and parts[late]:
+                assert max(parts[early]) <= min(parts[late])
+
+
+def test_one_row_user_is_test(spark):
+    _, df = history(spark, 5, {1: 1})
+    assert temporal_split(df, order=ORDER).first()["split"] == "test"
