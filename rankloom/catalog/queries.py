@@ -56,8 +56,8 @@ def _kept(spark: SparkSession, folder: str) -> DataFrame:
 
 def _split(spark: SparkSession, folder: str) -> DataFrame:
     """Kept ratings with indices and split, without features."""
-    indexed, _, _ = indexing.remap_ids(stage(_kept(spark, folder), "kept"))
-    return stage(splitting.temporal_split(indexed, order=CONFIG.history_order), "interactions")
+    histories = stage(splitting.temporal_split(_kept(spark, folder), order=CONFIG.history_order), "histories")
+    return stage(indexing.remap_ids(histories)[0], "interactions")
 
 
 def _n_items(interactions: DataFrame) -> int:

@@ -6,26 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.config import MIN_ITEM_RATINGS, MIN_USER_RATINGS
+from rankloom.sources.staging import broadcast_if_small
 
 
-def rejected(ratings: DataFrame, key: str, minimum: int) -> DataFrame:
-    """Keys with fewer than ``minimum`` ratings. Map-side sums absorb hot keys."""
-    return ratings.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") < minimum).select(key)
+def key_counts(ratings: DataFrame, key: str) -> DataFrame:
+    """(key, _n): ratings per key. Map-side sums absorb hot keys."""
+    return ratings.groupBy(key).agg(F.count("*").alias("_n"))
 
 
 def filter_cold_start(
     ratings: DataFrame,
     min_user: int = MIN_USER_RATINGS,
     min_item: int = MIN_ITEM_RATINGS,
+    *,
+    user_counts: DataFrame | None = None,
+    item_counts: DataFrame | None = None,
 ) -> DataFrame:
     """Keep ratings whose user and item are both frequent enough in the *input*.
 
     One pass, not an iterated core: a survivor may end below a threshold. The rare
     keys are anti-joined rather than the frequent ones semi-joined, because that
-    list holds no hot key and is usually the short one: when it is empty or under
-    the broadcast threshold, adaptive execution drops or broadcasts the join.
+    list holds no hot key and is usually the short one. ``user_counts`` and
+    ``item_counts`` are staged :func:`key_counts`; with them the list's length is
+    known before the join, and a short list is broadcast so that ratings stay where
+    they are.
     """
     kept = ratings.where("userId IS NOT NULL AND movieId IS NOT NULL")
-    return kept.join(rejected(ratings, "userId", min_user), "userId", "left_anti").join(
-        rejected(ratings, "movieId", min_item), "movieId", "left_anti"
-    ).select(ratings.columns)
+    for key, minimum, counts in (("userId", min_user, user_counts), ("movieId", min_item, item_counts)):
+        source = key_counts(ratings, key) if counts is None else counts
+        rare = source.where(F.col("_n") < minimum).select(key)
+        kept = kept.join(rare if counts is None else broadcast_if_small(rare), key, "left_anti")
+    return kept.select(ratings.columns)

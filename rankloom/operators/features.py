@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,28 +19,63 @@ from rankloom.operators.ordering import dense_rank_desc
 from rankloom.schemas import ITEM_FEATURES, ITEM_JOIN_COLUMNS, USER_FEATURES, USER_JOIN_COLUMNS
 
 GENRE_SEPARATOR = r"\|"
+# Genre sets are kept as bits up to this vocabulary size (17 words per item).
+MAX_GENRES = 1_024
+BITS_PER_WORD = 63
 
 
 def genres_of(column: str = "genres") -> Column:
     return F.split(column, GENRE_SEPARATOR)
 
 
+def genre_words(items: DataFrame) -> DataFrame | None:
+    """(movieId, _g0, _g1 ...): an item's genres as bits, 63 to a word.
+
+    Genres are a small vocabulary, so a set of them fits in a few numbers and the
+    genres of a user are the bitwise OR over their items. ``None`` when the
+    vocabulary is larger than ``MAX_GENRES``.
+    """
+    vocabulary = items.select(F.explode(genres_of()).alias("genre")).distinct()
+    # At most MAX_GENRES + 1 short strings reach the driver.
+    found = sorted(r["genre"] for r in vocabulary.limit(MAX_GENRES + 1).collect())
+    if len(found) > MAX_GENRES:
+        return None
+    own = F.array_distinct(genres_of())
+    words = []
+    for start in range(0, max(len(found), 1), BITS_PER_WORD):
+        names = found[start : start + BITS_PER_WORD]
+        bits = F.create_map(*[F.lit(x) for i, g in enumerate(names) for x in (g, 1 << i)]) if names else None
+        word = F.lit(0).cast("bigint") if bits is None else _or_bits(own, bits)
+        words.append(word.alias(f"_g{len(words)}"))
+    # One row per item whatever the table holds: a repeated item must not repeat its ratings.
+    merged = [F.bit_or(f"_g{i}").alias(f"_g{i}") for i in range(len(words))]
+    return items.select("movieId", *words).groupBy("movieId").agg(*merged)
+
+
+def _or_bits(genres: Column, bits: Column) -> Column:
+    known = F.coalesce(genres, F.array().cast("array<string>"))
+    zero = F.lit(0).cast("bigint")
+    return F.aggregate(
+        known, zero, lambda acc, g: acc.bitwiseOR(F.coalesce(F.try_element_at(bits, g).cast("bigint"), zero))
+    )
+
+
 def genre_diversity(ratings: DataFrame, items: DataFrame) -> DataFrame:
-    """Distinct genres per user.
+    """Distinct genres per user for vocabularies of any size.
 
-    Genre strings are deduplicated per user before they are taken apart, so the
-    shuffle carries one row per (user, genre string) and not one per rating and genre.
+    Ratings are exploded to genres before the shuffle, so that the map side can drop
+    the repeats of users whose rows lie together.
     """
-    seen = ratings.join(items.select("movieId", "genres"), "movieId").select("userId", "genres").distinct()
-    single = seen.select("userId", F.explode(genres_of()).alias("genre")).distinct()
+    rated = ratings.join(items.select("movieId", "genres"), "movieId")
+    single = rated.select("userId", F.explode(genres_of()).alias("genre")).distinct()
     return single.groupBy("userId").agg(F.count("genre").cast("int").alias("user_genre_diversity"))
 
 
 def user_features(ratings: DataFrame, items: DataFrame) -> DataFrame:
-    """One row per user: activity, taste and breadth."""
+    """One row per user: activity, taste and breadth, normally in a single aggregation."""
     when = F.col("timestamp")
     rated = F.count("rating")
-    activity = ratings.groupBy("userId").agg(
+    activity = [
         F.avg("rating").alias("user_avg_rating"),
         rated.cast("int").alias("user_rating_count"),
         F.coalesce(F.stddev_samp("rating"), F.lit(0.0)).alias("user_rating_stddev"),
@@ -46,12 +84,18 @@ def user_features(ratings: DataFrame, items: DataFrame) -> DataFrame:
         F.coalesce(
             F.try_divide(F.count_if(F.col("rating") >= POSITIVE_RATING), rated), F.lit(0.0)
         ).alias("user_positive_ratio"),
-    )
-    return (
-        activity.join(genre_diversity(ratings, items), "userId", "left")
-        .fillna(0, ["user_genre_diversity"])
-        .select(USER_FEATURES.names)
-    )
+    ]
+    words = genre_words(items)
+    if words is None:
+        users = ratings.groupBy("userId").agg(*activity)
+        users = users.join(genre_diversity(ratings, items), "userId", "left")
+        return users.fillna(0, ["user_genre_diversity"]).select(USER_FEATURES.names)
+    names = [c for c in words.columns if c != "movieId"]
+    diversity = reduce(
+        add, [F.coalesce(F.bit_count(F.bit_or(n)), F.lit(0)) for n in names]
+    ).alias("user_genre_diversity")
+    users = ratings.join(words, "movieId", "left").groupBy("userId").agg(*activity, diversity)
+    return users.select(USER_FEATURES.names)
 
 
 def item_features(ratings: DataFrame, items: DataFrame) -> DataFrame:
@@ -88,9 +132,8 @@ def cross_features() -> dict[str, Column]:
 def interaction_features(ratings: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
     """Ratings with their user's and item's features and the cross features.
 
-    Neither side is hinted: the planner broadcasts what it measures as small and
-    splits the partitions of hot users or items otherwise. Users come last, so the
-    result leaves partitioned by user, ready for a per-user window.
+    No side is hinted here: without a caller's hint the planner broadcasts what it
+    measures as small and splits the partitions of hot users or items otherwise.
     """
     extra_user = [c for c in ("user_idx",) if c in users.columns]
     extra_item = [c for c in ("item_idx",) if c in items.columns]

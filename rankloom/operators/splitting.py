@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.config import MAX_GROUP_ROWS, TRAIN_FRACTION, VAL_FRACTION
+from rankloom.operators.cold_start import key_counts
 from rankloom.sources.staging import stage
 
 DIGIT_BITS = 16
@@ -40,10 +41,11 @@ def temporal_split(
     never depends on how ties happen to fall. Users of up to ``max_group_rows`` rows
     are ranked by a window. Larger ones, whose history must not sit in one task, are
     cut at boundary rows found by counting (:func:`boundaries`). ``user_counts``
-    (user, _n) saves counting again.
+    (user, _n) saves counting rows per user again; counts of a larger table serve
+    too, they only decide which way a user takes.
     """
-    counts = user_counts if user_counts is not None else df.groupBy(user).agg(F.count("*").alias("_n"))
-    large = counts.where(F.col("_n") > max_group_rows)
+    counts = user_counts if user_counts is not None else key_counts(df, user)
+    large = counts.where(F.col("_n") > max_group_rows).select(user)
     if large.isEmpty():
         return _split_by_window(df, user, order, train_fraction, val_fraction)
     # At most (number of rows / max_group_rows) users are large.
@@ -51,25 +53,25 @@ def temporal_split(
     small_part = _split_by_window(
         df.join(large, user, "left_anti"), user, order, train_fraction, val_fraction
     )
-    large_part = _split_by_boundary(
-        df.join(large, user, "left_semi"), large, user, order, train_fraction, val_fraction
-    )
-    return small_part.unionByName(large_part)
+    # Read several times, by narrow passes.
+    rows = stage(df.join(large, user, "left_semi"), "large-histories")
+    return small_part.unionByName(_split_by_boundary(rows, user, order, train_fraction, val_fraction))
 
 
 def _split_by_window(
     df: DataFrame, user: str, order: Sequence[str], train: float, val: float
 ) -> DataFrame:
     history = Window.partitionBy(user)
-    position = F.row_number().over(history.orderBy(*order))
-    total = F.count("*").over(history)
-    return df.withColumn("split", _label(position, total, train, val))
+    placed = df.withColumn("_place", F.row_number().over(history.orderBy(*order)))
+    sized = placed.withColumn("_total", F.count("*").over(history))
+    labelled = sized.withColumn("split", _label(F.col("_place"), F.col("_total"), train, val))
+    return labelled.drop("_place", "_total")
 
 
 def _split_by_boundary(
-    df: DataFrame, counts: DataFrame, user: str, order: Sequence[str], train: float, val: float
+    df: DataFrame, user: str, order: Sequence[str], train: float, val: float
 ) -> DataFrame:
-    wanted = counts.select(
+    wanted = key_counts(df, user).select(
         user,
         F.explode(
             F.array(

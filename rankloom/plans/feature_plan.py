@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from rankloom import schemas
 from rankloom.config import FeatureConfig
-from rankloom.operators.cold_start import filter_cold_start
+from rankloom.operators.cold_start import filter_cold_start, key_counts
 from rankloom.operators.features import distributions, interaction_features, item_features, user_features
 from rankloom.operators.ordering import dense_index
 from rankloom.operators.splitting import temporal_split
-from rankloom.sources.staging import stage
+from rankloom.sources.staging import broadcast_if_small, stage
 from rankloom.sources.writers import write_manifest, write_table
 
 
@@ -33,46 +33,44 @@ class FeatureTables:
 def build(ratings: DataFrame, items: DataFrame, config: FeatureConfig = FeatureConfig()) -> FeatureTables:
     """Compose the plan.
 
-    The kept ratings are written once as a narrow stage table, because five later
-    scans need them and each reads only some of their columns. User and item tables
-    are staged too: they are outputs anyway. A user's index, features and history
-    length sit in one row, so interactions meet two joins in all, not four.
+    Ratings move once: filtered, shuffled by user while they are still narrow,
+    split, and written as a stage table. The files then hold whole histories, so
+    the sums per user that follow are nearly finished before their shuffle. User and
+    item tables carry features and index in one row, and interactions meet two joins
+    in all.
     """
-    keep = [*schemas.RATINGS.names, *config.tie_columns]
-    kept = stage(
-        filter_cold_start(ratings.select(*keep), config.min_user_ratings, config.min_item_ratings), "kept"
+    ratings = ratings.select(*schemas.RATINGS.names, *config.tie_columns)
+    per_user = stage(key_counts(ratings, "userId"), "user-counts")
+    per_item = stage(key_counts(ratings, "movieId"), "item-counts")
+    kept = filter_cold_start(
+        ratings,
+        config.min_user_ratings,
+        config.min_item_ratings,
+        user_counts=per_user,
+        item_counts=per_item,
     )
-    source = kept
-    if config.feature_scope == "train":
-        kept = stage(_split(kept, config), "split")
-        source = kept.where("split = 'train'")
-    users = _indexed(user_features(source, items), kept, "userId", "user_idx")
-    catalogue = _indexed(item_features(source, items), kept, "movieId", "item_idx")
-    users, catalogue = stage(users, "users"), stage(catalogue, "items")
-    enriched = interaction_features(kept, users, catalogue)
-    if config.feature_scope == "all":
-        # Every kept rating has a value, so the feature doubles as the history length.
-        lengths = users.select("userId", F.col("user_rating_count").alias("_n"))
-        enriched = _split(enriched, config, lengths)
-    return FeatureTables(users, catalogue, enriched)
-
-
-def _split(df: DataFrame, config: FeatureConfig, lengths: DataFrame | None = None) -> DataFrame:
-    return temporal_split(
-        df,
-        config.train_fraction,
-        config.val_fraction,
-        order=config.history_order,
-        user_counts=lengths,
-        max_group_rows=config.max_group_rows,
+    histories = stage(
+        temporal_split(
+            kept,
+            config.train_fraction,
+            config.val_fraction,
+            order=config.history_order,
+            user_counts=per_user,
+            max_group_rows=config.max_group_rows,
+        ),
+        "histories",
     )
-
-
-def _indexed(table: DataFrame, kept: DataFrame, key: str, index: str) -> DataFrame:
-    """Number the feature table's keys; ids that only later splits contain get a row too."""
-    if "split" in kept.columns:
-        table = kept.select(key).distinct().join(table, key, "left")
-    return dense_index(table, key, index)
+    train_only = config.feature_scope == "train"
+    source = histories.where("split = 'train'") if train_only else histories
+    users, catalogue = user_features(source, items), item_features(source, items)
+    if train_only:
+        # Ids that only later splits contain get an index and no features.
+        users = histories.select("userId").distinct().join(users, "userId", "left")
+        catalogue = histories.select("movieId").distinct().join(catalogue, "movieId", "left")
+    users = stage(dense_index(users, "userId", "user_idx"), "users")
+    catalogue = stage(dense_index(catalogue, "movieId", "item_idx"), "items")
+    enriched = interaction_features(histories, broadcast_if_small(users), broadcast_if_small(catalogue))
+    return FeatureTables(users, catalogue, enriched)
 
 
 def run(

@@ -69,6 +69,22 @@ def test_user_features(tiny):
     assert (rows[3]["user_genre_diversity"], rows[3]["user_rating_count"]) == (0, 1)
 
 
+@pytest.mark.parametrize("limit", [0, 1_024])
+def test_genre_sets_of_any_vocabulary(spark, monkeypatch, limit):
+    """200 genres need several words; beyond the limit rows are exploded instead."""
+    monkeypatch.setattr(features, "MAX_GENRES", limit)
+    genres = {i: [f"g{(i * k) % 200}" for k in range(1, 6)] for i in range(1, 101)}
+    items = spark.createDataFrame(
+        [(i, "t", "|".join(g)) for i, g in genres.items()], "movieId int, title string, genres string"
+    )
+    rated = {u: [(u * 13 + k * 7) % 120 + 1 for k in range(u)] for u in range(1, 20)}
+    df = spark.createDataFrame([(u, i, 3.0, 0) for u, seen in rated.items() for i in seen], RATINGS)
+    rows = features.user_features(df, items.unionByName(items)).collect()
+    assert all(r["user_rating_count"] == len(rated[r["userId"]]) for r in rows)
+    got = {r["userId"]: r["user_genre_diversity"] for r in rows}
+    assert got == {u: len({g for i in seen for g in genres.get(i, [])}) for u, seen in rated.items()}
+
+
 def test_item_features(tiny):
     rows = {r["movieId"]: r for r in features.item_features(*tiny).collect()}
     assert rows[1]["item_popularity_rank"] == 1
