@@ -27,7 +27,7 @@ from rankloom.operators import (
 )
 from rankloom.plans import feature_plan, monitoring_plan, training_plan
 from rankloom.sources import binding
-from rankloom.sources.staging import stage
+from rankloom.sources.staging import stage, stage_all
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -94,14 +94,17 @@ def _scored_candidates(spark: SparkSession, folder: str) -> tuple[DataFrame, Dat
     return scoring.mf_score(candidates, users, items, P.MF_INTERCEPT, P.MF_DIM), interactions
 
 
-def _era(spark: SparkSession, folder: str, early: bool) -> DataFrame:
-    """Monitored feature values of the ratings before, or from, the dividing epoch."""
-    when = F.col("timestamp")
-    part = binding.ratings(spark, folder).where(when < P.DRIFT_EPOCH if early else when >= P.DRIFT_EPOCH)
+def _eras(spark: SparkSession, folder: str) -> tuple[DataFrame, ...]:
+    """Monitored feature values of the ratings before, and from, the dividing epoch."""
+    ratings = binding.ratings(spark, folder).select("userId", "movieId", "rating", "timestamp")
     items = binding.items(spark, folder)
-    part = stage(part.select("userId", "movieId", "rating", "timestamp"), "era")
-    values = features.distributions(features.user_features(part, items), features.item_features(part, items))
-    return stage(values, "distributions")
+    early = F.col("timestamp") < P.DRIFT_EPOCH
+    parts = stage_all(early=ratings.where(early), late=ratings.where(~early))
+    values = [
+        features.distributions(features.user_features(p, items), features.item_features(p, items))
+        for p in parts
+    ]
+    return stage_all(baseline=values[0], current=values[1])
 
 
 def _fitted(spark: SparkSession, folder: str) -> training_plan.TrainingData:
@@ -353,17 +356,17 @@ def ncf_fit(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def psi(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(drift.psi(_era(spark, folder, True), _era(spark, folder, False)))
+    return rounded(drift.psi(*_eras(spark, folder)))
 
 
 @query
 def drift_report(spark: SparkSession, folder: str) -> DataFrame:
-    return drift.drift_report(_era(spark, folder, True), _era(spark, folder, False))
+    return drift.drift_report(*_eras(spark, folder))
 
 
 @query
 def drift_gate(spark: SparkSession, folder: str) -> DataFrame:
-    return drift.drift_gate(drift.drift_report(_era(spark, folder, True), _era(spark, folder, False)))
+    return drift.drift_gate(drift.drift_report(*_eras(spark, folder)))
 
 
 @query
@@ -407,8 +410,7 @@ def promotion_decision(spark: SparkSession, folder: str) -> DataFrame:
     """Promotion gate and drift gate together."""
     log, versions = binding.run_metrics(spark, folder), binding.model_versions(spark, folder)
     return monitoring_plan.decide(
-        _era(spark, folder, True),
-        _era(spark, folder, False),
+        *_eras(spark, folder),
         runs.last_values(log),
         runs.production_metrics(log, versions),
     )

@@ -27,6 +27,7 @@ from rankloom.config import (
     SEED,
 )
 from rankloom.functions.hashing import seeded_hash, seeded_hash_sql
+from rankloom.sources.staging import broadcast_if_small, stage
 
 # Number of different strides users are spread over.
 STRIDES = 64
@@ -223,9 +224,10 @@ def eval_candidates(
     held_out = first_test_item(test)
     if max_users is not None:
         held_out = held_out.orderBy(seeded_hash(seed, "user_idx"), "user_idx").limit(max_users)
-    history = interactions.where("split IN ('train', 'val')").join(
-        held_out.select("user_idx"), "user_idx", "left_semi"
-    )
+    # Read three times below; with a cap it has at most max_users rows.
+    held_out = stage(held_out, "held-out")
+    evaluated = broadcast_if_small(held_out.select("user_idx"))
+    history = interactions.where("split IN ('train', 'val')").join(evaluated, "user_idx", "left_semi")
     excluded = seen_pairs(history, held_out)
     demand = (
         excluded.groupBy("user_idx")

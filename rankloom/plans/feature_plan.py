@@ -13,7 +13,7 @@ from rankloom.operators.cold_start import filter_cold_start, key_counts
 from rankloom.operators.features import distributions, interaction_features, item_features, user_features
 from rankloom.operators.ordering import dense_index
 from rankloom.operators.splitting import temporal_split
-from rankloom.sources.staging import broadcast_if_small, stage
+from rankloom.sources.staging import broadcast_if_small, scope, stage, stage_all
 from rankloom.sources.writers import write_manifest, write_table
 
 
@@ -40,8 +40,9 @@ def build(ratings: DataFrame, items: DataFrame, config: FeatureConfig = FeatureC
     in all.
     """
     ratings = ratings.select(*schemas.RATINGS.names, *config.tie_columns)
-    per_user = stage(key_counts(ratings, "userId"), "user-counts")
-    per_item = stage(key_counts(ratings, "movieId"), "item-counts")
+    per_user, per_item = stage_all(
+        user_counts=key_counts(ratings, "userId"), item_counts=key_counts(ratings, "movieId")
+    )
     kept = filter_cold_start(
         ratings,
         config.min_user_ratings,
@@ -67,8 +68,9 @@ def build(ratings: DataFrame, items: DataFrame, config: FeatureConfig = FeatureC
         # Ids that only later splits contain get an index and no features.
         users = histories.select("userId").distinct().join(users, "userId", "left")
         catalogue = histories.select("movieId").distinct().join(catalogue, "movieId", "left")
-    users = stage(dense_index(users, "userId", "user_idx"), "users")
-    catalogue = stage(dense_index(catalogue, "movieId", "item_idx"), "items")
+    users, catalogue = stage_all(
+        users=dense_index(users, "userId", "user_idx"), items=dense_index(catalogue, "movieId", "item_idx")
+    )
     enriched = interaction_features(histories, broadcast_if_small(users), broadcast_if_small(catalogue))
     return FeatureTables(users, catalogue, enriched)
 
@@ -81,26 +83,9 @@ def run(
     interactions/   one table, one directory per split
     user_features/, item_features/, baseline_distributions/, feature_manifest/
     """
-    tables = build(ratings, items, config)
-    facts: dict[str, object] = dict(
-        write_table(
-            schemas.conform(tables.interactions, schemas.INTERACTIONS),
-            f"{output}/interactions",
-            partition_by=["split"],
-            counts={f"{s}_count": F.count_if(F.col("split") == s) for s in ("train", "val", "test")},
-        )
-    )
-    facts |= write_table(
-        schemas.conform(tables.users, schemas.USER_FEATURES),
-        f"{output}/user_features",
-        counts={"n_users": F.count(F.lit(1))},
-    )
-    facts |= write_table(
-        schemas.conform(tables.items, schemas.ITEM_FEATURES),
-        f"{output}/item_features",
-        counts={"n_items": F.count(F.lit(1))},
-    )
-    write_table(tables.baseline, f"{output}/baseline_distributions")
+    spark = ratings.sparkSession
+    with scope(spark):
+        facts = _write(build(ratings, items, config), output)
     facts |= {
         "split_strategy": "temporal_per_user",
         "train_frac": config.train_fraction,
@@ -109,5 +94,25 @@ def run(
         "min_user_ratings": config.min_user_ratings,
         "min_item_ratings": config.min_item_ratings,
     }
-    write_manifest(ratings.sparkSession, f"{output}/feature_manifest", facts)
+    write_manifest(spark, f"{output}/feature_manifest", facts)
+    return facts
+
+
+def _write(tables: FeatureTables, output: str) -> dict[str, object]:
+    """Write the tables; every count comes out of the write itself."""
+    split_counts = {f"{s}_count": F.count_if(F.col("split") == s) for s in ("train", "val", "test")}
+    facts: dict[str, object] = dict(
+        write_table(
+            schemas.conform(tables.interactions, schemas.INTERACTIONS),
+            f"{output}/interactions",
+            partition_by=["split"],
+            counts=split_counts,
+        )
+    )
+    one = F.count(F.lit(1))
+    users = schemas.conform(tables.users, schemas.USER_FEATURES)
+    facts |= write_table(users, f"{output}/user_features", counts={"n_users": one})
+    catalogue = schemas.conform(tables.items, schemas.ITEM_FEATURES)
+    facts |= write_table(catalogue, f"{output}/item_features", counts={"n_items": one})
+    write_table(tables.baseline, f"{output}/baseline_distributions")
     return facts

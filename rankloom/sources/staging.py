@@ -9,7 +9,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,14 +34,44 @@ def stage_root(spark: SparkSession) -> str:
     return root
 
 
+# Paths of stage tables written inside open scopes, innermost scope last.
+_scopes: list[list[str]] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and return a scan of it."""
     spark = df.sparkSession
     path = f"{stage_root(spark)}/rankloom/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_all(**tables: DataFrame) -> tuple[DataFrame, ...]:
+    """Stage independent tables at the same time, so that one's last tasks leave no core idle."""
+    spark = next(iter(tables.values())).sparkSession
+    with ThreadPoolExecutor(len(tables)) as pool:
+        jobs = [pool.submit(inheritable_thread_target(spark)(stage), df, name) for name, df in tables.items()]
+        return tuple(job.result() for job in jobs)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the stage tables written inside the block when it ends.
+
+    For jobs whose results are written out by then; a lazy result that still reads a
+    stage table must not leave the block.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def broadcast_if_small(staged: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast when a staged (cheaply counted) table has at most ``max_rows`` rows."""
     if staged.limit(max_rows + 1).count() <= max_rows:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,6 +79,17 @@ def test_stage_goes_to_the_session_folder(spark):
     assert all(root in f for f in staged.inputFiles())
 
 
+def test_scope_removes_its_tables(spark):
+    kept = staging.stage(spark.range(3), "kept")
+    with staging.scope(spark):
+        a, b = staging.stage_all(a=spark.range(4), b=spark.range(5))
+        assert (a.count(), b.count()) == (4, 5)
+        files = [f.removeprefix("file://") for f in a.inputFiles() + b.inputFiles()]
+        assert all(pathlib.Path(f).exists() for f in files)
+    assert not any(pathlib.Path(f).exists() for f in files)
+    assert kept.count() == 3
+
+
 def test_broadcast_only_when_small(spark):
     staged = staging.stage(spark.range(50), "probe")
     joined = lambda limit: spark.range(10).join(staging.broadcast_if_small(staged, limit), "id")
