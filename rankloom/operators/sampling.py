@@ -11,10 +11,11 @@ place and never shuffled, joined or sorted.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from math import gcd
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.config import (
@@ -80,12 +81,14 @@ def sample_unseen(
     n_items: int,
     seed: int = SEED,
     max_group_rows: int = MAX_GROUP_ROWS,
+    keys: Sequence[str] = ("user_idx",),
 ) -> DataFrame:
     """Draw ``want`` items per user outside the user's excluded ones.
 
     ``excluded`` holds distinct (user_idx, item_idx) with 0 <= item_idx < n_items;
     ``demand`` holds (user_idx, n_excluded, want) once per user. ``want`` is cut to
-    what the catalogue has left. Returns distinct (user_idx, item_idx).
+    what the catalogue has left. Returns distinct (user_idx, item_idx). ``keys`` may
+    add columns to user_idx: every combination is then sampled on its own.
     """
     walk = Walk(n_items, seed)
     demand = demand.withColumn("want", F.least(F.col("want"), F.lit(n_items) - F.col("n_excluded")))
@@ -93,20 +96,18 @@ def sample_unseen(
     demand = demand.where("want > 0").withColumn("_end", F.col("want") + F.col("n_excluded"))
     met = (
         excluded.withColumn("_step", walk.step)
-        .join(demand, "user_idx")
+        .join(demand, list(keys))
         .where(F.col("_step") < F.col("_end"))
-        .select("user_idx", "want", "_step")
+        .select(*keys, "want", "_step")
     )
-    stops = met.unionByName(
-        demand.select("user_idx", "want", F.col("_end").cast("bigint").alias("_step"))
-    )
-    gaps = _gaps(stops, n_items, max_group_rows)
+    stops = met.unionByName(demand.select(*keys, "want", F.col("_end").cast("bigint").alias("_step")))
+    gaps = _gaps(stops, n_items, max_group_rows, keys)
     free_before = F.col("_previous") + 1 - F.col("_met")
     length = F.least(F.col("_step") - F.col("_previous") - 1, F.col("want") - free_before)
     # Stride and offset are worked out once per run and carried to its steps.
     runs = (
         gaps.select(
-            "user_idx",
+            *keys,
             walk.stride.alias("_stride"),
             walk.offset.alias("_offset"),
             (F.col("_previous") + 1).alias("_from"),
@@ -120,10 +121,10 @@ def sample_unseen(
         "_k", F.expr(f"explode(sequence(_start, least(_to, _start + {EXPLODE_CHUNK - 1}L)))")
     )
     item = F.expr(f"int((_k * _stride + _offset) % {n_items}L)")
-    return steps.select("user_idx", item.alias("item_idx"))
+    return steps.select(*keys, item.alias("item_idx"))
 
 
-def _gaps(stops: DataFrame, n_items: int, max_group_rows: int) -> DataFrame:
+def _gaps(stops: DataFrame, n_items: int, max_group_rows: int, keys: Sequence[str]) -> DataFrame:
     """Add the previous stop (-1 at first) and the number of stops met before each one.
 
     A user has at most ``n_items + 1`` stops. When that is more than one task should
@@ -131,7 +132,7 @@ def _gaps(stops: DataFrame, n_items: int, max_group_rows: int) -> DataFrame:
     totals of the stretches before them.
     """
     if n_items < max_group_rows:
-        order = Window.partitionBy("user_idx").orderBy("_step")
+        order = Window.partitionBy(*keys).orderBy("_step")
         return stops.withColumns(
             {
                 "_previous": F.lag("_step", 1, -1).over(order),
@@ -139,21 +140,19 @@ def _gaps(stops: DataFrame, n_items: int, max_group_rows: int) -> DataFrame:
             }
         )
     stops = stops.withColumn("_stretch", F.floor(F.col("_step") / max_group_rows))
-    earlier = (
-        Window.partitionBy("user_idx").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    earlier = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        stops.groupBy("user_idx", "_stretch")
+        stops.groupBy(*keys, "_stretch")
         .agg(F.count("*").alias("_n"), F.max("_step").alias("_last"))
         .select(
-            "user_idx",
+            *keys,
             "_stretch",
             F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_met_earlier"),
             F.coalesce(F.max("_last").over(earlier), F.lit(-1)).alias("_last_earlier"),
         )
     )
-    order = Window.partitionBy("user_idx", "_stretch").orderBy("_step")
-    return stops.join(carried, ["user_idx", "_stretch"]).withColumns(
+    order = Window.partitionBy(*keys, "_stretch").orderBy("_step")
+    return stops.join(carried, [*keys, "_stretch"]).withColumns(
         {
             "_previous": F.coalesce(F.lag("_step").over(order), F.col("_last_earlier")),
             "_met": F.col("_met_earlier") + F.row_number().over(order) - 1,
@@ -161,38 +160,53 @@ def _gaps(stops: DataFrame, n_items: int, max_group_rows: int) -> DataFrame:
     )
 
 
-def negative_samples(
+def _labelled(
     interactions: DataFrame,
     n_items: int,
-    ratio: int = NEGATIVES_TRAIN,
-    seed: int = SEED,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    ratio: Column,
+    seed: int,
+    max_group_rows: int,
+    keys: Sequence[str],
 ) -> DataFrame:
-    """Positives (label 1, repeats kept) and ``ratio`` unseen items per distinct positive (label 0)."""
-    pairs = distinct_pairs(interactions)
+    """Positives as they come, and ``ratio`` negatives per distinct positive of every key."""
+    rows = interactions.select(*keys, "item_idx")
+    pairs = rows.dropna().distinct()
     demand = (
-        pairs.groupBy("user_idx")
+        pairs.groupBy(*keys)
         .agg(F.count("*").alias("n_excluded"))
         .withColumn("want", F.col("n_excluded") * ratio)
     )
-    negatives = sample_unseen(pairs, demand, n_items, seed, max_group_rows)
-    positives = interactions.select("user_idx", "item_idx", F.lit(1.0).cast("float").alias("label"))
+    negatives = sample_unseen(pairs, demand, n_items, seed, max_group_rows, keys)
+    positives = rows.withColumn("label", F.lit(1.0).cast("float"))
     return positives.unionByName(negatives.withColumn("label", F.lit(0.0).cast("float")))
 
 
+def negative_samples(
+    interactions: DataFrame,
+    n_items: int,
+    ratio: int = NEGATIVES_TRAIN,
+    seed: int = SEED,
+    max_group_rows: int = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """Positives (label 1, repeats kept) and ``ratio`` unseen items per distinct positive (label 0)."""
+    return _labelled(interactions, n_items, F.lit(ratio), seed, max_group_rows, ["user_idx"])
+
+
 def labelled_splits(
     interactions: DataFrame,
     n_items: int,
     train_ratio: int = NEGATIVES_TRAIN,
     val_ratio: int = NEGATIVES_VAL,
     seed: int = SEED,
+    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """Labelled training and validation pairs, each sampled against its own positives."""
-    parts = []
-    for name, ratio in (("train", train_ratio), ("val", val_ratio)):
-        part = interactions.where(F.col("split") == name)
-        parts.append(negative_samples(part, n_items, ratio, seed).withColumn("split", F.lit(name)))
-    return reduce(DataFrame.unionByName, parts)
+    """Labelled training and validation pairs, each sampled against its own positives.
+
+    Both splits go through the same pass, with the split as part of the key.
+    """
+    ratio = F.when(F.col("split") == "train", train_ratio).otherwise(val_ratio)
+    wanted = interactions.where("split IN ('train', 'val')")
+    return _labelled(wanted, n_items, ratio, seed, max_group_rows, ["split", "user_idx"])
 
 
 def pick_users(users: DataFrame, limit: int, seed: int) -> DataFrame:
