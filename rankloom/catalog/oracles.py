@@ -473,6 +473,10 @@ ORACLES: dict[str, str] = {
             FROM ratings GROUP BY ALL""",
         "ratings",
     ),
+    "file_manifest": " UNION ALL ".join(
+        f"SELECT '{t}.parquet' AS file_name, count(*) AS n_rows FROM {t}"
+        for t in ("lineitem", "orders", "part", "events")
+    ),
     "cold_start_filter": sql("SELECT * FROM kept", "kept"),
     "user_features": sql(f"SELECT {_USER_SELECT} FROM users", "users"),
     "item_features": sql(f"SELECT {_ITEM_SELECT} FROM catalogue", "catalogue"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -146,7 +147,9 @@ def quality_year_range(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def file_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    return manifest.file_manifest(binding.table(spark, folder, "lineitem"))
+    """Files and rows of the tables the engine reads; sizes and dates depend on the machine."""
+    tables = [binding.table(spark, folder, t) for t in ("lineitem", "orders", "part", "events")]
+    return reduce(DataFrame.unionByName, map(manifest.file_manifest, tables)).select("file_name", "n_rows")
 
 
 # --- features ------------------------------------------------------------------

@@ -25,7 +25,7 @@ def test_query(spark, con, name):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"mf_fit", "als_fit", "ncf_fit", "file_manifest"}
+    assert set(QUERIES) - set(ORACLES) == {"mf_fit", "als_fit", "ncf_fit"}
 
 
 def test_entry(spark):
