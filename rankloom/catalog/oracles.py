@@ -517,6 +517,13 @@ ORACLES: dict[str, str] = {
         "user_map",
         "item_map",
     ),
+    "row_sample": sql(
+        f"""SELECT *, CASE WHEN {hashed(P.SPLIT_SEED, "order_key", "line_no")} < {int(C.TRAIN_FRACTION * H.PRIME_A)}
+              THEN 'train' ELSE 'val' END AS split
+            FROM (SELECT * FROM ratings ORDER BY {hashed(C.SEED, "order_key", "line_no")}, order_key, line_no
+                  LIMIT {P.SAMPLE_ROWS})""",
+        "ratings",
+    ),
     "seen_pairs": sql("SELECT * FROM seen", "seen"),
     "negative_samples": sql("SELECT * FROM labelled_all", "labelled_all"),
     "labelled_splits": sql(

@@ -18,6 +18,8 @@ NCF_DIM = 4
 NCF_UNITS = (4, 2)
 NCF_EPSILON = 1e-3
 SCALE = 8.0
+SAMPLE_ROWS = 5_000
+SPLIT_SEED = 7
 
 
 def _grid(rows: int, cols: int, a: int, b: int, modulus: int) -> np.ndarray:

@@ -224,6 +224,14 @@ def index_bounds(spark: SparkSession, folder: str) -> DataFrame:
     return indexing.index_bounds(indexing.remap_ids(stage(_kept(spark, folder), "kept"))[0])
 
 
+@query
+def row_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """A fixed-size sample of all ratings, split 80/20 at random."""
+    keys = list(binding.TIE_COLUMNS)
+    rows = sampling.sample_rows(stage(binding.ratings(spark, folder), "ratings"), P.SAMPLE_ROWS, keys)
+    return sampling.random_split(rows, keys, seed=P.SPLIT_SEED)
+
+
 @query
 def seen_pairs(spark: SparkSession, folder: str) -> DataFrame:
     interactions = _split(spark, folder)

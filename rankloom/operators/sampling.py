@@ -26,10 +26,13 @@ from rankloom.config import (
     NEGATIVES_TRAIN,
     NEGATIVES_VAL,
     SEED,
+    TRAIN_FRACTION,
 )
-from rankloom.functions.hashing import seeded_hash, seeded_hash_sql
+from rankloom.functions.hashing import PRIME_A, seeded_hash, seeded_hash_sql
 from rankloom.sources.staging import broadcast_if_small, stage
 
+# Rows are counted per 2**16 hash values when a sample is cut.
+HASH_CELL_BITS = 16
 # Number of different strides users are spread over.
 STRIDES = 64
 
@@ -252,3 +255,29 @@ def eval_candidates(
     return held_out.select("user_idx", "item_idx", F.lit(True).alias("is_positive")).unionByName(
         negatives.withColumn("is_positive", F.lit(False))
     )
+
+
+def sample_rows(df: DataFrame, n: int, keys: Sequence[str], seed: int = SEED) -> DataFrame:
+    """Exactly ``n`` rows of ``df`` (all when it has fewer), chosen by a seeded hash.
+
+    ``keys`` are integer columns that identify a row. Rows are counted per hash cell
+    first; cells below the cut are taken whole and only the cut cell is ordered, so
+    ``n`` may be any size.
+    """
+    key = seeded_hash(seed, *keys)
+    cell = F.shiftright(key, HASH_CELL_BITS)
+    # At most 2**15 cells.
+    counts = df.groupBy(cell.alias("_cell")).agg(F.count("*").alias("_n"))
+    through = F.sum("_n").over(Window.orderBy("_cell"))
+    cut = counts.withColumn("_through", through).where(F.col("_through") >= n).orderBy("_cell").first()
+    if cut is None:
+        return df
+    whole = df.where(cell < cut["_cell"])
+    rest = df.where(cell == cut["_cell"]).orderBy(key, *keys)
+    return whole.unionByName(rest.limit(n - (cut["_through"] - cut["_n"])))
+
+
+def random_split(df: DataFrame, keys: Sequence[str], fraction: float = TRAIN_FRACTION, seed: int = SEED) -> DataFrame:
+    """Add ``split``: each row is 'train' with probability ``fraction``, otherwise 'val'. No shuffle."""
+    below = seeded_hash(seed, *keys) < F.lit(int(fraction * PRIME_A))
+    return df.withColumn("split", F.when(below, "train").otherwise("val"))

@@ -29,9 +29,7 @@ def stage_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-    root = os.path.join(tempfile.gettempdir(), "rankloom-stage")
-    spark.conf.set(CHECKPOINT_CONF, root)
-    return root
+    return os.path.join(tempfile.gettempdir(), "rankloom-stage")
 
 
 # Paths of stage tables written inside open scopes, innermost scope last.

@@ -168,3 +168,18 @@ def test_batches(spark):
     # Users are mixed: the first batch is no block of one user.
     assert len({r["user_idx"] for r in got if r["batch_id"] == 0}) > 5
     assert BATCH_ROWS == 4_096
+
+
+@pytest.mark.parametrize("n", [0, 1, 700, 2_000, 5_000])
+def test_row_sample(spark, n):
+    df = spark.range(2_000).withColumn("twice", F.col("id") * 2)
+    got = sampling.sample_rows(df, n, ["id"]).collect()
+    assert len(got) == min(n, 2_000)
+    assert len({r["id"] for r in got}) == len(got)
+    assert sorted(got) == sorted(sampling.sample_rows(df.repartition(7), n, ["id"]).collect())
+
+
+def test_random_split(spark):
+    parts = sampling.random_split(spark.range(10_000), ["id"], 0.8)
+    share = parts.where("split = 'train'").count() / 10_000
+    assert share == pytest.approx(0.8, abs=0.02)
