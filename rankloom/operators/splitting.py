@@ -55,6 +55,8 @@ def temporal_split(
     )
     # Read several times, by narrow passes.
     rows = stage(df.join(large, user, "left_semi"), "large-histories")
+    if rows.isEmpty():
+        return small_part
     return small_part.unionByName(_split_by_boundary(rows, user, order, train_fraction, val_fraction))
 
 
@@ -80,22 +82,27 @@ def _split_by_boundary(
             )
         ).alias("w"),
     ).select(user, "w._part", "w._rank")
-    ends = boundaries(df, wanted, user, order)
-    here = F.struct(*[F.col(c).cast("bigint").alias(c) for c in order])
-    last = F.struct(*[F.col(f"_end_{c}").alias(c) for c in order])
+    # A missing value sorts first, as it does in a window.
+    least = df.agg(*[F.coalesce(F.min(c).cast("bigint"), F.lit(1)).alias(c) for c in order]).first()
+    places = [f"_at_{i}" for i in range(len(order))]
+    placed = df.withColumns(
+        {p: F.coalesce(F.col(c).cast("bigint"), F.lit(least[c] - 1)) for p, c in zip(places, order, strict=True)}
+    )
+    ends = boundaries(placed, wanted, user, places)
+    here = F.struct(*places)
+    last = F.struct(*[F.col(f"_end_{p}").alias(p) for p in places])
     per_user = ends.groupBy(user).agg(
         F.max(F.when(F.col("_part") == "train", last)).alias("_train_end"),
         F.max(F.when(F.col("_part") == "val", last)).alias("_val_end"),
     )
     return (
-        df.join(F.broadcast(per_user), user, "left")
+        placed.join(F.broadcast(per_user), user, "left")
         .withColumn(
             "split",
             F.when(here <= F.col("_train_end"), "train")
             .when(here <= F.col("_val_end"), "val")
             .otherwise("test"),
         )
-        .drop("_train_end", "_val_end")
         .select(*df.columns, "split")
     )
 
@@ -103,7 +110,8 @@ def _split_by_boundary(
 def boundaries(df: DataFrame, wanted: DataFrame, user: str, order: Sequence[str]) -> DataFrame:
     """The row at each wanted rank of a user's ordered history, found without sorting it.
 
-    ``wanted`` is (user, part, _rank) and small. The ordering columns are fixed digit
+    ``wanted`` is (user, _part, _rank) and small; ``order`` names integer columns
+    without missing values. The ordering columns are fixed digit
     by digit, 16 bits at a time: rows that agree with the digits found so far are
     counted per next digit, and the digit in which the rank falls is kept. Each step
     is a map-side combined count over at most 65,536 values per wanted row, so a
@@ -117,14 +125,14 @@ def boundaries(df: DataFrame, wanted: DataFrame, user: str, order: Sequence[str]
     state = wanted
     for depth, column in enumerate(order):
         bits = max((span[f"hi_{column}"] - low[column]).bit_length(), 1)
-        state = state.withColumn(f"_at_{column}", F.lit(0).cast("bigint"))
+        state = state.withColumn(f"_fixed_{column}", F.lit(0).cast("bigint"))
         for shift in range((bits - 1) // DIGIT_BITS * DIGIT_BITS, -1, -DIGIT_BITS):
             offset = F.col(column).cast("bigint") - F.lit(low[column])
             done = [
-                F.col(c).cast("bigint") - F.lit(low[c]) == F.col(f"_at_{c}") for c in order[:depth]
+                F.col(c).cast("bigint") - F.lit(low[c]) == F.col(f"_fixed_{c}") for c in order[:depth]
             ]
             if shift + DIGIT_BITS < bits:
-                done.append(F.shiftright(offset, shift + DIGIT_BITS) == F.col(f"_at_{column}"))
+                done.append(F.shiftright(offset, shift + DIGIT_BITS) == F.col(f"_fixed_{column}"))
             matching = df.join(F.broadcast(state), user).where(reduce(and_, done, F.lit(True)))
             digit = F.shiftright(offset, shift).bitwiseAND(F.lit(DIGIT_MASK))
             carried = [c for c in state.columns if c not in (user, "_part")]
@@ -137,10 +145,10 @@ def boundaries(df: DataFrame, wanted: DataFrame, user: str, order: Sequence[str]
                 counted.withColumn("_through", through)
                 .where((F.col("_rank") <= F.col("_through")) & (F.col("_rank") > F.col("_through") - F.col("_n")))
                 .withColumn("_rank", F.col("_rank") - (F.col("_through") - F.col("_n")))
-                .withColumn(f"_at_{column}", F.shiftleft(f"_at_{column}", DIGIT_BITS) + F.col("_digit"))
+                .withColumn(f"_fixed_{column}", F.shiftleft(f"_fixed_{column}", DIGIT_BITS) + F.col("_digit"))
                 .select(*state.columns)
             )
             state = stage(found, "split-boundary")
     return state.select(
-        user, "_part", *[(F.col(f"_at_{c}") + F.lit(low[c])).alias(f"_end_{c}") for c in order]
+        user, "_part", *[(F.col(f"_fixed_{c}") + F.lit(low[c])).alias(f"_end_{c}") for c in order]
     )

@@ -63,3 +63,18 @@ def test_no_leak_over_time(spark, random_ratings):
 def test_one_row_user_is_test(spark):
     _, df = history(spark, 5, {1: 1})
     assert temporal_split(df, order=ORDER).first()["split"] == "test"
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_missing_times_come_first(spark, limit):
+    rows = [(1, m, 3.0, None if m % 3 == 0 else 1_000 - m, m) for m in range(100)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r["line"]: r["split"] for r in temporal_split(df, order=ORDER, max_group_rows=limit).collect()}
+    order = sorted(rows, key=lambda r: (r[3] is not None, r[3] or 0, r[1]))
+    assert [got[r[4]] for r in order] == ["train"] * 80 + ["val"] * 10 + ["test"] * 10
+
+
+def test_large_users_without_kept_rows(spark):
+    _, df = history(spark, 6, {1: 5})
+    counts = spark.createDataFrame([(1, 5), (2, 10**9)], "userId int, _n bigint")
+    assert temporal_split(df, order=ORDER, user_counts=counts, max_group_rows=100).count() == 5
