@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import decontamination, language_id, pseudonyms, secret_scan, sentence_pieces, sharding, token_counts
+from rankloom.llm import (
+    decontamination,
+    language_id,
+    phrases,
+    pseudonyms,
+    secret_scan,
+    sentence_pieces,
+    sharding,
+    simhash,
+    token_counts,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,6 +57,11 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
 @query
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -93,6 +108,12 @@ def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op9_repeated_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    found = phrases.remove_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(table(spark, folder, "documents")).select("doc_id", "held_out", "lang_pred", "score")
