@@ -54,6 +54,14 @@ def drop_kept(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_bytes(docs: DataFrame, text: str) -> int:
     """UTF-8 bytes of a column over all rows."""
     return docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm import (
+    ann_forest,
     decontamination,
     language_id,
     phrases,
@@ -44,6 +45,11 @@ def digest(parts: Column, separator: str) -> Column:
     return F.sha2(F.array_join(parts.cast("array<string>"), separator), 256)
 
 
+@query
+def op1_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return ann_forest.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

@@ -71,6 +71,11 @@ def fingerprint(text: str | Column, shingle: int = SHINGLE) -> Column:
     return hashed(utf8(text))
 
 
+def as_text(fp: Column) -> Column:
+    """A fingerprint as 16 hexadecimal digits."""
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
 def block_edges(distance: int) -> list[tuple[int, int]]:
     """Bit positions, from the highest, of ``distance + 1`` blocks of nearly equal width."""
     cuts = [BITS * i // (distance + 1) for i in range(distance + 2)]
@@ -244,4 +249,4 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = components(links(prints.where(F.col("node").isNotNull()), distance))
     named = prints.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     out = rows.join(named, "fp", "left")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", as_text(F.col("fp")).alias("fingerprint"), "component_id")
