@@ -94,8 +94,7 @@ class FmIndex:
         self.n = len(text)
         last = text[order - 1]
         self.tree = WaveletTree(last, max(1, int(text.max()).bit_length()))
-        counts = np.bincount(text, minlength=int(text.max()) + 2)
-        self.before = np.concatenate([[0], np.cumsum(counts)])
+        self.before = np.concatenate([[0], np.cumsum(np.bincount(text))])
         self.sampled = np.where(order % SAMPLE == 0, order, -1)
 
     def _ahead(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -106,7 +105,7 @@ class FmIndex:
         alive, s, e = np.arange(len(patterns)), np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n)
         for column in patterns.T[::-1]:
             symbol = column[alive].astype(np.int64) + 1
-            known = symbol + 1 < len(self.before)
+            known = symbol + 1 < len(self.before)  # no larger symbol stands in the text
             alive, symbol = alive[known], symbol[known]
             s, e = self._ahead(symbol, s[known]), self._ahead(symbol, e[known])
             found = e > s

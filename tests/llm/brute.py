@@ -1,0 +1,78 @@
+"""Slow, plain statements of what the operators compute."""
+
+from __future__ import annotations
+
+import re
+
+import xxhash
+
+FOLD = {c: c + 32 for c in range(65, 91)}
+
+
+def benchmark_words(text: str | None) -> list[str]:
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(FOLD))
+
+
+def space_words(text: str | None) -> list[str]:
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def contamination(texts, items):
+    """(n_words, n_hit, sorted item names, contaminated) of each text."""
+    out = []
+    for words in map(benchmark_words, texts):
+        hit, found = [0] * len(words), set()
+        for name, text in items:
+            item = benchmark_words(text)
+            width = min(13, len(item))
+            for i in range(len(item) - width + 1 if item else 0):
+                for j in range(len(words) - width + 1):
+                    if words[j : j + width] == item[i : i + width]:
+                        hit[j : j + width] = [1] * width
+                        if name is not None:
+                            found.add(str(name))
+        n = sum(hit)
+        out.append((len(words), n, sorted(found), n > 0 and 20 * n >= len(words)))
+    return out
+
+
+def fingerprint(text: str | None) -> int:
+    words = space_words((text or "").translate(FOLD))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def smallest_linked(prints: list[int], distance: int = 4) -> list[int]:
+    """Smallest position reachable from each position over close fingerprints."""
+    label = list(range(len(prints)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if bin(prints[i] ^ prints[j]).count("1") <= distance:
+                a, b = find(i), find(j)
+                label[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(prints))]
+
+
+def without_repeats(rows):
+    """id -> sorted (n_words, n_removed, kept text) of the rows (id, text)."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, (rows[i][1] or "").encode()))
+    seen, out = set(), {}
+    for i in order:
+        words = space_words(rows[i][1])
+        gone = [0] * len(words)
+        for a in range(len(words) - 19):
+            window = tuple(words[a : a + 20])
+            if window in seen:
+                gone[a : a + 20] = [1] * 20
+            seen.add(window)
+        out.setdefault(rows[i][0], []).append((len(words), sum(gone), " ".join(w for w, g in zip(words, gone, strict=True) if not g)))
+    return {k: sorted(v) for k, v in out.items()}

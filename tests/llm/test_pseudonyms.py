@@ -1,0 +1,106 @@
+"""The keyed network stated again in plain Python, and its properties."""
+
+from __future__ import annotations
+
+import datetime
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from rankloom.llm import pseudonyms as P
+
+KEY = "k"
+
+
+def keyed(tweak, value):
+    return int(hashlib.sha256(f"{KEY}|{tweak}|{value}|{KEY}".encode()).hexdigest()[:15], 16)
+
+
+def network(left, right, left_size, right_size, tweak):
+    for i in range(10):
+        if i % 2 == 0:
+            left = (left + keyed(f"{tweak}.{i}", right)) % left_size
+        else:
+            right = (right + keyed(f"{tweak}.{i}", left)) % right_size
+    return left, right
+
+
+def digits(text, tweak):
+    n, half = len(text), len(text) // 2
+    a, b = network(int(text[:half] or 0), int(text[half:]), 10**half, 10 ** (n - half), f"{tweak}{n}")
+    return (f"{a:0{half}d}" if half else "") + f"{b:0{n - half}d}"
+
+
+def luhn(number):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(number))) % 10 == 0
+
+
+def one(spark, text):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    return P.pseudonymise(df, KEY).first()
+
+
+def test_card(spark):
+    card = "4316522678525456"
+    assert luhn(card)
+    got = one(spark, f"a {card}, 4316 5226 7852 5456; bad {card[:-1]}7 end")
+    first, second = re.match(r"a (\d{16}), ([\d ]{19}); bad 4316522678525457 end", got["text"]).groups()
+    assert first[:-1] == "4" + digits(card[1:-1], "card") and luhn(first)
+    assert second.replace(" ", "") == first and got["n_card"] == 2
+
+
+def test_ip_ssn_phone_date(spark):
+    got = one(spark, "ip 10.0.255.7 ssn 123-45-6789 tel +1 (293) 555-9179 on 2021-02-28, 28.2.2021 or 2/28/2021.")
+    ip, ssn, phone, iso, dots, slashes = re.match(r"ip (\S+) ssn (\S+) tel (.+) on (\S+), (\S+) or (\S+)\.$", got["text"]).groups()
+    a, b = network(10 * 256, 255 * 256 + 7, 65536, 65536, "ip")
+    assert ip == f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    a, b = network(122 * 99 + 44, 6788, 898 * 99, 9999, "ssn")
+    area = a // 99 + 1 + (a // 99 >= 665)
+    assert ssn == f"{area:03d}-{a % 99 + 1:02d}-{b + 1:04d}"
+    d = digits("2935559179", "phone")
+    assert phone == f"+1 ({d[:3]}) {d[3:6]}-{d[6:]}"
+    n = (datetime.date(2021, 2, 28) - datetime.date(1800, 1, 1)).days
+    a, b = network(n // 773, n % 773, 189, 773, "date")
+    day = datetime.date(1800, 1, 1) + datetime.timedelta(days=a * 773 + b)
+    assert (iso, dots, slashes) == (day.strftime("%Y-%m-%d"), day.strftime("%d.%m.%Y"), day.strftime("%m/%d/%Y"))
+    assert [got[f"n_{k}"] for k in ("ip", "ssn", "phone", "date")] == [1, 1, 1, 3]
+
+
+def test_iban_and_email(spark):
+    got = one(spark, "DE89 3704 0044 0532 0130 00 and DE89370400440532013000, Jo.doe7@mail.example.com jo.DOE7@mail.example.com")
+    spaced, plain, a, b = re.match(r"([A-Z0-9 ]+) and (\S+), (\S+) (\S+)$", got["text"]).groups()
+    assert spaced.replace(" ", "") == plain and plain != "DE89370400440532013000"
+    assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    assert re.fullmatch(r"[A-Z][a-z]\.[a-z]{3}\d@mail\.example\.com", a)
+    assert a.lower() == b.lower() and a.lower() != "jo.doe7@mail.example.com"
+
+
+@pytest.mark.parametrize("size", [(3, 5), (10, 10), (189, 773)])
+def test_network_is_a_permutation(spark, size):
+    n = size[0] * size[1]
+    pair = P.feistel(F.floor(F.col("id") / size[1]), F.col("id") % size[1], *size, KEY, "t")
+    rows = spark.range(n).select(pair.alias("p")).select((F.col("p.left") * size[1] + F.col("p.right")).alias("x"))
+    assert rows.agg(F.countDistinct("x"), F.min("x"), F.max("x")).first()[:] == (n, 0, n - 1)
+
+
+def test_clean_texts_stay(spark):
+    text = "v 2.0.1, 999.1.1.1 1.2.3.4.5 2021-13-01 31.02.2021 000-12-3456 9870157079875996 1234 é@é 12:30 (see 3.) GB00 1234"
+    got = one(spark, text)
+    assert got["text"] == text and got["n_replaced"] == 0
+
+
+def test_odd_rows(spark):
+    long = "a" * 100_000 + "1" * 100_000 + "." * 100_000 + " 1.2.3.4"
+    rows = [(1, None), (2, ""), (None, "1.2.3.4"), (3, long), (4, "1.2.3.4"), (4, "1.2.3.4")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n_replaced": F.lit("clash"), "done": F.lit(1)})
+    got = {r["doc_id"]: (r["text"], r["n_replaced"]) for r in P.pseudonymise(docs, KEY).collect()}
+    assert got[1] == (None, 0) and got[2] == ("", 0) and got[3][1] == 1
+    assert got[None] == got[4] and got[4][0] != "1.2.3.4"
+    assert P.pseudonymise(docs.limit(0), KEY).count() == 0
+
+
+def test_native(spark):
+    plan = P.pseudonymise(spark.createDataFrame([(1, "x")], "doc_id long, text string"), KEY)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
