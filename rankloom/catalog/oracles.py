@@ -1,7 +1,8 @@
 """The catalogue's results as SQL for a single-node engine.
 
-Written from the definitions, not from the Spark plans: global windows, anti joins
-and plain sorts stand where the operators use cells, gaps and prefix sums.
+Written from the definitions: global windows, anti joins and plain sorts stand where the
+operators use cells, gaps and prefix sums. Seeded hashes, the permutation of the sampler
+and the run length of batches are parts of the definitions and stated again here.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from rankloom import config as C
 from rankloom.catalog import parameters as P
 from rankloom.functions import hashing as H
 from rankloom.operators.batches import COPY_RUN
-from rankloom.operators.sampling import STRIDES
 
 USER_COLUMNS = (
     "user_avg_rating, user_rating_count, user_rating_stddev, user_genre_diversity, "
@@ -180,28 +180,36 @@ cte("bounds", "SELECT count(*) AS n_items FROM item_map", "item_map")
 
 # --- sampling ------------------------------------------------------------------
 
-cte(
-    "strides",
-    f"""SELECT slot, min(m) AS stride FROM (
-          SELECT slot, n_items, n_items * (2 * slot + 1) // {2 * STRIDES} + 1 + d AS m
-          FROM range({STRIDES}) s(slot), range(500) t(d), bounds)
-        WHERE gcd(m, n_items) = 1 GROUP BY slot""",
-    "bounds",
-)
+def shape_sql() -> str:
+    """The factor pair of a size from n_items to 24 above it whose smaller factor is largest."""
+    return """SELECT a, size // a AS b, size, n_items FROM (
+          SELECT n_items, n_items + spare AS size, unnest(range(1, sqrt(n_items + spare)::BIGINT + 2)) AS a
+          FROM bounds, range(25) t(spare))
+        WHERE size % a = 0 AND a * a <= size ORDER BY a DESC, size LIMIT 1"""
+
+
+cte("walk_shape", shape_sql(), "bounds")
+
+
+def walked(source: str, seed: int) -> str:
+    """``source`` (user_idx, k, ...) with the place each step k leads to: six rounds, each
+    adding a hash of the user and one half to the other half."""
+    sql = f"SELECT q.*, w.a, w.b, w.n_items, k // w.b AS l, k % w.b AS r FROM {source} q, walk_shape w"
+    for i in range(6):
+        half, other, size = ("l", "r", "a") if i % 2 == 0 else ("r", "l", "b")
+        sql = f"SELECT * REPLACE (({half} + {hashed(seed + i, 'user_idx', other)}) % {size} AS {half}) FROM ({sql})"
+    return f"SELECT *, l * b + r AS place FROM ({sql})"
 
 
 def unseen(excluded: str, want: str, seed: int = C.SEED) -> str:
     """``want`` items per user, walking the user's permutation and skipping excluded ones."""
+    steps = f"""(SELECT user_idx, unnest(range(np + least({want}, n_items - np) + size - n_items)) AS k,
+                        least({want}, n_items - np) AS want
+                 FROM (SELECT user_idx, count(*) AS np FROM {excluded} GROUP BY 1), walk_shape)"""
     return f"""SELECT user_idx, item_idx FROM (
           SELECT d.user_idx, d.item_idx, d.want,
                  row_number() OVER (PARTITION BY d.user_idx ORDER BY d.k) AS nth
-          FROM (SELECT user_idx, want, k, ((k * stride + skip) % n_items)::INTEGER AS item_idx
-                FROM (SELECT q.*, s.stride, b.n_items, {hashed(seed + 1, "q.user_idx")} % b.n_items AS skip,
-                             unnest(range(np + least({want}, b.n_items - np))) AS k,
-                             least({want}, b.n_items - np) AS want
-                      FROM (SELECT user_idx, count(*) AS np FROM {excluded} GROUP BY 1) q
-                      CROSS JOIN bounds b
-                      JOIN strides s ON s.slot = {hashed(seed, "q.user_idx")} % {STRIDES})) d
+          FROM (SELECT user_idx, want, k, place::INTEGER AS item_idx FROM ({walked(steps, seed)}) WHERE place < n_items) d
           ANTI JOIN {excluded} e ON e.user_idx = d.user_idx AND e.item_idx = d.item_idx)
         WHERE nth <= want"""
 
@@ -218,7 +226,7 @@ for _name, _where, _ratio in (
             UNION ALL SELECT user_idx, item_idx, 0.0::FLOAT FROM ({unseen(f"pairs_{_name}", f"np * {_ratio}")})""",
         "interactions",
         f"pairs_{_name}",
-        "strides",
+        "walk_shape",
     )
 cte(
     "seen",
@@ -227,10 +235,9 @@ cte(
 )
 cte(
     "held_out",
-    f"""SELECT user_idx, item_idx FROM (
+    """SELECT user_idx, item_idx FROM (
           SELECT user_idx, item_idx, row_number() OVER (PARTITION BY user_idx ORDER BY "timestamp", item_idx) AS nth
-          FROM interactions WHERE split = 'test') WHERE nth = 1
-        ORDER BY {hashed(C.SEED, "user_idx")}, user_idx LIMIT {C.EVAL_USERS}""",
+          FROM interactions WHERE split = 'test') WHERE nth = 1""",
     "interactions",
 )
 cte(
@@ -246,7 +253,7 @@ cte(
         UNION ALL SELECT user_idx, item_idx, false FROM ({unseen("eval_excluded", str(C.EVAL_NEGATIVES))})""",
     "held_out",
     "eval_excluded",
-    "strides",
+    "walk_shape",
 )
 
 
@@ -270,7 +277,7 @@ def mf_logit(user: str = "user_idx", item: str = "item_idx") -> str:
 MF_SCORE = f"1 / (1 + exp(-{mf_logit()}))"
 
 
-def ncf_sql() -> str:
+def ncf_sql(pairs: str = "interactions") -> str:
     """Forward pass with one subquery per layer."""
     dim = P.NCF_DIM
     both = 2 * dim
@@ -278,7 +285,7 @@ def ncf_sql() -> str:
     v = [component("item", "item_idx", d, both) for d in range(both)]
     gmf = [f"{u[d]} * {v[d]} AS g{d}" for d in range(dim)]
     x = [f"{e} AS x{i}" for i, e in enumerate(u[dim:] + v[dim:])]
-    source = f"(SELECT user_idx, item_idx, {', '.join(gmf + x)} FROM interactions)"
+    source = f"(SELECT user_idx, item_idx, {', '.join(gmf + x)} FROM {pairs})"
     width, prefix = both, "x"
     carried = "user_idx, item_idx, " + ", ".join(f"g{d}" for d in range(dim))
     for depth, w in enumerate(P.dense_weights()):
@@ -317,6 +324,13 @@ cte(
         FROM ranks, (SELECT unnest({list(C.RANK_CUTOFFS)}) AS k) GROUP BY 1""",
     "ranks",
 )
+cte(
+    "chosen_pairs",
+    f"""SELECT user_idx, item_idx FROM (SELECT user_idx FROM user_map
+          ORDER BY {hashed(C.SEED, "user_idx")}, user_idx LIMIT {C.COVERAGE_USERS}), item_map""",
+    "user_map",
+    "item_map",
+)
 cte(
     "top_lists",
     f"""SELECT user_idx, item_idx, score, position FROM (
@@ -542,6 +556,12 @@ ORACLES: dict[str, str] = {
         "labelled_train",
     ),
     "eval_candidates": sql("SELECT * FROM candidates", "candidates"),
+    "eval_candidates_capped": sql(
+        f"""SELECT * FROM candidates WHERE user_idx IN (
+              SELECT user_idx FROM held_out ORDER BY {hashed(C.SEED, "user_idx")}, user_idx LIMIT {P.CAPPED_USERS})""",
+        "candidates",
+        "held_out",
+    ),
     "mf_score": sql(f"SELECT user_idx, item_idx, round({MF_SCORE}, 6) AS score FROM interactions", "interactions"),
     "ncf_score": sql(ncf_sql(), "interactions"),
     "binary_metrics": sql(
@@ -558,14 +578,36 @@ ORACLES: dict[str, str] = {
             GROUP BY np, nn)""",
         "labelled_scored",
     ),
+    "mf_fit": sql(
+        """SELECT (SELECT count(*) FROM user_map) AS n_users, (SELECT count(*) FROM item_map) AS n_items,
+             (SELECT count(*) FROM labelled_val) AS n_scored, true AS in_range, true AS beats_constant""",
+        "user_map",
+        "item_map",
+        "labelled_val",
+    ),
+    "ncf_fit": sql(
+        "SELECT (SELECT count(*) FROM labelled_val) AS n_scored, true AS in_range, true AS beats_constant", "labelled_val"
+    ),
+    "als_fit": sql(
+        f"SELECT (SELECT count(*) FROM held_out) AS n_users, {2 * len(C.RANK_CUTOFFS) + 1}::BIGINT AS n_metrics, true AS in_range",
+        "held_out",
+    ),
     "hit_rate_at_k": sql("SELECT k, round(hit_rate, 6) AS hit_rate FROM at_k WHERE k = 10", "at_k"),
     "ndcg_at_k": sql("SELECT k, round(ndcg, 6) AS ndcg FROM at_k WHERE k = 10", "at_k"),
     "rank_metrics": sql(f"SELECT k, {r6('hit_rate', 'ndcg')}, n_users FROM at_k", "at_k"),
     "top_items": sql("SELECT user_idx, item_idx, round(score, 6) AS score, position FROM top_lists", "top_lists"),
+    "ncf_coverage": sql(
+        f"""SELECT count(DISTINCT item_idx) / (SELECT n_items FROM bounds)::DOUBLE AS coverage FROM (
+              SELECT item_idx, row_number() OVER (PARTITION BY user_idx ORDER BY score DESC, item_idx) AS position
+              FROM ({ncf_sql("chosen_pairs")})) WHERE position <= {C.COVERAGE_K}""",
+        "chosen_pairs",
+        "bounds",
+    ),
     "coverage_at_k": sql("SELECT round(coverage, 6) AS coverage FROM covered", "covered"),
     "ranking_report": sql(
         """SELECT 'HR@' || k AS metric, round(hit_rate, 4) AS value FROM at_k
            UNION ALL SELECT 'NDCG@' || k, round(ndcg, 4) FROM at_k
+           UNION ALL SELECT 'n_users', max(n_users)::DOUBLE FROM at_k
            UNION ALL SELECT 'Coverage@10', round(coverage, 4) FROM covered""",
         "at_k",
         "covered",

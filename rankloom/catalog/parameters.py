@@ -19,6 +19,7 @@ NCF_UNITS = (4, 2)
 NCF_EPSILON = 1e-3
 SCALE = 8.0
 SAMPLE_ROWS = 5_000
+CAPPED_USERS = 150
 SPLIT_SEED = 7
 
 

@@ -83,6 +83,15 @@ def _factor_tables(interactions: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _factors(users, "user_idx", "user", P.MF_DIM), _factors(items, "item_idx", "item", P.MF_DIM)
 
 
+def _towers(ids: DataFrame, column: str, side: str) -> DataFrame:
+    both = _factors(ids, column, side, 2 * P.NCF_DIM)
+    return both.select(
+        "id",
+        F.slice("features", 1, P.NCF_DIM).alias("gmf"),
+        F.slice("features", P.NCF_DIM + 1, P.NCF_DIM).alias("mlp"),
+    )
+
+
 def _network() -> scoring.FusionNetwork:
     layers = tuple(scoring.DenseLayer(**w, epsilon=P.NCF_EPSILON) for w in P.dense_weights())
     return scoring.FusionNetwork(layers, P.output_weights(), P.OUTPUT_BIAS)
@@ -264,6 +273,12 @@ def eval_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.eval_candidates(interactions, _n_items(interactions))
 
 
+@query
+def eval_candidates_capped(spark: SparkSession, folder: str) -> DataFrame:
+    interactions = _split(spark, folder)
+    return sampling.eval_candidates(interactions, _n_items(interactions), max_users=P.CAPPED_USERS)
+
+
 # --- scoring and ranking -------------------------------------------------------
 
 
@@ -279,16 +294,8 @@ def mf_score(spark: SparkSession, folder: str) -> DataFrame:
 def ncf_score(spark: SparkSession, folder: str) -> DataFrame:
     interactions, user_map, item_map = indexing.remap_ids(stage(_kept(spark, folder), "kept"))
 
-    def towers(ids: DataFrame, column: str, side: str) -> DataFrame:
-        both = _factors(ids, column, side, 2 * P.NCF_DIM)
-        return both.select(
-            "id",
-            F.slice("features", 1, P.NCF_DIM).alias("gmf"),
-            F.slice("features", P.NCF_DIM + 1, P.NCF_DIM).alias("mlp"),
-        )
-
     pairs = interactions.select("user_idx", "item_idx")
-    users, items = towers(user_map, "user_idx", "user"), towers(item_map, "item_idx", "item")
+    users, items = _towers(user_map, "user_idx", "user"), _towers(item_map, "item_idx", "item")
     return rounded(scoring.ncf_score(pairs, users, items, _network()))
 
 
@@ -330,6 +337,14 @@ def coverage_at_k(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(ranking.coverage(top, item_map.count()))
 
 
+@query
+def ncf_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """Coverage of the network's own top lists."""
+    _, user_map, item_map = indexing.remap_ids(stage(_kept(spark, folder), "kept"))
+    towers = _towers(user_map, "user_idx", "user"), _towers(item_map, "item_idx", "item")
+    return ranking.coverage(ranking.top_items(*towers, score=ranking.network_scores(_network())), item_map.count())
+
+
 @query
 def ranking_report(spark: SparkSession, folder: str) -> DataFrame:
     scored, interactions = _scored_candidates(spark, folder)
@@ -340,26 +355,44 @@ def ranking_report(spark: SparkSession, folder: str) -> DataFrame:
 # --- estimators ----------------------------------------------------------------
 
 
+def _fit_facts(model: models.FactorModel | models.NcfModel, data: training_plan.TrainingData) -> DataFrame:
+    """What must hold of any fit: every validation row has a probability, and the training
+    rows are explained better than by their rate of positives alone."""
+    scored = model.score(data.validation).agg(
+        F.count("score").alias("n_scored"), F.bool_and(F.col("score").between(0, 1)).alias("in_range")
+    )
+    rate = data.train.agg(F.avg("label")).scalar()
+    constant = -(rate * F.log(rate) + (1 - rate) * F.log(1 - rate))
+    loss = metrics.binary_metrics(model.score(data.train)).select((F.col("log_loss") < constant).alias("beats_constant"))
+    return scored.crossJoin(loss)
+
+
 @query
 def mf_fit(spark: SparkSession, folder: str) -> DataFrame:
     data = _fitted(spark, folder)
-    model = models.fit_mf(data.train, data.n_users, data.n_items, dim=8, max_iter=20)
-    return metrics.binary_metrics(model.score(data.validation))
+    model = models.fit_mf(data.train, data.n_users, data.n_items, dim=8, max_iter=6)
+    ids = spark.range(1).select(model.users.agg(F.count_distinct("id")).scalar().alias("n_users"), model.items.agg(F.count_distinct("id")).scalar().alias("n_items"))
+    return ids.crossJoin(_fit_facts(model, data))
 
 
 @query
 def als_fit(spark: SparkSession, folder: str) -> DataFrame:
     data = _fitted(spark, folder)
     model = models.fit_als(data.train.where("label = 1"), dim=16, max_iter=5)
-    return training_plan.evaluate(model, data)
+    report = training_plan.evaluate(model, data)
+    shares = F.col("metric") != "n_users"
+    return report.agg(
+        F.max(F.when(~shares, F.col("value"))).cast("bigint").alias("n_users"),
+        F.count_if(shares).alias("n_metrics"),
+        F.bool_and(F.when(shares, F.col("value").between(0, 1))).alias("in_range"),
+    )
 
 
 @query
 def ncf_fit(spark: SparkSession, folder: str) -> DataFrame:
     data = _fitted(spark, folder)
     factors = models.fit_als(data.train.where("label = 1"), dim=8, max_iter=5)
-    model = models.fit_ncf(data.train, factors, hidden=(32, 16), max_iter=20)
-    return metrics.binary_metrics(model.score(data.validation))
+    return _fit_facts(models.fit_ncf(data.train, factors, hidden=(32, 16), max_iter=20), data)
 
 
 # --- monitoring and runs -------------------------------------------------------

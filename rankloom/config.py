@@ -17,7 +17,6 @@ RECENCY_DECAY = 1e-7
 NEGATIVES_TRAIN = 4
 NEGATIVES_VAL = 1
 EVAL_NEGATIVES = 99
-EVAL_USERS = 5_000
 COVERAGE_USERS = 500
 COVERAGE_K = 10
 RANK_CUTOFFS = (5, 10, 20)
@@ -26,6 +25,9 @@ PSI_BINS = 10
 PSI_WARN = 0.1
 PSI_FAIL = 0.2
 PROMOTION_METRIC = "NDCG@10"
+# Names of the branches after the drift gate, and of the split in a manifest.
+NEXT_STEPS = ("promote_model", "block_and_alert")
+SPLIT_STRATEGY = "temporal_per_user"
 SEED = 42
 MONITORED_USER_FEATURES = ("user_avg_rating", "user_rating_count")
 MONITORED_ITEM_FEATURES = ("item_avg_rating", "item_rating_count", "item_recency_score")
@@ -36,6 +38,7 @@ MONITORED_FEATURES = MONITORED_USER_FEATURES + MONITORED_ITEM_FEATURES
 MAX_GROUP_ROWS = 5_000_000
 # Rows a side may have before it is hinted for broadcast.
 MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_BYTES = 32 * 2**20
 # Longest array a generator row may carry before it is exploded.
 EXPLODE_CHUNK = 4_096
 

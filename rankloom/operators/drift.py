@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.config import MONITORED_FEATURES, PSI_BINS, PSI_FAIL, PSI_WARN
+from rankloom.config import MONITORED_FEATURES, NEXT_STEPS, PSI_BINS, PSI_FAIL, PSI_WARN
 from rankloom.operators.ordering import grid_cell, prefix_sums
 
 
@@ -123,8 +123,8 @@ def drift_report(
         .when(F.col("psi") < PSI_FAIL, "WARNING")
         .otherwise("FAIL")
     )
-    message = F.when(F.col("expected_mean").isNull(), "Not in baseline").when(
-        F.col("actual_mean").isNull(), "Not in current data"
+    message = F.when(F.col("expected_mean").isNull(), "no baseline values").when(
+        F.col("actual_mean").isNull(), "no current values"
     )
 
     def shown(name: str):
@@ -147,4 +147,4 @@ def drift_gate(report: DataFrame) -> DataFrame:
         passed.alias("all_passed"),
         F.count_if("passed").alias("n_passed"),
         F.count("*").alias("n_features"),
-    ).withColumn("next_step", F.when(F.col("all_passed"), "promote_model").otherwise("block_and_alert"))
+    ).withColumn("next_step", F.when(F.col("all_passed"), NEXT_STEPS[0]).otherwise(NEXT_STEPS[1]))

@@ -17,6 +17,7 @@ from rankloom.config import (
 from rankloom.functions.time import epoch_day
 from rankloom.operators.ordering import dense_rank_desc
 from rankloom.schemas import ITEM_FEATURES, ITEM_JOIN_COLUMNS, USER_FEATURES, USER_JOIN_COLUMNS
+from rankloom.sources.staging import broadcast_if_small, stage
 
 GENRE_SEPARATOR = r"\|"
 # Genre sets are kept as bits up to this vocabulary size (17 words per item).
@@ -107,10 +108,11 @@ def item_features(ratings: DataFrame, items: DataFrame) -> DataFrame:
         F.max("timestamp").alias("_last"),
     )
     latest = ratings.agg(F.max("timestamp")).scalar()
-    # Distinct counts c1 < c2 < ... sum to at most the number of ratings N, so there
-    # are fewer than sqrt(2 N) of them: 4.5 million at 10**13 ratings.
-    ranks = F.broadcast(dense_rank_desc(reception, "_n", "item_popularity_rank"))
-    genre_counts = items.select("movieId", F.size(genres_of()).alias("item_genre_count"))
+    # Distinct counts sum to at most the number of ratings N, so there are fewer than
+    # sqrt(2 N) of them; broadcast only where that is few.
+    ranks = broadcast_if_small(stage(dense_rank_desc(reception, "_n", "item_popularity_rank"), "ranks"))
+    # Repeated item rows must not multiply ratings later on.
+    genre_counts = items.groupBy("movieId").agg(F.max(F.size(genres_of())).alias("item_genre_count"))
     return (
         reception.join(ranks, "_n")
         .join(genre_counts, "movieId", "left")

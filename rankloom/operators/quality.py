@@ -12,16 +12,17 @@ from rankloom.functions.time import epoch_year
 
 
 def summary(ratings: DataFrame) -> DataFrame:
-    """One row: totals, missing keys, rating range, ratings out of range, distinct users and items.
+    """One row: totals, rows without user, item or rating, rating range, ratings out of range, distinct users and items.
 
     The distinct counts come out of per-key partial sums, so the scan is not
     multiplied the way several ``count(distinct)`` in one aggregate would.
     """
     low, high = RATING_RANGE
-    no_key = F.col("userId").isNull() | F.col("movieId").isNull()
+    # The names of the report's columns.
+    incomplete = F.col("userId").isNull() | F.col("movieId").isNull() | F.col("rating").isNull()
     per_user = ratings.groupBy("userId").agg(
         F.count("*").alias("n"),
-        F.count_if(no_key).alias("nulls"),
+        F.count_if(incomplete).alias("nulls"),
         F.count_if(~F.col("rating").between(low, high)).alias("outside"),
         F.min("rating").alias("lo"),
         F.max("rating").alias("hi"),
@@ -85,8 +86,16 @@ def enforce(report: Mapping[str, object], *, min_rows: int = 0) -> None:
     if report["total_ratings"] < min_rows:
         problems.append(f"{report['total_ratings']} ratings, expected at least {min_rows}")
     if report["ratings_null_count"]:
-        problems.append(f"{report['ratings_null_count']} ratings without a user or item")
+        problems.append(f"{report['ratings_null_count']} ratings without a user, item or rating")
     if report["ratings_out_of_range"]:
         problems.append(f"{report['ratings_out_of_range']} ratings outside {RATING_RANGE}")
     if problems:
         raise ValueError("; ".join(problems))
+
+
+def enforce_items(items: DataFrame, *, min_rows: int = 1) -> int:
+    """Number of items; raises when there are fewer than ``min_rows`` or one has no id."""
+    row = items.agg(F.count("*").alias("n"), F.count_if(F.col("movieId").isNull()).alias("nulls")).first()
+    if row["n"] < min_rows or row["nulls"]:
+        raise ValueError(f"{row['n']} items, expected at least {min_rows}; {row['nulls']} of them without an id")
+    return row["n"]

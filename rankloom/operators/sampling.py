@@ -1,26 +1,24 @@
 """Sampling of items a user has not touched: training negatives and ranking candidates.
 
-Every user walks through the catalogue in an order of their own,
-``item(k) = (stride * k + offset) mod n_items``, a permutation because the stride is
-coprime to ``n_items``. The first ``want`` items on the walk that are not excluded
-are the sample. Draws are distinct by construction and nothing is rejected and
-redrawn. The inverse stride tells at which step each excluded item is met, so the
-sample is read off as the gaps between those steps: the drawn rows are generated in
-place and never shuffled, joined or sorted.
+Every user walks through the catalogue in an order of their own: a keyed Feistel network
+maps the steps of the walk to items, one to one. The first ``want`` items on the walk that
+are not excluded are the sample. Draws are distinct by construction and nothing is rejected
+and redrawn. The inverse network tells at which step each excluded item is met, so the
+sample is read off as the gaps between those steps: the drawn rows are generated in place
+and never shuffled, joined or sorted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from math import gcd
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.config import (
     EVAL_NEGATIVES,
-    EVAL_USERS,
     EXPLODE_CHUNK,
     MAX_GROUP_ROWS,
     NEGATIVES_TRAIN,
@@ -33,39 +31,55 @@ from rankloom.sources.staging import broadcast_if_small, stage
 
 # Rows are counted per 2**16 hash values when a sample is cut.
 HASH_CELL_BITS = 16
-# Number of different strides users are spread over.
-STRIDES = 64
+# Rounds of the network, and how far beyond the catalogue its domain may reach.
+WALK_ROUNDS = 6
+WALK_SPARE = 24
 
 
-def walk_strides(n_items: int) -> list[int]:
-    """Strides coprime to ``n_items``, spread evenly over its range."""
-    strides = []
-    for slot in range(STRIDES):
-        stride = n_items * (2 * slot + 1) // (2 * STRIDES) + 1
-        while gcd(stride, n_items) != 1:
-            stride += 1
-        strides.append(stride)
-    return strides
+def walk_shape(n_items: int) -> tuple[int, int]:
+    """Two factors, as alike as can be, of a number from ``n_items`` to WALK_SPARE above it."""
+    best = (1, n_items)
+    for size in range(n_items, n_items + WALK_SPARE + 1):
+        low = isqrt(size)
+        while size % low:
+            low -= 1
+        if low > best[0]:
+            best = (low, size // low)
+    return best
 
 
 class Walk:
-    """The per-user permutation of [0, n_items) as column expressions."""
+    """The per-user permutation of [0, size) as DataFrame steps, size = left * right >= n_items.
+
+    A place is (l, r) = (place div right, place mod right). Rounds add a seeded hash of the
+    user and one half to the other half in turn. Places from n_items on are no items.
+    """
 
     def __init__(self, n_items: int, seed: int):
         if n_items < 1:
             raise ValueError("n_items must be positive")
-        strides = walk_strides(n_items)
-        slot = f"int({seeded_hash_sql(seed, 'user_idx')} % {STRIDES})"
-        offset = f"({seeded_hash_sql(seed + 1, 'user_idx')} % {n_items}L)"
-        inverse = _choice([pow(s, -1, n_items) for s in strides], slot)
-        self.stride = F.expr(_choice(strides, slot))
-        self.offset = F.expr(offset)
-        self.step = F.expr(f"pmod(pmod(bigint(item_idx) - {offset}, {n_items}L) * {inverse}, {n_items}L)")
-
-
-def _choice(values: list[int], slot: str) -> str:
-    """SQL text that picks one of the listed values; the array is a constant of the plan."""
-    return f"array({', '.join(f'{v}L' for v in values)})[{slot}]"
+        self.left, self.right = walk_shape(n_items)
+        self.size, self.seed = self.left * self.right, seed
+
+    def _through(self, df: DataFrame, place: Column, into: str, sign: int) -> DataFrame:
+        """One projection per round keeps the expressions small."""
+        df = df.withColumns({"_l": F.floor(place / self.right), "_r": place % self.right})
+        for i in range(WALK_ROUNDS)[::sign]:
+            half, other, modulus = ("_l", "_r", self.left) if i % 2 == 0 else ("_r", "_l", self.right)
+            key = seeded_hash_sql(self.seed + i, "user_idx", other)
+            df = df.withColumn(half, F.expr(f"pmod({half} {'+' if sign > 0 else '-'} {key}, {modulus}L)"))
+        # Never null, so that no null check is inferred: pushed below the rounds it would
+        # spell them all out in one expression.
+        place = F.coalesce(F.col("_l") * self.right + F.col("_r"), F.lit(0).cast("bigint"))
+        return df.withColumn(into, place).drop("_l", "_r")
+
+    def with_item(self, df: DataFrame, step: str, into: str = "item_idx") -> DataFrame:
+        """Add the place met at each step of the row's user."""
+        return self._through(df, F.col(step).cast("bigint"), into, 1)
+
+    def with_step(self, df: DataFrame, item: str = "item_idx", into: str = "_step") -> DataFrame:
+        """Add the step at which the row's user meets the place."""
+        return self._through(df, F.col(item).cast("bigint"), into, -1)
 
 
 def distinct_pairs(interactions: DataFrame) -> DataFrame:
@@ -95,27 +109,18 @@ def sample_unseen(
     """
     walk = Walk(n_items, seed)
     demand = demand.withColumn("want", F.least(F.col("want"), F.lit(n_items) - F.col("n_excluded")))
-    # The walk cannot be longer than this; excluded items met later do not matter.
-    demand = demand.where("want > 0").withColumn("_end", F.col("want") + F.col("n_excluded"))
-    met = (
-        excluded.withColumn("_step", walk.step)
-        .join(demand, list(keys))
-        .where(F.col("_step") < F.col("_end"))
-        .select(*keys, "want", "_step")
-    )
+    # Places beyond the catalogue are skipped like excluded items. The walk cannot be longer
+    # than this; what is met later does not matter.
+    demand = demand.where("want > 0").withColumn("_end", F.col("want") + F.col("n_excluded") + (walk.size - n_items))
+    beyond = demand.select(*keys, F.explode(F.sequence(F.lit(n_items), F.lit(walk.size - 1))).alias("item_idx")) if walk.size > n_items else None
+    skipped = excluded.select(*keys, "item_idx") if beyond is None else excluded.select(*keys, "item_idx").unionByName(beyond)
+    met = walk.with_step(skipped).join(demand, list(keys)).where(F.col("_step") < F.col("_end")).select(*keys, "want", "_step")
     stops = met.unionByName(demand.select(*keys, "want", F.col("_end").cast("bigint").alias("_step")))
     gaps = _gaps(stops, n_items, max_group_rows, keys)
     free_before = F.col("_previous") + 1 - F.col("_met")
     length = F.least(F.col("_step") - F.col("_previous") - 1, F.col("want") - free_before)
-    # Stride and offset are worked out once per run and carried to its steps.
     runs = (
-        gaps.select(
-            *keys,
-            walk.stride.alias("_stride"),
-            walk.offset.alias("_offset"),
-            (F.col("_previous") + 1).alias("_from"),
-            length.alias("_length"),
-        )
+        gaps.select(*keys, (F.col("_previous") + 1).alias("_from"), length.alias("_length"))
         .where("_length > 0")
         .withColumn("_to", F.col("_from") + F.col("_length") - 1)
     )
@@ -123,18 +128,17 @@ def sample_unseen(
     steps = pieces.withColumn(
         "_k", F.expr(f"explode(sequence(_start, least(_to, _start + {EXPLODE_CHUNK - 1}L)))")
     )
-    item = F.expr(f"int((_k * _stride + _offset) % {n_items}L)")
-    return steps.select(*keys, item.alias("item_idx"))
+    return walk.with_item(steps.select(*keys, "_k"), "_k").select(*keys, F.col("item_idx").cast("int").alias("item_idx"))
 
 
 def _gaps(stops: DataFrame, n_items: int, max_group_rows: int, keys: Sequence[str]) -> DataFrame:
     """Add the previous stop (-1 at first) and the number of stops met before each one.
 
-    A user has at most ``n_items + 1`` stops. When that is more than one task should
+    A user has at most about ``n_items`` stops. When that is more than one task should
     order, the walk is cut into stretches that are ordered apart and joined to the
     totals of the stretches before them.
     """
-    if n_items < max_group_rows:
+    if n_items + WALK_SPARE < max_group_rows:
         order = Window.partitionBy(*keys).orderBy("_step")
         return stops.withColumns(
             {
@@ -228,14 +232,15 @@ def eval_candidates(
     interactions: DataFrame,
     n_items: int,
     n_negatives: int = EVAL_NEGATIVES,
-    max_users: int | None = EVAL_USERS,
+    max_users: int | None = None,
     seed: int = SEED,
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """One held-out item and ``n_negatives`` unseen items per evaluated user.
 
     Train and validation items and the held-out item are excluded; other test items
-    of the user may be drawn. ``max_users`` caps the number of evaluated users.
+    of the user may be drawn. All users with a test item are evaluated unless ``max_users``
+    says how many, chosen by a seeded hash.
     """
     test = interactions.where("split = 'test'")
     held_out = first_test_item(test)

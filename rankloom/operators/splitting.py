@@ -3,19 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.config import MAX_GROUP_ROWS, TRAIN_FRACTION, VAL_FRACTION
 from rankloom.operators.cold_start import key_counts
-from rankloom.sources.staging import stage
-
-DIGIT_BITS = 16
-DIGIT_MASK = (1 << DIGIT_BITS) - 1
-
+from rankloom.sources.staging import broadcast_if_small, stage
 
 def _label(position: Column, total: Column, train: float, val: float) -> Column:
     return (
@@ -37,27 +31,24 @@ def temporal_split(
 ) -> DataFrame:
     """Add ``split``: the first 80 % of a user's rows train, the next 10 % validate.
 
-    ``order`` lists integer columns that should order each history totally, so a row
-    never depends on how ties happen to fall. Users of up to ``max_group_rows`` rows
-    are ranked by a window. Larger ones, whose history must not sit in one task, are
-    cut at boundary rows found by counting (:func:`boundaries`). ``user_counts``
-    (user, _n) saves counting rows per user again; counts of a larger table serve
-    too, they only decide which way a user takes.
+    ``order`` lists columns of any sortable type that should order each history totally, so
+    a row never depends on how ties happen to fall. Users of up to ``max_group_rows`` rows
+    are ranked by a window. Histories that must not sit in one task are dealt out in ranges
+    of their order and numbered across them; either way the parts have the same sizes and,
+    where the order is total, the same rows. ``user_counts`` (user, _n) saves counting rows
+    per user again; counts of a larger table serve too, they only decide which way a user
+    takes.
     """
     counts = user_counts if user_counts is not None else key_counts(df, user)
     large = counts.where(F.col("_n") > max_group_rows).select(user)
     if large.isEmpty():
         return _split_by_window(df, user, order, train_fraction, val_fraction)
-    # At most (number of rows / max_group_rows) users are large.
-    large = F.broadcast(stage(large, "large-users"))
+    large = broadcast_if_small(stage(large, "large-users"))
     small_part = _split_by_window(
         df.join(large, user, "left_anti"), user, order, train_fraction, val_fraction
     )
-    # Read several times, by narrow passes.
     rows = stage(df.join(large, user, "left_semi"), "large-histories")
-    if rows.isEmpty():
-        return small_part
-    return small_part.unionByName(_split_by_boundary(rows, user, order, train_fraction, val_fraction))
+    return small_part.unionByName(_split_by_ranges(rows, user, order, train_fraction, val_fraction, max_group_rows))
 
 
 def _split_by_window(
@@ -70,85 +61,29 @@ def _split_by_window(
     return labelled.drop("_place", "_total")
 
 
-def _split_by_boundary(
-    df: DataFrame, user: str, order: Sequence[str], train: float, val: float
+def _split_by_ranges(
+    df: DataFrame, user: str, order: Sequence[str], train: float, val: float, max_group_rows: int
 ) -> DataFrame:
-    wanted = key_counts(df, user).select(
-        user,
-        F.explode(
-            F.array(
-                F.struct(F.lit("train").alias("_part"), F.floor(F.col("_n") * train).alias("_rank")),
-                F.struct(F.lit("val").alias("_part"), F.floor(F.col("_n") * (train + val)).alias("_rank")),
-            )
-        ).alias("w"),
-    ).select(user, "w._part", "w._rank")
-    # A missing value sorts first, as it does in a window.
-    least = df.agg(*[F.coalesce(F.min(c).cast("bigint"), F.lit(1)).alias(c) for c in order]).first()
-    places = [f"_at_{i}" for i in range(len(order))]
-    placed = df.withColumns(
-        {p: F.coalesce(F.col(c).cast("bigint"), F.lit(least[c] - 1)) for p, c in zip(places, order, strict=True)}
-    )
-    ends = boundaries(placed, wanted, user, places)
-    here = F.struct(*places)
-    last = F.struct(*[F.col(f"_end_{p}").alias(p) for p in places])
-    per_user = ends.groupBy(user).agg(
-        F.max(F.when(F.col("_part") == "train", last)).alias("_train_end"),
-        F.max(F.when(F.col("_part") == "val", last)).alias("_val_end"),
-    )
-    return (
-        placed.join(F.broadcast(per_user), user, "left")
-        .withColumn(
-            "split",
-            F.when(here <= F.col("_train_end"), "train")
-            .when(here <= F.col("_val_end"), "val")
-            .otherwise("test"),
-        )
-        .select(*df.columns, "split")
-    )
-
+    """The split of large users: a range partitioning sorts them, and positions are the rows
+    of the ranges before plus the place inside the own range.
 
-def boundaries(df: DataFrame, wanted: DataFrame, user: str, order: Sequence[str]) -> DataFrame:
-    """The row at each wanted rank of a user's ordered history, found without sorting it.
-
-    ``wanted`` is (user, _part, _rank) and small; ``order`` names integer columns
-    without missing values. The ordering columns are fixed digit
-    by digit, 16 bits at a time: rows that agree with the digits found so far are
-    counted per next digit, and the digit in which the rank falls is kept. Each step
-    is a map-side combined count over at most 65,536 values per wanted row, so a
-    user of any size is handled. Rows equal in every ordering column stay together.
+    Equal rows are told apart by a number each row gets from its place in the staged table,
+    so that a crowd of ties is cut into ranges as well.
     """
-    span = df.agg(
-        *[F.min(c).cast("bigint").alias(f"lo_{c}") for c in order],
-        *[F.max(c).cast("bigint").alias(f"hi_{c}") for c in order],
-    ).first()
-    low = {c: span[f"lo_{c}"] for c in order}
-    state = wanted
-    for depth, column in enumerate(order):
-        bits = max((span[f"hi_{column}"] - low[column]).bit_length(), 1)
-        state = state.withColumn(f"_fixed_{column}", F.lit(0).cast("bigint"))
-        for shift in range((bits - 1) // DIGIT_BITS * DIGIT_BITS, -1, -DIGIT_BITS):
-            offset = F.col(column).cast("bigint") - F.lit(low[column])
-            done = [
-                F.col(c).cast("bigint") - F.lit(low[c]) == F.col(f"_fixed_{c}") for c in order[:depth]
-            ]
-            if shift + DIGIT_BITS < bits:
-                done.append(F.shiftright(offset, shift + DIGIT_BITS) == F.col(f"_fixed_{column}"))
-            matching = df.join(F.broadcast(state), user).where(reduce(and_, done, F.lit(True)))
-            digit = F.shiftright(offset, shift).bitwiseAND(F.lit(DIGIT_MASK))
-            carried = [c for c in state.columns if c not in (user, "_part")]
-            counted = matching.groupBy(user, "_part", *carried, digit.alias("_digit")).agg(
-                F.count("*").alias("_n")
-            )
-            running = Window.partitionBy(user, "_part").orderBy("_digit")
-            through = F.sum("_n").over(running)
-            found = (
-                counted.withColumn("_through", through)
-                .where((F.col("_rank") <= F.col("_through")) & (F.col("_rank") > F.col("_through") - F.col("_n")))
-                .withColumn("_rank", F.col("_rank") - (F.col("_through") - F.col("_n")))
-                .withColumn(f"_fixed_{column}", F.shiftleft(f"_fixed_{column}", DIGIT_BITS) + F.col("_digit"))
-                .select(*state.columns)
-            )
-            state = stage(found, "split-boundary")
-    return state.select(
-        user, "_part", *[(F.col(f"_fixed_{c}") + F.lit(low[c])).alias(f"_end_{c}") for c in order]
-    )
+    parts = max(2, -(-2 * df.count() // max(1, max_group_rows)))
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    ranged = tied.repartitionByRange(parts, user, *order, "_tie").withColumn("_range", F.spark_partition_id())
+    ranged = stage(ranged, "ranges")
+    # One row per user and range.
+    counts = ranged.groupBy(user, "_range").agg(F.count("*").alias("_rows"))
+    ranges = Window.partitionBy(user).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumns(
+        {
+            "_before": F.coalesce(F.sum("_rows").over(ranges), F.lit(0)),
+            "_total": F.sum("_rows").over(Window.partitionBy(user)),
+        }
+    ).drop("_rows")
+    inside = Window.partitionBy(user, "_range").orderBy(*order, "_tie")
+    placed = ranged.withColumn("_place", F.row_number().over(inside)).join(starts, [user, "_range"])
+    place = F.col("_before") + F.col("_place")
+    return placed.withColumn("split", _label(place, F.col("_total"), train, val)).select(*df.columns, "split")

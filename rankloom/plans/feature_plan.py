@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom import schemas
-from rankloom.config import FeatureConfig
+from rankloom.config import SPLIT_STRATEGY, FeatureConfig
+from rankloom.operators import quality
 from rankloom.operators.cold_start import filter_cold_start, key_counts
 from rankloom.operators.features import distributions, interaction_features, item_features, user_features
 from rankloom.operators.ordering import dense_index
@@ -75,19 +76,39 @@ def build(ratings: DataFrame, items: DataFrame, config: FeatureConfig = FeatureC
     return FeatureTables(users, catalogue, enriched)
 
 
+def check(ratings: DataFrame, items: DataFrame) -> dict[str, object]:
+    """The loading contract and the quality report of raw tables: raises when the contract
+    is broken, otherwise reports what the later stages tolerate."""
+    report = quality.summary(ratings).first().asDict()
+    quality.enforce(report, min_rows=1)
+    quality.enforce_items(items)
+    repeated = quality.duplicates(ratings).agg(F.count("*").alias("n")).first()["n"]
+    orphans = quality.orphan_summary(ratings, items).first()["orphan_movie_ids"]
+    years = quality.outside_years(ratings).count()
+    return {"n_raw_ratings": report["total_ratings"], "n_duplicates": repeated, "n_orphan_items": orphans, "n_outside_years": years}
+
+
 def run(
-    ratings: DataFrame, items: DataFrame, output: str, config: FeatureConfig = FeatureConfig()
+    ratings: DataFrame,
+    items: DataFrame,
+    output: str,
+    config: FeatureConfig = FeatureConfig(),
+    *,
+    checked: bool = True,
 ) -> dict[str, object]:
     """Write all outputs of the plan below ``output`` and return the manifest.
 
+    With ``checked`` the raw tables must keep the loading contract first.
+
     interactions/   one table, one directory per split
     user_features/, item_features/, baseline_distributions/, feature_manifest/
     """
     spark = ratings.sparkSession
+    found = check(ratings, items) if checked else {}
     with scope(spark):
         facts = _write(build(ratings, items, config), output)
-    facts |= {
-        "split_strategy": "temporal_per_user",
+    facts |= found | {
+        "split_strategy": SPLIT_STRATEGY,
         "train_frac": config.train_fraction,
         "val_frac": config.val_fraction,
         "test_frac": round(1 - config.train_fraction - config.val_fraction, 10),

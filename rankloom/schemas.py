@@ -11,60 +11,113 @@ from pyspark.sql.types import (
     FloatType,
     IntegerType,
     LongType,
+    MapType,
     StringType,
+    StructField,
     StructType,
 )
 
-_TYPES: dict[str, DataType] = {
-    "INT": IntegerType(),
-    "BIGINT": LongType(),
-    "FLOAT": FloatType(),
-    "DOUBLE": DoubleType(),
-    "STRING": StringType(),
-    "BOOLEAN": BooleanType(),
-    "ARRAY<FLOAT>": ArrayType(FloatType()),
-}
+INT, BIGINT, FLOAT, DOUBLE = IntegerType(), LongType(), FloatType(), DoubleType()
+STRING, BOOLEAN, FLOATS = StringType(), BooleanType(), ArrayType(FloatType())
+TEXTS = MapType(StringType(), StringType())
 
 
-def _columns(text: str) -> StructType:
-    """Schema from "name TYPE, ..." without needing a session at import time."""
-    schema = StructType()
-    for column in text.split(", "):
-        name, kind = column.split(" ")
-        schema.add(name, _TYPES[kind])
-    return schema
+def struct(**columns: DataType) -> StructType:
+    return StructType([StructField(name, kind) for name, kind in columns.items()])
 
 
 # Column names and types of the exchanged tables.
-RATINGS = _columns("userId INT, movieId INT, rating FLOAT, timestamp BIGINT")
-ITEMS = _columns("movieId INT, title STRING, genres STRING")
-TAGS = _columns("userId INT, movieId INT, tag STRING, timestamp BIGINT")
-LINKS = _columns("movieId INT, imdbId STRING, tmdbId INT")
-USER_FEATURES = _columns(
-    "userId INT, user_avg_rating DOUBLE, user_rating_count INT, user_rating_stddev DOUBLE, "
-    "user_active_days INT, user_genre_diversity INT, user_avg_timestamp DOUBLE, "
-    "user_positive_ratio DOUBLE"
+RATINGS = struct(
+    userId=INT,
+    movieId=INT,
+    rating=FLOAT,
+    timestamp=BIGINT,
 )
-ITEM_FEATURES = _columns(
-    "movieId INT, item_avg_rating DOUBLE, item_rating_count INT, item_rating_stddev DOUBLE, "
-    "item_genre_count INT, item_recency_score DOUBLE, item_popularity_rank INT"
+ITEMS = struct(
+    movieId=INT,
+    title=STRING,
+    genres=STRING,
 )
-INTERACTIONS = _columns(
-    "userId INT, movieId INT, rating FLOAT, timestamp BIGINT, "
-    "user_avg_rating DOUBLE, user_rating_count INT, user_rating_stddev DOUBLE, "
-    "user_genre_diversity INT, user_avg_timestamp DOUBLE, user_positive_ratio DOUBLE, "
-    "item_avg_rating DOUBLE, item_rating_count INT, item_rating_stddev DOUBLE, "
-    "item_genre_count INT, item_recency_score DOUBLE, item_popularity_rank INT, "
-    "rating_deviation DOUBLE, popularity_alignment BIGINT, user_idx INT, item_idx INT, "
-    "split STRING"
+TAGS = struct(
+    userId=INT,
+    movieId=INT,
+    tag=STRING,
+    timestamp=BIGINT,
 )
-LABELLED = _columns("user_idx INT, item_idx INT, label FLOAT")
-CANDIDATES = _columns("user_idx INT, item_idx INT, is_positive BOOLEAN")
-FACTORS = _columns("id INT, features ARRAY<FLOAT>, bias FLOAT")
-DISTRIBUTIONS = _columns("feature STRING, value DOUBLE")
-RUN_METRICS = _columns(
-    "run_id STRING, model_type STRING, metric STRING, value DOUBLE, step BIGINT"
+LINKS = struct(
+    movieId=INT,
+    imdbId=STRING,
+    tmdbId=INT,
 )
+USER_FEATURES = struct(
+    userId=INT,
+    user_avg_rating=DOUBLE,
+    user_rating_count=INT,
+    user_rating_stddev=DOUBLE,
+    user_active_days=INT,
+    user_genre_diversity=INT,
+    user_avg_timestamp=DOUBLE,
+    user_positive_ratio=DOUBLE,
+)
+ITEM_FEATURES = struct(
+    movieId=INT,
+    item_avg_rating=DOUBLE,
+    item_rating_count=INT,
+    item_rating_stddev=DOUBLE,
+    item_genre_count=INT,
+    item_recency_score=DOUBLE,
+    item_popularity_rank=INT,
+)
+INTERACTIONS = struct(
+    userId=INT,
+    movieId=INT,
+    rating=FLOAT,
+    timestamp=BIGINT,
+    user_avg_rating=DOUBLE,
+    user_rating_count=INT,
+    user_rating_stddev=DOUBLE,
+    user_genre_diversity=INT,
+    user_avg_timestamp=DOUBLE,
+    user_positive_ratio=DOUBLE,
+    item_avg_rating=DOUBLE,
+    item_rating_count=INT,
+    item_rating_stddev=DOUBLE,
+    item_genre_count=INT,
+    item_recency_score=DOUBLE,
+    item_popularity_rank=INT,
+    rating_deviation=DOUBLE,
+    popularity_alignment=BIGINT,
+    user_idx=INT,
+    item_idx=INT,
+    split=STRING,
+)
+LABELLED = struct(
+    user_idx=INT,
+    item_idx=INT,
+    label=FLOAT,
+)
+CANDIDATES = struct(
+    user_idx=INT,
+    item_idx=INT,
+    is_positive=BOOLEAN,
+)
+FACTORS = struct(
+    id=INT,
+    features=FLOATS,
+    bias=FLOAT,
+)
+DISTRIBUTIONS = struct(
+    feature=STRING,
+    value=DOUBLE,
+)
+RUN_METRICS = struct(
+    run_id=STRING,
+    model_type=STRING,
+    metric=STRING,
+    value=DOUBLE,
+    step=BIGINT,
+)
+RUNS = struct(run_id=STRING, status=STRING, parameters=TEXTS, tags=TEXTS)
 
 USER_JOIN_COLUMNS = tuple(c for c in USER_FEATURES.names if c not in ("userId", "user_active_days"))
 ITEM_JOIN_COLUMNS = tuple(c for c in ITEM_FEATURES.names if c != "movieId")

@@ -1,47 +1,49 @@
 """Stage tables: written once in shared storage, read back as plain scans.
 
-A stage table replaces a cache. It survives the loss of executors, later readers
-prune its columns, and its row count is in the file footers.
+A stage table replaces a cache or a checkpoint. It survives the loss of executors as a
+checkpoint does; unlike one, later readers prune its columns, its row count is in the file
+footers, and it can be deleted as soon as its last reader is done.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.config import MAX_BROADCAST_ROWS
+from rankloom.config import MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def stage_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where the session names none."""
+    """The shared folder of the session: its checkpoint folder, set by configuration or by
+    ``setCheckpointDir``; where there is none, a folder in the warehouse, which is shared too."""
     root = spark.conf.get(CHECKPOINT_CONF, None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-    return os.path.join(tempfile.gettempdir(), "rankloom-stage")
+    if not root:
+        given = spark._jsc.sc().getCheckpointDir()
+        root = given.get() if given.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir')}/_stage"
+    return root.rstrip("/")
 
 
-# Paths of stage tables written inside open scopes, innermost scope last.
-_scopes: list[list[str]] = []
+# Paths written inside the innermost scope of this thread of work. Jobs that run side by
+# side have scopes of their own.
+_scope: ContextVar[list[str] | None] = ContextVar("stage_scope", default=None)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and return a scan of it."""
     spark = df.sparkSession
     path = f"{stage_root(spark)}/rankloom/{name}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    owned = _scope.get()
+    if owned is not None:
+        owned.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -50,7 +52,10 @@ def stage_all(**tables: DataFrame) -> tuple[DataFrame, ...]:
     """Stage independent tables at the same time, so that one's last tasks leave no core idle."""
     spark = next(iter(tables.values())).sparkSession
     with ThreadPoolExecutor(len(tables)) as pool:
-        jobs = [pool.submit(inheritable_thread_target(spark)(stage), df, name) for name, df in tables.items()]
+        jobs = [
+            pool.submit(copy_context().run, inheritable_thread_target(spark)(stage), df, name)
+            for name, df in tables.items()
+        ]
         return tuple(job.result() for job in jobs)
 
 
@@ -61,17 +66,25 @@ def scope(spark: SparkSession) -> Iterator[None]:
     For jobs whose results are written out by then; a lazy result that still reads a
     stage table must not leave the block.
     """
-    _scopes.append([])
+    own: list[str] = []
+    token = _scope.set(own)
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        _scope.reset(token)
+        for path in own:
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def broadcast_if_small(staged: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when a staged (cheaply counted) table has at most ``max_rows`` rows."""
-    if staged.limit(max_rows + 1).count() <= max_rows:
+def staged_bytes(staged: DataFrame) -> int:
+    """Bytes of a staged table's files, as the planner knows them from the listing."""
+    return int(staged._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def broadcast_if_small(staged: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast when a staged table has at most ``max_rows`` rows and ``max_bytes``
+    bytes of files; both are known without reading it."""
+    if staged_bytes(staged) <= max_bytes and staged.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(staged)
     return staged

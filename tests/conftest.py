@@ -32,25 +32,20 @@ def spark(tmp_path_factory):
 
 @pytest.fixture(scope="session")
 def random_ratings(spark):
-    """500 ratings of 50 users and 30 items; pairs may repeat."""
-    rng = np.random.default_rng(42)
+    """720 ratings: 36 users of very unequal size, 45 items, tied times and repeated rows."""
+    rng = np.random.default_rng(910)
+    users = (36 * rng.random(700) ** 2).astype(int) * 3 + 2
     rows = [
-        (int(u), int(m), float(r) / 2, int(t))
-        for u, m, r, t in zip(
-            rng.integers(1, 51, 500),
-            rng.integers(1, 31, 500),
-            rng.integers(1, 11, 500),
-            np.sort(rng.integers(946_684_800, 1_704_067_200, 500)),
-            strict=True,
-        )
+        (int(u), int(m) * 7 + 1, float(r) / 2, 1_200_000_000 + 43_200 * int(t))
+        for u, m, r, t in zip(users, rng.integers(0, 45, 700), rng.integers(1, 11, 700), rng.integers(0, 2_000, 700), strict=True)
     ]
-    return spark.createDataFrame(rows, RATINGS)
+    return spark.createDataFrame(rows + rows[:20], RATINGS)
 
 
 @pytest.fixture(scope="session")
 def small_items(spark):
-    genres = ["Action|Drama", "Comedy", "Drama", "Horror|Sci-Fi", "Romance"]
-    rows = [(i, f"Movie {i}", genres[i % 5]) for i in range(1, 31)]
+    words = ["Noir", "War|Western", "Musical", "Crime|Noir|War", "Western", None, ""]
+    rows = [(7 * i + 1, f"Item no. {i}", words[i % 7]) for i in range(44)]
     return spark.createDataFrame(rows, "movieId int, title string, genres string")
 
 

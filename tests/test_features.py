@@ -137,7 +137,7 @@ def test_index_is_contiguous_in_id_order(spark, ids):
 
 def test_remap_keeps_rows(random_ratings):
     mapped, users, items = remap_ids(random_ratings)
-    assert mapped.count() == 500
+    assert mapped.count() == 720
     top = mapped.agg(F.max("user_idx"), F.max("item_idx"), F.min("user_idx")).first()
     assert tuple(top) == (users.count() - 1, items.count() - 1, 0)
 

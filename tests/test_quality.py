@@ -34,15 +34,15 @@ def test_summary(dirty):
         "total_users": 3,
         "total_movies": 3,
     }
-    with pytest.raises(ValueError, match="without a user or item"):
+    with pytest.raises(ValueError, match="without a user, item or rating"):
         quality.enforce(row)
 
 
 def test_enforce(random_ratings):
     row = quality.summary(random_ratings).first().asDict()
-    quality.enforce(row, min_rows=500)
-    with pytest.raises(ValueError, match="at least 501"):
-        quality.enforce(row, min_rows=501)
+    quality.enforce(row, min_rows=720)
+    with pytest.raises(ValueError, match="at least 721"):
+        quality.enforce(row, min_rows=721)
 
 
 def test_duplicates(dirty):

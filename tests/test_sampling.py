@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from math import gcd
 
 import numpy as np
 import pytest
@@ -25,11 +24,43 @@ def by_user(rows):
     return out
 
 
-@pytest.mark.parametrize("n_items", [1, 2, 6, 30, 210, 2_310, 65_536, 1_000_003])
-def test_strides_are_coprime(n_items):
-    strides = sampling.walk_strides(n_items)
-    assert len(strides) == sampling.STRIDES
-    assert all(gcd(s, n_items) == 1 for s in strides)
+@pytest.mark.parametrize("n_items", [1, 2, 6, 97, 2_310, 65_537, 1_000_003])
+def test_walk_domain_is_close_and_balanced(n_items):
+    low, high = sampling.walk_shape(n_items)
+    assert n_items <= low * high <= n_items + sampling.WALK_SPARE
+    assert low <= high and low >= min(n_items, 2)
+
+
+@pytest.mark.parametrize("n_items", [1, 5, 97, 1_009])
+def test_walk_is_a_permutation_and_its_inverse(spark, n_items):
+    walk = sampling.Walk(n_items, 11)
+    steps = spark.range(walk.size).select(F.lit(4).alias("user_idx"), F.col("id").alias("k"))
+    rows = walk.with_step(walk.with_item(steps, "k")).collect()
+    assert sorted(r["item_idx"] for r in rows) == list(range(walk.size))
+    assert all(r["_step"] == r["k"] for r in rows)
+
+
+def test_draws_of_a_user_are_no_lattice(spark):
+    n, want = 1_000_003, 400
+    users = spark.createDataFrame([(u, 0) for u in range(20)], PAIRS)
+    got = by_user((r["user_idx"], r["item_idx"]) for r in sampling.negative_samples(users, n, want).where("label = 0").collect())
+    gaps = {u: np.diff(sorted(items)) for u, items in got.items()}
+    assert all(len(set(g.tolist())) > want * 0.9 for g in gaps.values())
+    # Of uniform draws about a tenth of the gaps is below a tenth of their mean.
+    share = np.mean([np.mean(g < n / want / 10) for g in gaps.values()])
+    assert 0.06 < share < 0.14
+    # Users share no more draws than chance lets them.
+    both = [len(set(got[a]) & set(got[b])) for a in got for b in got if a < b]
+    assert np.mean(both) < 1
+
+
+def test_pairs_of_draws_are_uniform(spark):
+    """Two draws of 12 free items: every pair about equally often."""
+    users = spark.range(6_600).select(F.col("id").cast("int").alias("user_idx"), F.lit(0).alias("item_idx"))
+    got = by_user((r["user_idx"], r["item_idx"]) for r in sampling.negative_samples(users, 13, 2).where("label = 0").collect())
+    counts = Counter(tuple(sorted(i)) for i in got.values())
+    assert len(counts) == 66
+    assert sum((c - 100) ** 2 / 100 for c in counts.values()) < 130  # 65 degrees of freedom
 
 
 @pytest.mark.parametrize("seed", [1, 42, 7_777])
@@ -63,15 +94,14 @@ def test_walk_order_equals_plain_rejection(spark):
     n = 97
     rows, df = pairs_of(spark, 5, n_users=8, n_items=n, n=200)
     walk = sampling.Walk(n, 3)
-    users = df.select("user_idx").distinct()
-    params = {r[0]: (r[1], r[2]) for r in users.select("user_idx", walk.stride, walk.offset).collect()}
+    steps = df.select("user_idx").distinct().crossJoin(spark.range(walk.size).withColumnRenamed("id", "k"))
+    order = by_user((r["user_idx"], r["item_idx"]) for r in walk.with_item(steps, "k").orderBy("user_idx", "k").collect())
     got = by_user(
         (r["user_idx"], r["item_idx"])
         for r in sampling.negative_samples(df, n, 2, seed=3).where("label = 0").collect()
     )
     for user, items in by_user(rows).items():
-        stride, offset = params[user]
-        free = [i for i in ((k * stride + offset) % n for k in range(n)) if i not in set(items)]
+        free = [i for i in order[user] if i < n and i not in set(items)]
         assert sorted(got[user]) == sorted(free[: 2 * len(set(items))])
 
 
@@ -149,6 +179,7 @@ def test_eval_candidates(spark):
         seen = {i for v, i, _, s in rows if v == u and s != "test"}
         assert len(set(drawn)) == len(drawn) == 99
         assert not (seen | {held_out[u]}) & set(drawn)
+    # No cap unless asked for.
     capped = sampling.eval_candidates(df, 150, 99, max_users=3)
     assert capped.select("user_idx").distinct().count() == 3
     # 30 items: fewer than 99 are left.

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import pathlib
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,8 +91,30 @@ def test_scope_removes_its_tables(spark):
     assert kept.count() == 3
 
 
+def test_scopes_of_jobs_side_by_side(spark):
+    """A job that ends first must not delete what the other still reads."""
+    ready, done = threading.Event(), threading.Event()
+
+    def short():
+        with staging.scope(spark):
+            staging.stage(spark.range(2), "short")
+            ready.wait(60)
+        done.set()
+
+    worker = threading.Thread(target=short)
+    with staging.scope(spark):
+        worker.start()
+        own = staging.stage(spark.range(3), "own")
+        ready.set()
+        done.wait(60)
+        assert own.count() == 3
+    worker.join()
+
+
 def test_broadcast_only_when_small(spark):
     staged = staging.stage(spark.range(50), "probe")
+    heavy = staging.broadcast_if_small(staged, max_bytes=100)
+    assert "strategy=broadcast" not in spark.range(10).join(heavy, "id")._jdf.queryExecution().analyzed().toString()
     joined = lambda limit: spark.range(10).join(staging.broadcast_if_small(staged, limit), "id")
     assert "strategy=broadcast" in joined(50)._jdf.queryExecution().analyzed().toString()
     assert "strategy=broadcast" not in joined(49)._jdf.queryExecution().analyzed().toString()

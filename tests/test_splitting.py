@@ -37,7 +37,7 @@ def brute(rows):
 @pytest.mark.parametrize("limit", [10**6, 30, 0])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_equals_sorting(spark, seed, limit):
-    """Also with a user of a third of all rows and users cut by counting instead of sorting."""
+    """Also with a user of a third of all rows and users dealt out in ranges."""
     rows, df = history(spark, seed, {1: 1, 2: 2, 3: 9, 4: 10, 5: 31, 6: 200, 7: 347})
     got = {r["line"]: r["split"] for r in temporal_split(df, order=ORDER, max_group_rows=limit).collect()}
     assert got == brute(rows)
@@ -50,6 +50,17 @@ def test_one_timestamp_for_everything(spark):
     assert Counter(got.values()) == {"train": 408, "val": 51, "test": 51}
 
 
+def test_equal_rows_and_any_type_are_cut_by_position(spark):
+    """Ties in every ordering column, and a text column: the parts have the same sizes."""
+    df = spark.createDataFrame([(1, 5, 3.0, 7, 0)] * 100, SCHEMA)
+    for limit in (10**6, 20):
+        got = Counter(r["split"] for r in temporal_split(df, order=("timestamp",), max_group_rows=limit).collect())
+        assert got == {"train": 80, "val": 10, "test": 10}
+    words = spark.createDataFrame([(1, f"w{i:03d}") for i in range(100)], "userId int, word string")
+    cut = temporal_split(words, order=("word",), max_group_rows=20).collect()
+    assert max(r["word"] for r in cut if r["split"] == "train") == "w079"
+
+
 def test_no_leak_over_time(spark, random_ratings):
     ends = defaultdict(lambda: {"train": [], "val": [], "test": []})
     for r in temporal_split(random_ratings).collect():
