@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,7 +90,7 @@ def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def bounded[T: (str, bytes)](texts: list[T], most: int) -> Iterator[list[T]]:
+def bounded[T: (str, bytes)](texts: Iterable[T], most: int) -> Iterator[list[T]]:
     """The texts in order, in parts of at most ``most`` characters or bytes;
     a longer text goes alone."""
     part, size = [], 0

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -26,13 +26,13 @@ from rankloom.llm.common import bounded, offsets, ranges, utf8
 #: automaton, symbols of all, and letters told apart (the others count as one).
 SAMPLE_TEXTS = 128
 SAMPLE_CHARS = 2_000
-LANGUAGE_SYMBOLS = 40_000
-ALL_SYMBOLS = 400_000
+LANGUAGE_SYMBOLS = 25_000
+ALL_SYMBOLS = 250_000
 LETTERS = 120
 
 #: Symbols parsed in one stretch, and bytes of text parsed at a time.
 STRETCH = 512
-PART_BYTES = 4_000_000
+PART_BYTES = 2_000_000
 
 UNDETERMINED = "und"
 
@@ -66,40 +66,35 @@ class Automaton:
     """
 
     def __init__(self, symbols: list[int], width: int):
-        follow: list[dict[int, int]] = [{}]
+        # Rows of next states while the automaton grows; -1: none.
+        follow = np.full((2 * len(symbols) + 2, width), -1, np.int32)
         link, length, last = [-1], [0], 0
         for c in symbols:
-            new = len(follow)
-            follow.append({})
+            new = len(link)
             length.append(length[last] + 1)
             link.append(0)
             p = last
-            while p >= 0 and c not in follow[p]:
-                follow[p][c] = new
+            while p >= 0 and follow[p, c] < 0:
+                follow[p, c] = new
                 p = link[p]
             if p >= 0:
-                q = follow[p][c]
+                q = int(follow[p, c])
                 if length[q] == length[p] + 1:
                     link[new] = q
                 else:
-                    copy = len(follow)
-                    follow.append(dict(follow[q]))
+                    copy = len(link)
+                    follow[copy] = follow[q]
                     length.append(length[p] + 1)
                     link.append(link[q])
-                    while p >= 0 and follow[p].get(c) == q:
-                        follow[p][c] = copy
+                    while p >= 0 and follow[p, c] == q:
+                        follow[p, c] = copy
                         p = link[p]
                     link[q] = link[new] = copy
             last = new
-        rows = np.repeat(np.arange(len(follow)), [len(f) for f in follow])
-        columns = np.array([c for f in follow for c in f], np.int64)
-        targets = np.array([t for f in follow for t in f.values()], np.int64)
-        first = np.ones(width, np.int64)
-        for c, t in follow[0].items():
-            first[c] = 2 * t * width + 1
-        table = np.tile(first, (len(follow), 1))
-        longer = rows > 0
-        table[rows[longer], columns[longer]] = 2 * targets[longer] * width
+        follow = follow[: len(link)]
+        begin = np.where(follow[0] >= 0, 2 * follow[0] * width + 1, 1)
+        table = np.where(follow >= 0, 2 * follow * width, begin)
+        table[0] = begin
         self.table = table.ravel()
         self.symbols = len(symbols)
 
@@ -131,12 +126,14 @@ class Languages:
         self.width = len(letters) + 2
         self.names = sorted(lang for lang, text in by.items() if any(c.isalpha() for c in text))
         most = min(LANGUAGE_SYMBOLS, ALL_SYMBOLS // max(1, len(self.names)))
-        self.automata = [Automaton(self.symbols(by[lang])[:most].tolist(), self.width) for lang in self.names]
-        starts = offsets(np.array([len(a.table) for a in self.automata], np.int64))
+        automata = [Automaton(self.symbols(by[lang])[:most].tolist(), self.width) for lang in self.names]
+        starts = offsets(np.array([len(a.table) for a in automata], np.int64))
         # One table: rows of a language point into its own part.
-        self.table = np.concatenate([a.table + 2 * s for a, s in zip(self.automata, starts, strict=False)] or [np.zeros(0)]).astype(np.int32)
+        self.table = np.zeros(starts[-1], np.int32)
+        for a, start in zip(automata, starts, strict=False):
+            self.table[start : start + len(a.table)] = a.table + np.int32(2 * start)
         self.start = starts[:-1].astype(np.int32)
-        self.bits = np.array([math.log2(a.symbols + 1) for a in self.automata])
+        self.bits = np.array([math.log2(a.symbols + 1) for a in automata])
 
     def symbols(self, text: str) -> np.ndarray:
         """Letters by number, and one mark between words."""
@@ -187,7 +184,8 @@ class Languages:
         return out
 
 
-@cache
+# Workers live on: only the latest automata are kept.
+@lru_cache(maxsize=1)
 def languages(texts: tuple[tuple[str, str], ...]) -> Languages:
     return Languages(texts)
 
@@ -204,7 +202,7 @@ def language(text: str | Column, texts: list[tuple[str, str]]) -> Column:
         own = languages(learned)
         for batch in batches:
             found: list[Guess] = []
-            for part in bounded([t or b"" for t in batch.to_pylist()], PART_BYTES):
+            for part in bounded((t.as_py() or b"" for t in batch), PART_BYTES):
                 found += own.guess([t.decode("utf-8", "replace") for t in part])
             lang, score, rate = zip(*found, strict=True) if found else ((), (), ())
             yield pa.StructArray.from_arrays(

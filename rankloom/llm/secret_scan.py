@@ -225,7 +225,7 @@ def secret_spans(text: str | Column, rules: tuple[Rule, ...] = RULES) -> Column:
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = scanner(rules)
         for batch in batches:
-            texts = [t or b"" for t in batch.to_pylist()]
+            texts = (t.as_py() or b"" for t in batch)
             found = [one for part in bounded(texts, SHARD_BYTES) for one in own.scan(part)]
             spans = [[{"kind": rules[k].kind, "start": s, "end": e} for s, k, e in one] for one in found]
             yield pa.array(spans, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))

@@ -32,7 +32,7 @@ from rankloom.llm.common import bounded, offsets, utf8
 SPACE_MARK = "▁"
 
 #: Stretches remembered by a Python worker.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 #: Stretches merged side by side.
 MANY = 8_000
@@ -252,7 +252,7 @@ def coded(text: str | Column, path: str) -> Column:
     def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = piece_model(path)
         for batch in batches:
-            texts = [t.as_py().decode("utf-8", "replace") if t.is_valid else "" for t in batch]
+            texts = (t.as_py().decode("utf-8", "replace") if t.is_valid else "" for t in batch)
             ids, decoded, wrong = [], [], 0
             for part in bounded(texts, BATCH_CHARS):
                 some, bad = model.encode(part)
