@@ -40,6 +40,25 @@ from doc left join hit using (r) left join named using (r)
 """
 
 
+ORACLES["op9_repeated_phrases"] = r"""
+with doc as (
+  select row_number() over (order by doc_id, text) as r,
+    doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w
+  from documents),
+start as (
+  select r, i, array_to_string(w[i:i + 19], ' ') as phrase
+  from (select r, w, unnest(range(1, len(w) - 18)) as i from doc where len(w) >= 20)),
+again as (select r, i from (select r, i, row_number() over (partition by phrase order by r, i) as nth from start) where nth > 1),
+gone as (select distinct r, place from (select r, unnest(range(i, i + 20)) as place from again)),
+word as (select r, unnest(w) as word, unnest(range(1, len(w) + 1)) as place from doc),
+kept as (
+  select r, count(*) as n_kept, string_agg(word, ' ' order by place) as text
+  from word anti join gone using (r, place) group by r)
+select doc_id, len(w) as n_words, len(w) - coalesce(n_kept, 0) as n_removed, sha256(coalesce(text, '')) as kept_sha256
+from doc left join kept using (r)
+"""
+
+
 def sharding_sql(limit: int, depths: int = 24) -> str:
     """Sums over every prefix; a row is in the shortest prefix that fits (ids do not repeat)."""
     return f"""

@@ -21,6 +21,7 @@ by 96 bits of hash.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -38,6 +39,9 @@ PHRASE = 8
 SHARD_BYTES = 8_000_000
 BUCKET_BYTES = 16_000_000
 
+#: Bits of a word's number that one letter of an automaton's text stands for.
+LETTER_BITS = 5
+
 #: Odd multipliers of two rolling hashes modulo 2**64, and a seed.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 SEED = 9
@@ -79,7 +83,8 @@ class Shard:
 
     def hash_words(self) -> None:
         own = WordHashes()
-        self.hashes = np.fromiter((h for w in self.words for h in map(own.__getitem__, w)), np.uint64, int(self.base[-1]))
+        words = chain.from_iterable(self.words)
+        self.hashes = np.fromiter(map(own.__getitem__, words), np.uint64, int(self.base[-1]))
 
     def window_starts(self) -> np.ndarray:
         """Places where a window fits into its document."""
@@ -162,13 +167,27 @@ WINDOWS = "bucket int, shard int, hashes binary, checks binary, docs binary, pla
 WINDOW_FIELDS = [("bucket", pa.int32()), ("shard", pa.int32())] + [(n, pa.binary()) for n in ("hashes", "checks", "docs", "places", "later")]
 
 
-def phrase_automaton(symbols: np.ndarray, places: np.ndarray) -> ahocorasick.Automaton:
-    """Automaton of the phrases that start at the given places."""
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    for phrase in symbols[places[:, None] + np.arange(PHRASE)].tolist():
-        automaton.add_word(tuple(phrase))
+def as_letters(symbols: np.ndarray) -> tuple[str, int]:
+    """Numbers written with equally many letters each, and how many. A first letter is none
+    of the others, so a phrase is found at whole numbers only; few letters keep the nodes of
+    an automaton narrow."""
+    width = max(1, -(-int(symbols.max(initial=0)).bit_length() // LETTER_BITS))
+    letters = np.empty((len(symbols), width), np.uint8)
+    for i in range(width):
+        letters[:, i] = 48 + ((symbols >> LETTER_BITS * i) & ((1 << LETTER_BITS) - 1))
+    letters[:, 0] += 1 << LETTER_BITS
+    return letters.tobytes().decode("latin-1"), width
+
+
+def occurrences(symbols: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """All places of the phrases that start at the given ones."""
+    text, width = as_letters(symbols)
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for place in places.tolist():
+        automaton.add_word(text[width * place : width * (place + PHRASE)])
     automaton.make_automaton()
-    return automaton
+    ends = np.fromiter((end for end, _ in automaton.iter(text)), np.int64)
+    return (ends + 1) // width - PHRASE
 
 
 def _locate_windows(buckets: int):
@@ -189,15 +208,14 @@ def _locate_windows(buckets: int):
             return _rows([], WINDOW_FIELDS)
         _, first = np.unique(phrases[known], return_index=True)
         _, symbols = np.unique(shard.hashes, return_inverse=True)
-        automaton = phrase_automaton(symbols, known[first])
+        places = occurrences(symbols, known[first])
+        doc = np.searchsorted(shard.base, places, side="right")
+        start, end = shard.base[doc - 1], shard.base[doc]
+        inside = (places + PHRASE <= end) & (end - start >= WINDOW)
+        places, start, end = places[inside], start[inside], end[inside]
         change = np.zeros(int(shard.base[-1]) + 1, np.int32)
-        for start, end in zip(shard.base[:-1].tolist(), shard.base[1:].tolist(), strict=True):
-            if end - start < WINDOW:
-                continue
-            ends = np.array([i for i, _ in automaton.iter(tuple(symbols[start:end].tolist()))], np.int64)
-            places = start + ends - PHRASE + 1
-            np.add.at(change, np.maximum(places - (WINDOW - PHRASE), start), 1)
-            np.add.at(change, np.minimum(places, end - WINDOW) + 1, -1)
+        np.add.at(change, np.maximum(places - (WINDOW - PHRASE), start), 1)
+        np.add.at(change, np.minimum(places, end - WINDOW) + 1, -1)
         near = np.cumsum(change) > 0
         starts = shard.window_starts()
         starts = starts[near[starts]]

@@ -1,0 +1,29 @@
+"""Queries with SQL give the same rows in both engines; the others give one row per document."""
+
+from __future__ import annotations
+
+import pytest
+
+import __spark_entry__ as entry
+from rankloom.llm import ORACLES, QUERIES
+from tests.compare import connect, run
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def con():
+    return connect(FOLDER)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, con, name):
+    problem, rows, _ = run(spark, con, FOLDER, QUERIES[name], ORACLES.get(name))
+    assert problem is None
+    assert rows == (200 if name != "op1_nearest_neighbours" else 50)
+
+
+def test_registered():
+    assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
+    assert set(ORACLES) <= set(entry.oracle_sql())
+    assert [n for n in sorted(QUERIES) if n.startswith("op")] == sorted(QUERIES) and len(QUERIES) == 10
