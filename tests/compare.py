@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -70,6 +71,7 @@ if __name__ == "__main__":
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="rankloom-compare-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
