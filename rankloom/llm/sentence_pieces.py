@@ -239,12 +239,25 @@ def piece_model(path: str) -> PieceModel:
 
 
 #: Characters handed to the model at a time.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 
 
 CODED = "struct<ids:array<int>,decoded:string,disagreements:int>"
 
 
+CODED_TYPE = pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.string()), ("disagreements", pa.int32())])
+
+
+def coded_part(model: PieceModel, texts: list[str]) -> pa.StructArray:
+    """Texts encoded and decoded; the disagreements of all stand on the first row."""
+    ids, wrong = model.encode(texts)
+    decoded = model.library.decode([np.frombuffer(i, np.int32).tolist() for i in ids], num_threads=1)
+    starts = pa.array(offsets(np.array([len(i) // 4 for i in ids], np.int64)), pa.int32())
+    lists = pa.ListArray.from_arrays(starts, pa.array(np.frombuffer(b"".join(ids), np.int32)))
+    counts = [wrong] + [0] * (len(ids) - 1)
+    return pa.StructArray.from_arrays([lists, pa.array(decoded, pa.string()), pa.array(counts, pa.int32())], fields=list(CODED_TYPE))
+
+
 def coded(text: str | Column, path: str) -> Column:
     """ids (end id included), decoded text and disagreements with the library, per text."""
 
@@ -253,20 +266,8 @@ def coded(text: str | Column, path: str) -> Column:
         model = piece_model(path)
         for batch in batches:
             texts = (t.as_py().decode("utf-8", "replace") if t.is_valid else "" for t in batch)
-            ids, decoded, wrong = [], [], 0
-            for part in bounded(texts, BATCH_CHARS):
-                some, bad = model.encode(part)
-                decoded += model.library.decode([np.frombuffer(i, np.int32).tolist() for i in some], num_threads=1)
-                ids += some
-                wrong += bad
-            # The count of a batch stands on its first row.
-            counts = [wrong] + [0] * (len(ids) - 1) if ids else []
-            starts = pa.array(offsets(np.array([len(i) // 4 for i in ids], np.int64)), pa.int32())
-            lists = pa.ListArray.from_arrays(starts, pa.array(np.frombuffer(b"".join(ids), np.int32)))
-            yield pa.StructArray.from_arrays(
-                [lists, pa.array(decoded, pa.string()), pa.array(counts, pa.int32())],
-                ["ids", "decoded", "disagreements"],
-            )
+            done = [coded_part(model, part) for part in bounded(texts, BATCH_CHARS)]
+            yield pa.concat_arrays(done) if done else pa.array([], CODED_TYPE)
 
     return code(utf8(text)).alias("coded")
 
