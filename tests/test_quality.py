@@ -67,3 +67,13 @@ def test_years(dirty):
 def test_empty_input(spark):
     row = quality.summary(spark.createDataFrame([], RATINGS)).first()
     assert (row["total_ratings"], row["total_users"], row["min_rating"]) == (0, 0, None)
+
+
+def test_missing_rating_and_item_floor(spark):
+    ratings = spark.createDataFrame([(1, 1, None, DAY_2000)], RATINGS)
+    with pytest.raises(ValueError, match="without a user, item or rating"):
+        quality.enforce(quality.summary(ratings).first().asDict())
+    items = spark.createDataFrame([(1, "a", "x")], "movieId int, title string, genres string")
+    assert quality.enforce_items(items) == 1
+    with pytest.raises(ValueError, match="at least 2"):
+        quality.enforce_items(items, min_rows=2)
