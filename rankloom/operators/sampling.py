@@ -146,7 +146,8 @@ def _gaps(stops: DataFrame, n_items: int, max_group_rows: int, keys: Sequence[st
                 "_met": F.row_number().over(order) - 1,
             }
         )
-    stops = stops.withColumn("_stretch", F.floor(F.col("_step") / max_group_rows))
+    # Never null, for the reason given in Walk.
+    stops = stops.withColumn("_stretch", F.coalesce(F.floor(F.col("_step") / max_group_rows), F.lit(0)))
     earlier = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         stops.groupBy(*keys, "_stretch")
