@@ -27,10 +27,25 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d(+.-])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?![\d-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
+    "card": r"(?:(?<![\w.-])|(?<=\d-))\d(?:[ -]?\d){12,18}(?!\w|-(?!\d))",
 }
-#: First the kinds with most structure; a match is of the first kind it fits.
-ANY = "|".join(PATTERNS.values())
+#: First the kinds with most structure; a place is of the first kind that fits and is valid.
+#: Texts are cut wherever a kind may begin, inside longer matches too.
+START = f"(?={'|'.join(PATTERNS.values())})"
+#: Characters that an e-mail address or anything else may take, and the places inside at
+#: which other kinds may begin.
+LONGEST_EMAIL, LONGEST, STARTS = 640, 64, 64
+#: Kinds whose groups may run on into neighbours: shorter readings are tried too.
+RUN_ON = ("phone", "iban", "card")
+#: Country codes with the digits that follow, where the plan of the country fixes them.
+#: Elsewhere any 8 to 15 digits are a number.
+PHONE_LENGTHS = (
+    "1[0-9]{10}|7[0-9]{10}|20[0-9]{8,10}|(?:27|3[0134]|4[0178]|56|6[1]|9[34])[0-9]{9}|3[26][0-9]{8,9}|44[0-9]{10}"
+    "|(?:45|65)[0-9]{8}|46[0-9]{7,9}|(?:52|58|9[018])[0-9]{10}|51[0-9]{8,9}|5[45][0-9]{10,11}|6[346][0-9]{8,10}"
+    "|8[124][0-9]{9,10}|86[0-9]{10,11}|92[0-9]{9,10}|351[0-9]{9}|353[0-9]{7,9}|354[0-9]{7}|355[0-9]{8,9}"
+    "|(?:356|357|370|371|373|374|852|853|965|968|973|974)[0-9]{8}|359[0-9]{7,9}|372[0-9]{7,8}|(?:375|380|420|421|966)[0-9]{9}"
+    "|(?:381|385|386|886|962|971|972)[0-9]{8,9}|880[0-9]{10}"
+)
 
 #: Days of the Gregorian cycle, 189 x 773, from this day on. Dates outside stay as they are.
 FIRST_DAY, CYCLE = "1800-01-01", (189, 773)
@@ -267,51 +282,150 @@ def email_pseudonym(value: Column, key: str) -> Column:
     return F.concat(joined, F.substring(value, F.length(local) + 1, F.length(value)))
 
 
+def known_phone(value: Column) -> Column:
+    """As many digits as the country has; ten where none is named."""
+    digits = only_digits(value)
+    return F.when(value.startswith("+"), digits.rlike(f"^(?:{PHONE_LENGTHS})$")).otherwise(F.length(digits) == 10)
+
+
+VALID = {
+    "email": [lambda value: F.lit(True)],
+    "ip": [lambda value: F.lit(True)],
+    "date": [lambda value: day_number(value).isNotNull()],
+    "ssn": [ssn_valid],
+    # The first rule that some reading meets decides.
+    "phone": [known_phone, valid_phone],
+    "iban": [valid_iban],
+    "card": [valid_card],
+}
+PSEUDONYMS = {
+    "email": email_pseudonym,
+    "ip": ip_pseudonym,
+    "date": date_pseudonym,
+    "ssn": ssn_pseudonym,
+    "phone": phone_pseudonym,
+    "iban": iban_pseudonym,
+    "card": card_pseudonym,
+}
+
+
 def whole(pattern: str) -> str:
     return f"^(?:{pattern})$"
 
 
-def pseudonym(value: Column, key: str) -> Column:
-    """Struct (kind, value) of one match of ANY; kind is null and the value unchanged where
-    the checks fail."""
-    is_ = {kind: value.rlike(whole(p)) for kind, p in PATTERNS.items()}
-    rules = [
-        ("email", is_["email"], email_pseudonym),
-        ("ip", is_["ip"], ip_pseudonym),
-        ("date", is_["date"] & day_number(value).isNotNull(), date_pseudonym),
-        ("ssn", is_["ssn"] & ssn_valid(value), ssn_pseudonym),
-        ("phone", is_["phone"] & valid_phone(value), phone_pseudonym),
-        ("iban", is_["iban"] & valid_iban(value), iban_pseudonym),
-        ("card", is_["card"] & valid_card(value), card_pseudonym),
-    ]
-    unchanged = F.struct(F.lit(None).cast("string").alias("kind"), value.alias("value"))
-    return reduce(
-        lambda otherwise, rule: F.when(rule[1], F.struct(F.lit(rule[0]).alias("kind"), rule[2](value, key).alias("value"))).otherwise(otherwise),
-        reversed(rules),
-        unchanged,
-    )
+def reading(kind: str, window: Column) -> Column:
+    """The longest valid value of the kind at the third character of the window; null if none.
+
+    Kinds that run on may end at any group border of the match.
+    """
+    pattern = PATTERNS[kind]
+
+    def chosen(match: Column) -> Column:
+        if kind not in RUN_ON:
+            return F.when((match != "") & VALID[kind][0](match), match)
+
+        def at_border(n: Column) -> Column:
+            return (n == F.length(match)) | F.substring(match, n + 1, F.lit(1)).rlike(r"[ .(-]")
+
+        lengths = F.filter(F.sequence(F.length(match), F.lit(1), F.lit(-1)), at_border)
+        shorter = F.filter(F.transform(lengths, lambda n: F.substring(match, F.lit(1), n)), lambda v: v.rlike(whole(pattern)))
+        first = F.transform(F.array(shorter), lambda vs: F.coalesce(*(F.get(F.filter(vs, valid), F.lit(0)) for valid in VALID[kind])))
+        return F.when(match != "", first[0])
+
+    most = LONGEST_EMAIL if kind == "email" else LONGEST
+    match = F.regexp_extract(F.substring(window, 1, most), rf"(?s)\A..({pattern})", 1)
+    return F.transform(F.array(match), chosen)[0]
+
+
+def read_at(parts: Column, i: Column) -> Column:
+    """Struct (kind, value, n, own, over) of the part that begins a text's i-th cut: what is
+    read there (kind is null if nothing), its length, the part's own length and the number
+    of parts that the value touches."""
+    before = F.substring(F.coalesce(F.get(parts, i - 1), F.lit("")), -2, 2)
+    before = F.lpad(F.regexp_replace(before, r"[^\w.%+(/-]", " "), 2, " ")
+    near = F.slice(parts, i + 1, F.lit(STARTS))
+    enough = lambda text, part: F.when(F.length(text) >= LONGEST_EMAIL, text).otherwise(F.concat(text, F.substring(part, 1, LONGEST_EMAIL)))
+    window = F.aggregate(near, before, enough)
+
+    def first_kind(w: Column) -> Column:
+        none = F.struct(F.lit(None).cast("string").alias("kind"), F.lit("").alias("value"))
+        found = F.array(*(F.struct(F.lit(kind).alias("kind"), reading(kind, w).alias("value")) for kind in PATTERNS))
+        return F.coalesce(F.get(F.filter(found, lambda r: r["value"].isNotNull()), F.lit(0)), none)
+
+    def measured(r: Column) -> Column:
+        n = F.length(r["value"])
+        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("over"))
+        reach = F.aggregate(near, start, lambda s, p: F.when(s["n"] < n, F.struct((s["n"] + F.length(p)).alias("n"), (s["over"] + 1).alias("over"))).otherwise(s))
+        return F.struct(r["kind"].alias("kind"), r["value"].alias("value"), n.alias("n"), F.length(F.get(parts, i)).alias("own"), F.greatest(reach["over"], F.lit(1)).alias("over"))
+
+    return F.transform(F.transform(F.array(window), first_kind), measured)[0]
+
+
+def wanted(reads: Column) -> Column:
+    """Array of "1" for readings of the choice without overlaps that covers most characters
+    from there on, the earlier one of equals, and "0"."""
+    # From the end: characters covered from each of the next parts on, and the marks so far.
+    start = F.struct(F.array(F.lit(0)).alias("covered"), F.lit("").alias("marks"))
+
+    def step(s: Column, r: Column) -> Column:
+        without = F.get(s["covered"], F.lit(0))
+        with_it = r["n"] + F.coalesce(F.get(s["covered"], r["over"] - 1), F.lit(0))
+        take = (r["n"] > 0) & (with_it >= without)
+        covered = F.slice(F.concat(F.array(F.when(take, with_it).otherwise(without)), s["covered"]), 1, STARTS)
+        return F.struct(covered.alias("covered"), F.concat(F.when(take, "1").otherwise("0"), s["marks"]).alias("marks"))
+
+    return F.split(F.aggregate(F.reverse(reads), start, step)["marks"], "")
+
+
+def consumed(reads: Column, marks: Column) -> Column:
+    """Array of text, a sign and a number: whether the part's reading is replaced ("+") and
+    how many of the part's characters belong to it or to one before."""
+    start = F.struct(F.lit(0).alias("left"), F.lit("").alias("out"))
+
+    def step(s: Column, r: Column) -> Column:
+        take = (s["left"] == 0) & (r["mark"] == "1")
+        open_ = F.when(take, r["n"]).otherwise(s["left"])
+        used = F.least(open_, r["own"])
+        sign = F.when(take, "+").otherwise("-")
+        return F.struct((open_ - used).alias("left"), F.concat(s["out"], sign, used.cast("string"), F.lit(",")).alias("out"))
+
+    both = F.zip_with(reads, marks, lambda r, m: F.struct(r["n"].alias("n"), r["own"].alias("own"), m.alias("mark")))
+    return F.split(F.aggregate(both, start, step)["out"], ",")
+
+
+def pseudonym(read: Column, key: str) -> Column:
+    """Pseudonym of a value of a known kind."""
+    return reduce(lambda otherwise, kind: F.when(read["kind"] == kind, PSEUDONYMS[kind](read["value"], key)).otherwise(otherwise), PSEUDONYMS, F.lit(""))
 
 
 def pseudonymised(text: str | Column, key: str) -> Column:
     """Struct (text, kinds): the text with its personal data replaced, and the kinds in
-    order of appearance. Null stays null."""
+    order of appearance. Null stays null.
+
+    What stands next to a value in the same format (an expiry, a bank's code, a leading
+    number) stays as it is, unless it makes a valid value of its own.
+    """
     col = F.col(text) if isinstance(text, str) else text
-    between = F.split(col, ANY, -1)
-    found = F.transform(F.regexp_extract_all(col, F.lit(ANY), F.lit(0)), lambda m: pseudonym(m, key))
-    # An array of one again: matches are turned once for text and kinds.
-    return F.when(
-        col.rlike("[0-9@]"),
-        F.transform(
-            F.array(found),
-            lambda f: F.struct(
-                F.concat(
-                    F.array_join(F.zip_with(F.slice(between, F.lit(1), F.size(f)), f, lambda b, m: F.concat(b, m["value"])), ""),
-                    F.element_at(between, -1),
-                ).alias("text"),
-                F.filter(F.transform(f, lambda m: m["kind"]), lambda k: k.isNotNull()).alias("kinds"),
-            ),
-        )[0],
-    ).otherwise(F.struct(col.alias("text"), F.array().cast("array<string>").alias("kinds")))
+
+    def written(s: Column) -> Column:
+        """Struct (text, kind) of each part; s has parts, reads and what is consumed of them."""
+
+        def part(i: Column) -> Column:
+            use, read = F.get(s["use"], i), F.get(s["reads"], i)
+            take = use.startswith("+")
+            rest = F.substring(F.get(s["parts"], i), F.substring(use, 2, 12).cast("int") + 1, read["own"])
+            return F.struct(
+                F.concat(F.when(take, pseudonym(read, key)).otherwise(""), rest).alias("text"),
+                F.when(take, read["kind"]).alias("kind"),
+            )
+
+        return F.transform(F.sequence(F.lit(0), F.size(s["parts"]) - 1), part)
+
+    # Arrays of one again: each step is evaluated once for those that follow.
+    steps = F.transform(F.array(F.split(col, START, -1)), lambda p: F.struct(p.alias("parts"), F.transform(p, lambda _, i: read_at(p, i)).alias("reads")))
+    steps = F.transform(steps, lambda s: F.struct(s["parts"].alias("parts"), s["reads"].alias("reads"), consumed(s["reads"], wanted(s["reads"])).alias("use")))
+    done = F.transform(F.transform(steps, written), lambda w: F.struct(F.array_join(w["text"], "").alias("text"), F.filter(w["kind"], lambda k: k.isNotNull()).alias("kinds")))
+    return F.when(col.rlike("[0-9@]"), done[0]).otherwise(F.struct(col.alias("text"), F.array().cast("array<string>").alias("kinds")))
 
 
 def pseudonymise(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -91,6 +91,45 @@ def test_clean_texts_stay(spark):
     assert got["text"] == text and got["n_replaced"] == 0
 
 
+CARD, IBAN, PHONE = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332", "+1 (293) 555-9179"
+
+
+NEIGHBOURS = [
+    ("4111111111111111", "card", "{} 12/27"),
+    (CARD, "card", "{} 123"),
+    (CARD, "card", "{} 2027 x"),
+    (CARD, "card", "12 {}"),
+    (CARD, "card", "no 1 {} 12/27"),
+    ("4111-1111-1111-1111", "card", "{}-2027"),
+    ("4111-1111-1111-1111", "card", "0412-{}"),
+    (CARD, "card", "XX12 {}"),
+    (IBAN, "iban", "{} BBVA"),
+    (IBAN, "iban", "DE12 {}"),
+    ("BE71 0961 2345 6769", "iban", "{} BIC"),
+    (PHONE, "phone", "{} 98"),
+    (PHONE, "phone", "{} 2024 98"),
+    ("123-45-6789", "ssn", "1234 {}"),
+]
+
+
+def many(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted(P.pseudonymise(df.coalesce(1), KEY).collect())
+
+
+def test_neighbours_of_a_value_stay(spark):
+    rows = many(spark, [v for v, _, _ in NEIGHBOURS] + [t.format(v) for v, _, t in NEIGHBOURS])
+    for (value, kind, template), alone, got in zip(NEIGHBOURS, rows, rows[len(NEIGHBOURS) :]):
+        assert alone["text"] != value and got["text"] == template.format(alone["text"])
+        assert got["n_replaced"] == got[f"n_{kind}"] == 1
+
+
+def test_values_next_to_each_other(spark):
+    values = ["4111111111111111", "12.05.2030", IBAN, CARD, "5500 0000 0000 0004", PHONE, "2024-01-02", "1.2.3.4", "a.b@c.de"]
+    *alone, got = many(spark, [*values, "é " + " ".join(values)])
+    assert got["text"] == "é " + " ".join(r["text"] for r in alone) and got["n_replaced"] == len(values)
+
+
 def test_odd_rows(spark):
     long = "a" * 100_000 + "1" * 100_000 + "." * 100_000 + " 1.2.3.4"
     rows = [(1, None), (2, ""), (None, "1.2.3.4"), (3, long), (4, "1.2.3.4"), (4, "1.2.3.4")]
