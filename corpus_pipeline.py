@@ -28,18 +28,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group stays; of rows that share that id, one.
-
-    Rows without an id: one of each text stays, unless a row with an id has its fingerprint.
-    """
-    found = keep(simhash.near_duplicates(docs), "groups")
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    name = fresh_name(docs, "fingerprint")
-    known = found.where("doc_id is not null").select(F.col("fingerprint").alias(name)).distinct()
-    nameless = docs.where("doc_id is null").withColumn(name, simhash.as_text(simhash.fingerprint("text")))
-    nameless = nameless.join(known, name, "left_anti").dropDuplicates(["text"])
-    return named.unionByName(nameless.drop(name)).select(*docs.columns)
+    """Of each group the row of smallest id stays, a row without an id only where no other
+    has one; of rows that share that id, the one of the smallest text."""
+    own, whole, first, row = (fresh_name(docs, n) for n in ("fp", "component", "first", "row"))
+    judged = docs.withColumn(own, simhash.fingerprint("text"))
+    prints = keep(judged.select("doc_id", F.col(own).alias("fp")), "fingerprints")
+    found = simhash.groups(prints).select(F.col("fp").alias(own), F.col("component").alias(whole), F.col("first").alias(first))
+    named = judged.join(found, own).where(F.col("doc_id").eqNullSafe(F.col(first)))
+    # In structs, so that null texts count as well.
+    kept = named.groupBy(whole).agg(F.min_by(F.struct(*docs.columns), F.struct("text")).alias(row))
+    return kept.select(f"{row}.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

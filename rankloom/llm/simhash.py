@@ -236,17 +236,29 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
 
 
+def groups(rows: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """fp, component and first of every distinct fingerprint of rows (doc_id, fp): the
+    smallest fingerprint reachable over links, and the smallest id of the component's rows
+    (null if none has one).
+
+    The fingerprints themselves are the nodes, so rows need no ids and may repeat them.
+    """
+    prints = keep(rows.groupBy("fp").agg(F.min("doc_id").alias("own")), "prints")
+    found = components(links(prints.select(F.col("fp").alias("node"), "fp"), distance)).withColumnRenamed("node", "fp")
+    named = keep(prints.join(found, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "own"), "named")
+    first = named.groupBy("component").agg(F.min("own").alias("first"))
+    return named.join(first, "component").select("fp", "component", "first")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fingerprint (hexadecimal), component_id of every row.
 
     component_id is the smallest id reachable over links, the own id included. Texts
     without words, null ones too, share fingerprint 0 and link like others. Repeated rows
-    stay, rows with a null id have fingerprint and component of their text (null if no row
-    of it has an id). An empty table gives no rows; other columns are ignored.
+    stay, and rows of one id link by their texts only. Rows with a null id link like others
+    (component_id is null if no row they reach has an id). An empty table gives no rows;
+    other columns are ignored.
     """
     rows = keep(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(text, shingle).alias("fp")), "fingerprints")
-    prints = keep(rows.groupBy("fp").agg(F.min("doc_id").alias("node")), "prints")
-    found = components(links(prints.where(F.col("node").isNotNull()), distance))
-    named = prints.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    out = rows.join(named, "fp", "left")
-    return out.select("doc_id", as_text(F.col("fp")).alias("fingerprint"), "component_id")
+    out = rows.join(groups(rows, distance), "fp", "left")
+    return out.select("doc_id", as_text(F.col("fp")).alias("fingerprint"), F.col("first").alias("component_id"))

@@ -70,6 +70,24 @@ def test_rows_without_ids_in_near_duplicates(spark, folder):
     assert sorted((str(r["doc_id"]), r["text"]) for r in got) == [("4", "x y z"), ("None", "a b c d e")]
 
 
+def test_repeated_and_missing_ids_in_near_duplicates(spark, folder):
+    path, rows, _ = folder
+    x, near, a, b = rows[0][1], f"{rows[0][1]} extra0", rows[2][1], rows[4][1]
+    far = [brute.fingerprint(t) for t in (x, near, a, b)]
+    assert brute.smallest_linked(far) == [0, 0, 2, 3]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for given, want in (
+        ([(3, x), (5, near), (5, b)], [(3, x), (5, b)]),
+        ([(5, a), (5, near), (7, x)], [(5, a), (5, near)]),
+        ([(None, x), (None, near), (None, a), (9, b)], [(None, min(x, near)), (None, a), (9, b)]),
+        ([(None, x), (7, near), (8, near)], [(7, near)]),
+        ([(7, near), (7, x)], [(7, min(x, near))]),
+    ):
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in given], schema)
+        got = corpus_pipeline.drop_near_duplicates(spark, docs, path).collect()
+        assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted((str(i), t) for i, t in want)
+
+
 def test_personal_data_and_length(spark, folder):
     path, _, _ = folder
     docs = spark.createDataFrame([(1, "at 1.2.3.4 now", "en", "s", 14)], "doc_id long, text string, lang string, source string, n_chars long")
