@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.catalog import parameters as P
-from rankloom.config import FeatureConfig, RANK_CUTOFFS
+from rankloom.config import COVERAGE_USERS, FeatureConfig, RANK_CUTOFFS
 from rankloom.operators import (
     batches,
     cold_start,
@@ -327,13 +327,13 @@ def rank_metrics(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def top_items(spark: SparkSession, folder: str) -> DataFrame:
     interactions, _, _ = indexing.remap_ids(stage(_kept(spark, folder), "kept"))
-    return rounded(ranking.top_items(*_factor_tables(interactions)))
+    return rounded(ranking.top_items(*_factor_tables(interactions), sample_users=COVERAGE_USERS))
 
 
 @query
 def coverage_at_k(spark: SparkSession, folder: str) -> DataFrame:
     interactions, _, item_map = indexing.remap_ids(stage(_kept(spark, folder), "kept"))
-    top = ranking.top_items(*_factor_tables(interactions))
+    top = ranking.top_items(*_factor_tables(interactions), sample_users=COVERAGE_USERS)
     return rounded(ranking.coverage(top, item_map.count()))
 
 
@@ -342,13 +342,13 @@ def ncf_coverage(spark: SparkSession, folder: str) -> DataFrame:
     """Coverage of the network's own top lists."""
     _, user_map, item_map = indexing.remap_ids(stage(_kept(spark, folder), "kept"))
     towers = _towers(user_map, "user_idx", "user"), _towers(item_map, "item_idx", "item")
-    return ranking.coverage(ranking.top_items(*towers, score=ranking.network_scores(_network())), item_map.count())
+    return ranking.coverage(ranking.top_items(*towers, sample_users=COVERAGE_USERS, score=ranking.network_scores(_network())), item_map.count())
 
 
 @query
 def ranking_report(spark: SparkSession, folder: str) -> DataFrame:
     scored, interactions = _scored_candidates(spark, folder)
-    top = ranking.top_items(*_factor_tables(interactions))
+    top = ranking.top_items(*_factor_tables(interactions), sample_users=COVERAGE_USERS)
     return ranking.ranking_report(scored, top, _n_items(interactions))
 
 
@@ -380,9 +380,10 @@ def als_fit(spark: SparkSession, folder: str) -> DataFrame:
     data = _fitted(spark, folder)
     model = models.fit_als(data.train.where("label = 1"), dim=16, max_iter=5)
     report = training_plan.evaluate(model, data)
-    shares = F.col("metric") != "n_users"
+    # The other rows are numbers of users.
+    shares = F.col("metric").contains("@") & ~F.col("metric").endswith("users")
     return report.agg(
-        F.max(F.when(~shares, F.col("value"))).cast("bigint").alias("n_users"),
+        F.max(F.when(F.col("metric") == "n_users", F.col("value"))).cast("bigint").alias("n_users"),
         F.count_if(shares).alias("n_metrics"),
         F.bool_and(F.when(shares, F.col("value").between(0, 1))).alias("in_range"),
     )
