@@ -108,3 +108,72 @@ from doc left join total using (r)
 
 
 ORACLES["op8_secret_scan"] = secret_sql()
+
+
+ORACLES["op11_filter_audit"] = r"""
+with doc as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+label as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels where doc_id is not null group by doc_id),
+failed as (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+    case when len(w) < 100 then 'A' else '' end
+    || case when 100 * len(list_distinct(w)) < 80 * len(w) then 'B' else '' end
+    || case when 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) then 'C' else '' end
+    || case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end
+    || case when coalesce(min(doc_id) over (partition by t) < doc_id, false) then 'E' else '' end as fails
+  from doc left join label using (doc_id)),
+mask as (
+  select part, fails, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from failed group by part, fails),
+letter as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (
+  select a.x || b.x || c.x || d.x || e.x as filter_order from letter a, letter b, letter c, letter d, letter e
+  where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+gone as (
+  select part, filter_order, fails, n, good, toxic,
+    coalesce(list_min([instr(filter_order, fails[i]) for i in range(1, length(fails) + 1)]), 9) as place
+  from mask, orders),
+step as (
+  select part, filter_order, step, filter_order[step] as own,
+    coalesce(sum(n) filter (place > step), 0) as kept, coalesce(sum(n) filter (place = step), 0) as removed,
+    coalesce(sum(n) filter (place < step and contains(fails, filter_order[step])), 0) as redundant,
+    coalesce(sum(n) filter (fails = filter_order[step]), 0) as unique_fails,
+    coalesce(sum(good) filter (place = step), 0) as good_lost, coalesce(sum(toxic) filter (place = step), 0) as toxic_lost
+  from gone, (select unnest([1, 2, 3, 4, 5]) as step) group by part, filter_order, step)
+select part, filter_order, step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant,
+  unique_fails::bigint as unique_fails, good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost,
+  (sum(removed) over (partition by part, own))::bigint as shapley
+from step
+"""
+
+
+def cluster_sql(k: int = 40, rounds: int = 5) -> str:
+    """Every round as a table of its own: assignments over all pairs of vector and centroid."""
+    parts = [
+        f"""kept as materialized (
+  select row_number() over () as r, vec_id, [floor(256 * x::double)::bigint for x in embedding] as v from embeddings
+  where len(embedding) = 64 and len([x for x in embedding if x is not null and isfinite(x)]) = 64),
+comp as materialized (select r, unnest(v) as x, unnest(range(1, 65)) as i from kept),
+c0 as materialized (
+  select (row_number() over (order by h)) - 1 as cluster, unnest(v) as x, unnest(range(1, 65)) as i
+  from (select sha256('2:' || vec_id) as h, v from kept order by h limit {k}))"""
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"""d{n} as materialized (
+  select r, cluster, sum((p.x - c.x) * (p.x - c.x))::bigint as distance from comp p join c{n} c using (i) group by r, cluster),
+a{n} as materialized (select r, arg_min(cluster, (distance, cluster)) as cluster, min(distance) as distance from d{n} group by r)""")
+        if n < rounds:
+            parts.append(f"""c{n + 1} as materialized (
+  select c.cluster, i, coalesce((s - ((s % n) + n) % n) // n, c.x)::bigint as x
+  from c{n} c left join (
+    select cluster, i, sum(x)::bigint as s, count(*) as n from comp join a{n} using (r) group by cluster, i) using (cluster, i))""")
+    return f"""
+with {", ".join(parts)},
+named as (select cluster, sha256(string_agg(x::varchar, ',' order by i)) as centroid_sha256 from c{rounds} group by cluster)
+select vec_id, cluster::integer as cluster, distance,
+  (sum(distance) over (partition by cluster))::bigint as cluster_inertia, (sum(distance) over ())::bigint as inertia, centroid_sha256
+from a{rounds} join kept using (r) join named using (cluster)
+"""
+
+
+ORACLES["op12_centroids"] = cluster_sql()

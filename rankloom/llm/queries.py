@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from rankloom.llm import (
     ann_forest,
+    centroids,
     decontamination,
+    filter_audit,
     language_id,
     phrases,
     pseudonyms,
@@ -123,3 +125,13 @@ def op9_repeated_phrases(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(table(spark, folder, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op12_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster(table(spark, folder, "embeddings"))
