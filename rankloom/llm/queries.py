@@ -15,6 +15,7 @@ from rankloom.llm import (
     filter_audit,
     language_id,
     phrases,
+    pitman_yor,
     pseudonyms,
     secret_scan,
     sentence_pieces,
@@ -135,3 +136,8 @@ def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op12_centroids(spark: SparkSession, folder: str) -> DataFrame:
     return centroids.cluster(table(spark, folder, "embeddings"))
+
+
+@query
+def op13_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return pitman_yor.score(table(spark, folder, "documents"))
