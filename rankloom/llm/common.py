@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,11 +41,33 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write a table in the shared folder and scan it: cuts lineage, outlives executors."""
+_scratch: ContextVar[list[DataFrame] | None] = ContextVar("scratch", default=None)
+
+
+def keep(df: DataFrame, name: str, *, lasting: bool = False) -> DataFrame:
+    """Write a table in the shared folder and scan it: cuts lineage, outlives executors.
+
+    Inside ``scratch`` it is deleted at the end of the block, unless it is ``lasting``.
+    """
     path = f"{shared_folder(df.sparkSession)}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept, owned = df.sparkSession.read.schema(df.schema).parquet(path), _scratch.get()
+    if owned is not None and not lasting:
+        owned.append(kept)
+    return kept
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete the tables kept inside the block when it ends; what reads them must be done."""
+    owned: list[DataFrame] = []
+    token = _scratch.set(owned)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for table in owned:
+            drop_kept(table)
 
 
 def drop_kept(df: DataFrame) -> None:
@@ -54,6 +78,29 @@ def drop_kept(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+# What this Python worker keeps between batches.
+_resident: dict[Hashable, object] = {}
+
+
+def resident[T](key: Hashable, build: Callable[[], T]) -> T:
+    """A table that a worker builds once. Workers live on from stage to stage, so what another
+    operator left behind goes first: a worker holds the tables of one operator."""
+    if key not in _resident:
+        release()
+        _resident[key] = build()
+    return _resident[key]
+
+
+def release() -> None:
+    _resident.clear()
+
+
+def quoted(name: str) -> Column:
+    """A top-level column, whatever characters its name has."""
+    escaped = name.replace("`", "``")
+    return F.col(f"`{escaped}`").alias(name)
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """A column name that the table does not have yet."""
     taken = {c.lower() for c in df.columns}

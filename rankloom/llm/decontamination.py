@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import FOLD_WORDS, offsets, ranges, runs_of, utf8
+from rankloom.llm.common import FOLD_WORDS, offsets, ranges, release, runs_of, utf8
 from rankloom.llm.fm_index import FmIndex
 
 WINDOW = 13
@@ -144,6 +144,7 @@ def screened(text: str | Column, items: list[tuple[str | None, bytes | None]]) -
 
     @F.arrow_udf(SCREENED)
     def screen_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        release()
         benchmark = Benchmark(items)
         for batch in batches:
             found = screen(batch.to_pylist(), benchmark)

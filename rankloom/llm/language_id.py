@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import bounded, offsets, ranges, utf8
+from rankloom.llm.common import bounded, offsets, ranges, resident, utf8
 
 #: Bounds of what is learned: texts and characters of each per language, symbols of one
 #: automaton, symbols of all, and letters told apart (the others count as one).
@@ -184,10 +183,8 @@ class Languages:
         return out
 
 
-# Workers live on: only the latest automata are kept.
-@lru_cache(maxsize=1)
 def languages(texts: tuple[tuple[str, str], ...]) -> Languages:
-    return Languages(texts)
+    return resident(("languages", texts), lambda: Languages(texts))
 
 
 def language(text: str | Column, texts: list[tuple[str, str]]) -> Column:

@@ -17,7 +17,6 @@ import re
 import string
 from array import array
 from collections.abc import Iterator
-from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
-from rankloom.llm.common import bounded, offsets, utf8
+from rankloom.llm.common import bounded, offsets, resident, utf8
 
 SPACE_MARK = "▁"
 
@@ -233,9 +232,8 @@ class PieceModel:
         return [b"".join(map(self.known.__getitem__, stretches)) + end for stretches in cut], wrong
 
 
-@cache
 def piece_model(path: str) -> PieceModel:
-    return PieceModel(path)
+    return resident(("pieces", path), lambda: PieceModel(path))
 
 
 #: Characters handed to the model at a time.

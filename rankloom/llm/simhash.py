@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import FOLD, keep, utf8
+from rankloom.llm.common import FOLD, keep, release, utf8
 
 BITS = 64
 SHINGLE = 4
@@ -64,6 +64,7 @@ def fingerprint(text: str | Column, shingle: int = SHINGLE) -> Column:
 
     @F.arrow_udf("long")
     def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        release()
         for batch in batches:
             values = np.array([fingerprint_of(t.as_py(), shingle) for t in batch], np.uint64)
             yield pa.array(values.view(np.int64), pa.int64())
@@ -209,16 +210,17 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return units.groupBy("block", "bits", "left", "right").applyInArrow(_trie_links(distance), "u long, v long")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node with a link: the smallest node it can reach.
 
     Large-star and small-star contractions in turn: every node hands its larger, then its
     smaller neighbours the smallest node it knows of. Each turn is one sum-like aggregation
-    and one join on narrow rows, and is kept in the shared folder.
+    and one join on narrow rows, and is kept in the shared folder. Turns end when one changes
+    nothing.
     """
     edges = keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("low")).withColumn("low", F.least("u", "low"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
@@ -230,8 +232,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError(f"no fixed point after {most_rounds} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
 
