@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm import decontamination, language_id, pseudonyms, sentence_pieces, simhash
-from rankloom.llm.common import fresh_name, keep
+from rankloom.llm.common import drop_kept, fresh_name, keep, quoted, scratch
 from rankloom.llm.queries import PSEUDONYM_KEY, digest, table
 
 
@@ -29,26 +29,40 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group the row of smallest id stays, a row without an id only where no other
-    has one; of rows that share that id, the one of the smallest text."""
-    own, whole, first, row = (fresh_name(docs, n) for n in ("fp", "component", "first", "row"))
-    judged = docs.withColumn(own, simhash.fingerprint("text"))
-    prints = keep(judged.select("doc_id", F.col(own).alias("fp")), "fingerprints")
-    found = simhash.groups(prints).select(F.col("fp").alias(own), F.col("component").alias(whole), F.col("first").alias(first))
-    named = judged.join(found, own).where(F.col("doc_id").eqNullSafe(F.col(first)))
-    # In structs, so that null texts count as well.
-    kept = named.groupBy(whole).agg(F.min_by(F.struct(*docs.columns), F.struct("text")).alias(row))
-    return kept.select(f"{row}.*")
+    has one; of rows that share that id, the one of the smallest text, and of those that share
+    the text too, the one whose columns come first as JSON. Null, empty and very long texts
+    take part like others."""
+    own, whole, first, rows, row = (fresh_name(docs, n) for n in ("fp", "component", "first", "rows", "row"))
+    judged = keep(docs.withColumn(own, simhash.fingerprint("text")), "judged")
+    prints = judged.select("doc_id", F.col(own).alias("fp"))
+    found = keep(simhash.groups(prints), "groups")
+    # Counted on narrow rows: texts need comparing only where an id is repeated in a group.
+    chosen = prints.join(found, "fp").where(F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("component").agg(F.count("*").alias("rows"))
+    facts = found.join(chosen, "component").select(
+        F.col("fp").alias(own), F.col("component").alias(whole), F.col("first").alias(first), F.col("rows").alias(rows)
+    )
+    # The id is a key of the join, so that copies of one text do not meet in one task.
+    same = (judged[own] == facts[own]) & judged["doc_id"].eqNullSafe(facts[first])
+    named = judged.join(facts, same).drop(facts[own])
+    columns = [quoted(c) for c in docs.columns]
+    several = named.where(F.col(rows) > 1).groupBy(whole)
+    record = F.struct(*columns)
+    kept = several.agg(F.min_by(record, F.struct("text", F.to_json(record))).alias(row)).select(f"{row}.*")
+    return named.where(F.col(rows) == 1).select(*columns).unionAll(kept)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which one word in twenty or more stands in benchmark windows go."""
+    """Documents of which one word in twenty or more stands in benchmark windows go. Texts
+    without words, null and empty ones too, stay; repeated rows are judged alike, and long
+    texts whole."""
     hits = fresh_name(docs, "hits")
     judged = decontamination.with_hits(docs, table(spark, sf_dir, "benchmark"), hits)
     return judged.where(~decontamination.contaminated(hits)).drop(hits)
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced in the texts; n_chars follows where there is such a column."""
+    """Personal data replaced in the texts; n_chars follows where there is such a column. Null
+    and empty texts stay as they are; repeated rows change alike, and long texts whole."""
     done = docs.withColumn("text", pseudonyms.pseudonymised("text", PSEUDONYM_KEY)["text"])
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -56,7 +70,8 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and disagreements with the library."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and disagreements with the library, of every
+    row; null and empty texts give the end identifier alone, long ones are encoded whole."""
     coded = sentence_pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return coded.select(
         "doc_id",
@@ -81,7 +96,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. What a stage keeps goes when the stage is written, and a
+    stage's rows go when the next one's are."""
+    docs, earlier = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), name)
+        with scratch():
+            docs = keep(stage(spark, docs, sf_dir), name, lasting=True)
+        if earlier is not None:
+            drop_kept(earlier)
+        earlier = docs
     return docs
