@@ -8,7 +8,7 @@ footers, and it can be deleted as soon as its last reader is done.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from contextvars import ContextVar, copy_context
@@ -37,17 +37,29 @@ def stage_root(spark: SparkSession) -> str:
 _scope: ContextVar[list[str] | None] = ContextVar("stage_scope", default=None)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and return a scan of it."""
+def stage(df: DataFrame, name: str, *, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` as Parquet under the shared folder and return a scan of it.
+
+    ``partition_by`` gives a folder per value; those columns come last in the scan.
+    """
     spark = df.sparkSession
     path = f"{stage_root(spark)}/rankloom/{name}-{uuid.uuid4().hex}"
     owned = _scope.get()
     if owned is not None:
         owned.append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=list(partition_by) or None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(staged: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more, before its scope ends."""
+    spark = staged.sparkSession
+    root = f"{stage_root(spark)}/rankloom/"
+    for file in staged.inputFiles()[:1]:
+        at = file.rindex("/rankloom/") + len("/rankloom/")
+        remove(spark, root + file[at:].split("/")[0])
+
+
 def stage_all(**tables: DataFrame) -> tuple[DataFrame, ...]:
     """Stage independent tables at the same time, so that one's last tasks leave no core idle."""
     spark = next(iter(tables.values())).sparkSession
@@ -59,6 +71,12 @@ def stage_all(**tables: DataFrame) -> tuple[DataFrame, ...]:
         return tuple(job.result() for job in jobs)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder and what it holds; nothing if it is gone already."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Delete the stage tables written inside the block when it ends.
@@ -73,8 +91,7 @@ def scope(spark: SparkSession) -> Iterator[None]:
     finally:
         _scope.reset(token)
         for path in own:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            remove(spark, path)
 
 
 def staged_bytes(staged: DataFrame) -> int:
