@@ -349,6 +349,52 @@ cte(
     "top_lists",
     "bounds",
 )
+
+def pass_ctes() -> None:
+    """A pass of training as one table per stratum: all pairs of the stratum scored by the rows
+    before it, then adaptive steps of the rows met. Rows are stored as FLOAT between strata."""
+    d, b = range(P.PASS_DIM), P.PASS_BLOCKS
+    for side, key in (("user", "user_idx"), ("item", "item_idx")):
+        xs = ", ".join([f"{component(side, key, k, P.PASS_DIM)} AS x{k}" for k in d] + [f"({key} % 7 - 3) / 8.0::DOUBLE AS x{P.PASS_DIM}"])
+        zeros = ", ".join(f"0::DOUBLE AS s{k}" for k in range(P.PASS_DIM + 1))
+        cte(f"{side}_rows_0", f"SELECT {key}, {xs}, {zeros} FROM {side}_map", f"{side}_map")
+    cte("shared_0", f"SELECT {P.MF_INTERCEPT}::DOUBLE AS x, 0::DOUBLE AS s")
+    for n in range(b):
+        dot = " + ".join(f"u.x{k} * v.x{k}" for k in d)
+        last = P.PASS_DIM
+        columns = ", ".join([f"u.x{k} AS u{k}, v.x{k} AS v{k}" for k in d])
+        cte(
+            f"cell_{n}",
+            f"""SELECT user_idx, item_idx, label, {columns},
+                  1 / (1 + exp(-((SELECT x FROM shared_{n}) + u.x{last} + v.x{last} + {dot}))) AS p
+                FROM labelled_train JOIN user_rows_{n} u USING (user_idx) JOIN item_rows_{n} v USING (item_idx)
+                WHERE ((item_idx - user_idx) % {b} + {b}) % {b} = {n}""",
+            "labelled_train", f"user_rows_{n}", f"item_rows_{n}", f"shared_{n}",
+        )
+        for side, key, other in (("user", "user_idx", "v"), ("item", "item_idx", "u")):
+            sums = ", ".join([f"sum((p - label) * {other}{k}) AS g{k}" for k in d] + [f"sum(p - label) AS g{last}"])
+            total = [f"(g{k} + {P.PASS_L2} * x{k})" for k in range(last + 1)]
+            steps = ", ".join(
+                f"CASE WHEN g{k} IS NULL THEN x{k} ELSE (x{k} - {P.PASS_STEP} * {t} / sqrt(s{k} + {t} ** 2 + 1e-8))::FLOAT::DOUBLE END AS x{k}, "
+                f"CASE WHEN g{k} IS NULL THEN s{k} ELSE (s{k} + {t} ** 2)::FLOAT::DOUBLE END AS s{k}"
+                for k, t in enumerate(total)
+            )
+            cte(
+                f"{side}_rows_{n + 1}",
+                f"SELECT {key}, {steps} FROM {side}_rows_{n} LEFT JOIN (SELECT {key}, {sums} FROM cell_{n} GROUP BY {key}) USING ({key})",
+                f"{side}_rows_{n}", f"cell_{n}",
+            )
+        cte(
+            f"shared_{n + 1}",
+            f"""SELECT sum(n * (x - {P.PASS_STEP} * m / sqrt(s + m ** 2 + 1e-8))) / sum(n) AS x, sum(n * (s + m ** 2)) / sum(n) AS s
+                FROM (SELECT user_idx % {b} AS slot, count(*) AS n, avg(p - label) AS m FROM cell_{n} GROUP BY ALL), shared_{n}""",
+            f"cell_{n}", f"shared_{n}",
+        )
+
+
+pass_ctes()
+PASSED = " UNION ALL ".join(f"SELECT label, p FROM cell_{n}" for n in range(P.PASS_BLOCKS))
+
 cte(
     "labelled_scored",
     f"""SELECT label, {MF_SCORE} AS score FROM
@@ -592,6 +638,20 @@ ORACLES: dict[str, str] = {
         f"SELECT (SELECT count(*) FROM held_out) AS n_users, {2 * len(C.RANK_CUTOFFS) + 1}::BIGINT AS n_metrics, true AS in_range",
         "held_out",
     ),
+    "mf_pass": sql(
+        f"""SELECT count(*) AS n,
+              round(avg(-(label * ln(greatest(least(p, 1 - 1e-7), 1e-7)) + (1 - label) * ln(1 - greatest(least(p, 1 - 1e-7), 1e-7)))), 5) AS log_loss,
+              round(avg(CASE WHEN (p > 0.5) = (label > 0.5) THEN 1.0::DOUBLE ELSE 0 END), 5) AS accuracy,
+              (SELECT round(x, 5) FROM shared_{P.PASS_BLOCKS}) AS intercept
+            FROM ({PASSED})""",
+        *[f"cell_{n}" for n in range(P.PASS_BLOCKS)],
+        f"shared_{P.PASS_BLOCKS}",
+    ),
+    "ncf_joint_fit": sql(
+        "SELECT (SELECT count(*) FROM labelled_val) AS n_scored, true AS in_range, true AS beats_constant", "labelled_val"
+    ),
+    "fit_loop": f"""SELECT unnest(['step', 'train_log_loss', 'train_accuracy', 'val_log_loss', 'val_accuracy', 'val_auc']) AS metric,
+        {P.LOOP_EPOCHS}::BIGINT AS n_steps""",
     "hit_rate_at_k": sql("SELECT k, round(hit_rate, 6) AS hit_rate FROM at_k WHERE k = 10", "at_k"),
     "ndcg_at_k": sql("SELECT k, round(ndcg, 6) AS ndcg FROM at_k WHERE k = 10", "at_k"),
     "rank_metrics": sql(f"SELECT k, {r6('hit_rate', 'ndcg')}, n_users FROM at_k", "at_k"),

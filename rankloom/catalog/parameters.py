@@ -21,6 +21,11 @@ SCALE = 8.0
 SAMPLE_ROWS = 5_000
 CAPPED_USERS = 150
 SPLIT_SEED = 7
+PASS_DIM = 4
+PASS_BLOCKS = 4
+PASS_STEP = 0.05
+PASS_L2 = 0.01
+LOOP_EPOCHS = 2
 
 
 def _grid(rows: int, cols: int, a: int, b: int, modulus: int) -> np.ndarray:

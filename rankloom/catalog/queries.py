@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from rankloom.operators import (
     cold_start,
     drift,
     features,
+    fitting,
     indexing,
     manifest,
     metrics,
@@ -25,10 +28,12 @@ from rankloom.operators import (
     sampling,
     scoring,
     splitting,
+    strata,
 )
+from rankloom.operators.learners import MatrixLearner, NetworkLearner
 from rankloom.plans import feature_plan, monitoring_plan, training_plan
 from rankloom.sources import binding
-from rankloom.sources.staging import stage, stage_all
+from rankloom.sources.staging import stage, stage_all, stage_root
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -355,7 +360,7 @@ def ranking_report(spark: SparkSession, folder: str) -> DataFrame:
 # --- estimators ----------------------------------------------------------------
 
 
-def _fit_facts(model: models.FactorModel | models.NcfModel, data: training_plan.TrainingData) -> DataFrame:
+def _fit_facts(model: models.FactorModel | models.NcfModel | models.NetworkModel, data: training_plan.TrainingData) -> DataFrame:
     """What must hold of any fit: every validation row has a probability, and the training
     rows are explained better than by their rate of positives alone."""
     scored = model.score(data.validation).agg(
@@ -396,6 +401,44 @@ def ncf_fit(spark: SparkSession, folder: str) -> DataFrame:
     return _fit_facts(models.fit_ncf(data.train, factors, hidden=(32, 16), max_iter=20), data)
 
 
+@query
+def mf_pass(spark: SparkSession, folder: str) -> DataFrame:
+    """Loss and accuracy of one pass over all training pairs, a cell a minibatch, from factors
+    that are functions of the indices."""
+    data = _fitted(spark, folder)
+    learner = MatrixLearner(P.PASS_DIM, P.PASS_L2, batch_rows=strata.CELL_PAIRS)
+    cells = strata.Cells.of(data.train, P.PASS_BLOCKS)
+    ids = [spark.range(n).withColumnRenamed("id", "n") for n in (data.n_users, data.n_items)]
+    given = [
+        _factors(df, "n", side, P.PASS_DIM).select("id", F.concat("features", F.array("bias")).alias("given"))
+        for df, side in zip(ids, ("user", "item"), strict=True)
+    ]
+    start = strata.start_from(*given, np.array([P.MF_INTERCEPT, 0.0]), learner, cells, data.n_users, data.n_items)
+    done = strata.run_pass(start, learner, cells, P.PASS_STEP, seed=0)
+    row = [(done.n, round(done.loss / done.n, 5), round(done.correct / done.n, 5), round(float(done.shared[0]), 5))]
+    return spark.createDataFrame(row, "n bigint, log_loss double, accuracy double, intercept double")
+
+
+@query
+def ncf_joint_fit(spark: SparkSession, folder: str) -> DataFrame:
+    """Embeddings and network trained together."""
+    data = _fitted(spark, folder)
+    learner = NetworkLearner(8, 8, (32, 16))
+    path = f"{stage_root(spark)}/rankloom/run-{uuid.uuid4().hex}"
+    found = fitting.fit(learner, data.train, data.validation, data.n_users, data.n_items, path, fitting.FitConfig(epochs=2, step=0.05))
+    return _fit_facts(found.model, data)
+
+
+@query
+def fit_loop(spark: SparkSession, folder: str) -> DataFrame:
+    """Steps per metric in the run log of a watched run."""
+    data = _fitted(spark, folder)
+    path = f"{stage_root(spark)}/rankloom/run-{uuid.uuid4().hex}"
+    config = fitting.FitConfig(epochs=P.LOOP_EPOCHS)
+    fitting.fit(MatrixLearner(8), data.train, data.validation, data.n_users, data.n_items, path, config, log=f"{path}/log")
+    return runs.training_curves(runs.read_log(spark, f"{path}/log")).select("metric", "n_steps")
+
+
 # --- monitoring and runs -------------------------------------------------------
 
 
