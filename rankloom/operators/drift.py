@@ -8,34 +8,41 @@ map-side combine, and quantiles come from prefix sums instead of one sorted grou
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.config import MONITORED_FEATURES, NEXT_STEPS, PSI_BINS, PSI_FAIL, PSI_WARN
-from rankloom.operators.ordering import grid_cell, prefix_sums
+from rankloom.operators.ordering import CELL_ROWS, prefix_sums, range_cells
+from rankloom.sources.staging import stage_all
 
 
 def value_counts(values: DataFrame) -> DataFrame:
+    """(feature, value, n): the state of a side. States of parts (days, files) of a table add
+    up by :func:`merged` to the state of the whole; every report reads states alone."""
     return values.where("value IS NOT NULL").groupBy("feature", "value").agg(F.count("*").alias("n"))
 
 
-def quantile_edges(counts: DataFrame, bins: int = PSI_BINS) -> DataFrame:
+def merged(*states: DataFrame) -> DataFrame:
+    """One state of several."""
+    return reduce(DataFrame.unionByName, states).groupBy("feature", "value").agg(F.sum("n").alias("n"))
+
+
+def _state(side: DataFrame) -> DataFrame:
+    return side if "n" in side.columns else value_counts(side)
+
+
+def quantile_edges(counts: DataFrame, bins: int = PSI_BINS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(feature, edges): the distinct values of the ``bins + 1`` even quantiles, ascending.
 
     Quantiles interpolate linearly between order statistics. Rank q (n - 1) / bins is
     taken apart in integers, so no rounding decides which two values it lies between.
     """
+    cut = range_cells(counts, ["feature", "value"], cell_rows)
     # One row per monitored feature.
-    ranges = F.broadcast(
-        counts.groupBy("feature").agg(
-            F.min("value").alias("_low"), F.max("value").alias("_high"), F.sum("n").alias("_total")
-        )
-    )
-    placed = counts.join(ranges, "feature")
-    ordered = prefix_sums(
-        placed, "value", ["n"], grid_cell(F.col("value"), F.col("_low"), F.col("_high")), ["feature"]
-    )
+    totals = F.broadcast(counts.groupBy("feature").agg(F.sum("n").alias("_total")))
+    ordered = prefix_sums(cut, "value", ["n"], F.col("_cell"), ["feature"]).join(totals, "feature")
 
     def at(rank):
         inside = (rank >= F.col("n_before")) & (rank < F.col("n_before") + F.col("n"))
@@ -57,13 +64,16 @@ def quantile_edges(counts: DataFrame, bins: int = PSI_BINS) -> DataFrame:
 
 
 def psi(expected: DataFrame, actual: DataFrame, bins: int = PSI_BINS) -> DataFrame:
-    """(feature, psi) for the features both sides have.
+    """(feature, psi) for the features both sides have. A side is a table (feature, value) or
+    the state of one.
 
     Bins are closed on the left, the last one on both sides. Values outside the
     baseline's range count in the totals but in no bin. Shares are smoothed by one
     per bin. A baseline with fewer than two distinct edges has PSI 0.
     """
-    before, now = value_counts(expected), value_counts(actual)
+    before, now = expected, actual
+    if not {"n"} <= set(before.columns) & set(now.columns):
+        before, now = stage_all(before=_state(before), now=_state(now))
     edges = F.broadcast(quantile_edges(before, bins))
     both = before.select("feature", "value", F.col("n").alias("_e"), F.lit(0).cast("bigint").alias("_a")).unionByName(
         now.select("feature", "value", F.lit(0).cast("bigint").alias("_e"), F.col("n").alias("_a"))
@@ -93,10 +103,14 @@ def psi(expected: DataFrame, actual: DataFrame, bins: int = PSI_BINS) -> DataFra
     return filled.groupBy("feature").agg(F.sum(term).alias("psi"))
 
 
-def moments(values: DataFrame, prefix: str) -> DataFrame:
-    return values.where("value IS NOT NULL").groupBy("feature").agg(
-        F.avg("value").alias(f"{prefix}_mean"), F.stddev_pop("value").alias(f"{prefix}_std")
-    )
+def moments(counts: DataFrame, prefix: str) -> DataFrame:
+    """Mean and population deviation per feature of a state; squares are taken about the mean."""
+    mean = counts.groupBy("feature").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias(f"{prefix}_mean"))
+    away = F.col("value") - F.col(f"{prefix}_mean")
+    # One row per monitored feature.
+    around = counts.join(F.broadcast(mean), "feature").groupBy("feature")
+    deviation = F.sqrt(F.sum(F.col("n") * away * away) / F.sum("n"))
+    return around.agg(F.first(f"{prefix}_mean").alias(f"{prefix}_mean"), deviation.alias(f"{prefix}_std"))
 
 
 def drift_report(
@@ -105,16 +119,28 @@ def drift_report(
     features: Sequence[str] = MONITORED_FEATURES,
     threshold: float = PSI_FAIL,
     bins: int = PSI_BINS,
+) -> DataFrame:
+    """The report of two tables (feature, value), each read once."""
+    names = list(features)
+    watched = [value_counts(df.where(F.col("feature").isin(names))) for df in (baseline, current)]
+    return report_of_states(*stage_all(before=watched[0], now=watched[1]), features, threshold, bins)
+
+
+def report_of_states(
+    before: DataFrame,
+    now: DataFrame,
+    features: Sequence[str] = MONITORED_FEATURES,
+    threshold: float = PSI_FAIL,
+    bins: int = PSI_BINS,
 ) -> DataFrame:
     """One row per monitored feature; a feature missing on a side is skipped and passes."""
-    watched = baseline.sparkSession.createDataFrame([(f,) for f in features], "feature string")
     names = list(features)
-    baseline = baseline.where(F.col("feature").isin(names))
-    current = current.where(F.col("feature").isin(names))
+    watched = before.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    before, now = (df.where(F.col("feature").isin(names)) for df in (before, now))
     joined = (
-        watched.join(moments(baseline, "expected"), "feature", "left")
-        .join(moments(current, "actual"), "feature", "left")
-        .join(psi(baseline, current, bins), "feature", "left")
+        watched.join(moments(before, "expected"), "feature", "left")
+        .join(moments(now, "actual"), "feature", "left")
+        .join(psi(before, now, bins), "feature", "left")
     )
     missing = F.col("psi").isNull()
     status = (

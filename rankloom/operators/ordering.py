@@ -1,8 +1,9 @@
 """Ranks and prefix sums over a whole table or over very large groups.
 
 An ordered window without a partition, or with a hot one, puts all its rows in one
-task. The helpers here cut the value range into cells, add the cells up first (a
-small table) and order rows only inside a cell.
+task. The helpers here cut the values into cells, add the cells up first (a small
+table) and order rows only inside a cell. Integer ids and hashes fill even cells
+evenly; other values are cut where the data is, however they are spread.
 """
 
 from __future__ import annotations
@@ -12,8 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Number of cells a DOUBLE range is cut into; also the most rows a cell table has per group.
-GRID = 1 << 20
+from rankloom.sources.staging import discard, stage
+
+# Rows that a cell holds, about.
+CELL_ROWS = 65_536
 # Ids that share a cell: a 32-bit id range gives at most 65,536 cells of 65,536 ids.
 ID_CELL_BITS = 16
 
@@ -53,10 +56,20 @@ def prefix_sums(
     ).drop("_cell", *[f"_{w}_start" for w in weights])
 
 
-def grid_cell(value: Column, low: Column, high: Column) -> Column:
-    """Cell of a DOUBLE on an even grid over [low, high]; one cell when the range is empty."""
-    position = F.try_divide(value - low, high - low)
-    return F.coalesce(F.floor(position * F.lit(GRID - 1)), F.lit(0)).cast("int")
+def cells_for(rows: int, cell_rows: int = CELL_ROWS) -> int:
+    """How many cells of about ``cell_rows`` rows; one at least."""
+    return max(1, -(-rows // cell_rows))
+
+
+def range_cells(df: DataFrame, order: Sequence[str], cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``df`` with ``_cell``: its rows cut by the order of some columns into cells of about
+    ``cell_rows`` rows. Borders come from a sample of the rows themselves, so values may crowd
+    anywhere; rows with equal columns share a cell. The result is a stage table."""
+    rows = stage(df, "values")
+    ranged = rows.repartitionByRange(cells_for(rows.count(), cell_rows), *order)
+    cut = stage(ranged.withColumn("_cell", F.spark_partition_id()), "cells")
+    discard(rows)
+    return cut
 
 
 def dense_index(df: DataFrame, id_column: str, index_column: str) -> DataFrame:

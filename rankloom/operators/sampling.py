@@ -27,10 +27,11 @@ from rankloom.config import (
     TRAIN_FRACTION,
 )
 from rankloom.functions.hashing import PRIME_A, seeded_hash, seeded_hash_sql
+from rankloom.operators.ordering import CELL_ROWS
 from rankloom.sources.staging import broadcast_if_small, stage
 
-# Rows are counted per 2**16 hash values when a sample is cut.
-HASH_CELL_BITS = 16
+# Bits of the hash, and how many of them a count of a sample takes at a time.
+KEY_BITS, DIGIT_BITS = 31, 15
 # Rounds of the network, and how far beyond the catalogue its domain may reach.
 WALK_ROUNDS = 6
 WALK_SPARE = 24
@@ -263,24 +264,36 @@ def eval_candidates(
     )
 
 
-def sample_rows(df: DataFrame, n: int, keys: Sequence[str], seed: int = SEED) -> DataFrame:
+def sample_rows(df: DataFrame, n: int, keys: Sequence[str], seed: int = SEED, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Exactly ``n`` rows of ``df`` (all when it has fewer), chosen by a seeded hash.
 
-    ``keys`` are integer columns that identify a row. Rows are counted per hash cell
-    first; cells below the cut are taken whole and only the cut cell is ordered, so
-    ``n`` may be any size.
+    ``keys`` are integer columns that identify a row. Rows are counted by the leading digit of
+    their hash; digits below the cut are taken whole and the cut digit is counted by the next
+    one, until it holds no more than ``cell_rows`` rows or the hash has no digits left. Only
+    those few are ordered, so ``n`` and the table may be of any size. ``df`` is read once per
+    digit.
     """
-    key = seeded_hash(seed, *keys)
-    cell = F.shiftright(key, HASH_CELL_BITS)
-    # At most 2**15 cells.
-    counts = df.groupBy(cell.alias("_cell")).agg(F.count("*").alias("_n"))
-    through = F.sum("_n").over(Window.orderBy("_cell"))
-    cut = counts.withColumn("_through", through).where(F.col("_through") >= n).orderBy("_cell").first()
-    if cut is None:
-        return df
-    whole = df.where(cell < cut["_cell"])
-    rest = df.where(cell == cut["_cell"]).orderBy(key, *keys)
-    return whole.unionByName(rest.limit(n - (cut["_through"] - cut["_n"])))
+    key, floor, width, left, size = seeded_hash(seed, *keys), 0, KEY_BITS, n, None
+    whole = F.lit(False)
+    while width and (size is None or size > cell_rows):
+        digits = min(width, DIGIT_BITS)
+        inside = F.shiftright(key, width) == floor >> width
+        digit = F.shiftright(key, width - digits)
+        # At most 2**DIGIT_BITS rows.
+        counts = df.where(inside).groupBy(digit.alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()
+        cut = None
+        for row in counts:
+            if row["n"] >= left:
+                cut = row
+                break
+            left -= row["n"]
+        if cut is None:
+            return df
+        width -= digits
+        whole = whole | (inside & (digit < cut["d"]))
+        floor, size = cut["d"] << width, cut["n"]
+    rest = df.where(F.shiftright(key, width) == floor >> width).orderBy(key, *keys).limit(left)
+    return df.where(whole).unionByName(rest)
 
 
 def random_split(df: DataFrame, keys: Sequence[str], fraction: float = TRAIN_FRACTION, seed: int = SEED) -> DataFrame:
