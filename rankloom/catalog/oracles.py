@@ -349,6 +349,17 @@ cte(
     "top_lists",
     "bounds",
 )
+cte(
+    "damaged",
+    """SELECT CASE WHEN line_no = 2 THEN 'number of fields' WHEN line_no = 3 THEN 'userId is no int'
+             WHEN line_no = 4 THEN 'timestamp is no bigint' END AS reason,
+         concat_ws(',', CASE WHEN line_no = 3 THEN 'x' ELSE '' END || "userId", "movieId",
+           CASE WHEN line_no <> 2 THEN rating::VARCHAR END,
+           CASE WHEN line_no = 4 THEN 'late' WHEN line_no <> 2 THEN "timestamp"::VARCHAR END) AS line
+       FROM ratings""",
+    "ratings",
+)
+
 
 def pass_ctes() -> None:
     """A pass of training as one table per stratum: all pairs of the stratum scored by the rows
@@ -566,6 +577,17 @@ ORACLES: dict[str, str] = {
         "user_map",
         "item_map",
     ),
+    "written_interactions": sql(
+        f"""SELECT user_idx, item_idx, "timestamp", split, user_avg_rating, item_rating_count FROM (
+              SELECT {RAW}, {_CROSS}, user_idx, item_idx, split FROM split r {_GENERAL_JOINS}
+              JOIN user_map USING ("userId") JOIN item_map USING ("movieId")) WHERE split = 'test'""",
+        "split",
+        "users",
+        "catalogue",
+        "user_map",
+        "item_map",
+    ),
+    "written_baseline": sql("SELECT feature, round(value, 6) AS value FROM dist", "dist"),
     "train_scope_features": sql(
         f"SELECT {_USER_SELECT}, user_idx FROM users_train JOIN user_map USING (\"userId\")",
         "users_train",
@@ -652,6 +674,33 @@ ORACLES: dict[str, str] = {
     ),
     "fit_loop": f"""SELECT unnest(['step', 'train_log_loss', 'train_accuracy', 'val_log_loss', 'val_accuracy', 'val_auc']) AS metric,
         {P.LOOP_EPOCHS}::BIGINT AS n_steps""",
+    "csv_ratings": sql('SELECT "userId", "movieId", rating, "timestamp" FROM ratings', "ratings"),
+    "csv_items": sql("""SELECT "movieId", '"' || title || '", the one' AS title, genres FROM items""", "items"),
+    "csv_inferred": sql(
+        """SELECT * FROM (SELECT unnest(['userId', 'movieId', 'rating', 'timestamp']) AS "column",
+             unnest(['int', 'int', 'double', 'int']) AS type), (SELECT count(*) AS n_rows FROM ratings)""",
+        "ratings",
+    ),
+    "quarantine_report": sql("SELECT reason, count(*) AS n FROM damaged GROUP BY reason", "damaged"),
+    "quarantined_lines": sql("SELECT line, reason FROM damaged WHERE reason IS NOT NULL", "damaged"),
+    "written_manifest": sql(
+        f"""SELECT count(*) FILTER (WHERE split = 'train') AS train_count, count(*) FILTER (WHERE split = 'val') AS val_count,
+              count(*) FILTER (WHERE split = 'test') AS test_count, (SELECT count(*) FROM user_map) AS n_users,
+              (SELECT count(*) FROM item_map) AS n_items, (SELECT count(*) FROM ratings) AS n_raw_ratings,
+              (SELECT count(*) FROM damaged WHERE reason IS NOT NULL) AS n_quarantined,
+              '{C.SPLIT_STRATEGY}' AS split_strategy, 1::BIGINT AS n_files FROM interactions""",
+        "interactions",
+        "user_map",
+        "item_map",
+        "ratings",
+        "damaged",
+    ),
+    "saved_model_score": sql(f"SELECT user_idx, item_idx, round({MF_SCORE}, 6) AS score FROM interactions", "interactions"),
+    "stored_run_log": sql(
+        """SELECT 'counts' AS run_id, metric, 2::BIGINT AS n_steps, 2.0::DOUBLE * count(*) AS last_value,
+             count(*)::DOUBLE AS min_value, 2.0::DOUBLE * count(*) AS max_value FROM runlog GROUP BY metric""",
+        "runlog",
+    ),
     "hit_rate_at_k": sql("SELECT k, round(hit_rate, 6) AS hit_rate FROM at_k WHERE k = 10", "at_k"),
     "ndcg_at_k": sql("SELECT k, round(ndcg, 6) AS ndcg FROM at_k WHERE k = 10", "at_k"),
     "rank_metrics": sql(f"SELECT k, {r6('hit_rate', 'ndcg')}, n_users FROM at_k", "at_k"),

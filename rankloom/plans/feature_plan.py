@@ -95,10 +95,13 @@ def run(
     config: FeatureConfig = FeatureConfig(),
     *,
     checked: bool = True,
+    quarantined: DataFrame | None = None,
 ) -> dict[str, object]:
     """Write all outputs of the plan below ``output`` and return the manifest.
 
-    With ``checked`` the raw tables must keep the loading contract first.
+    With ``checked`` the raw tables must keep the loading contract first. ``quarantined``
+    (line, reason) are the records that could not be read (``sources/quarantine.py``): they
+    are written below quarantine/, one folder per reason, and counted in the manifest.
 
     interactions/   one table, one directory per split
     user_features/, item_features/, baseline_distributions/, feature_manifest/
@@ -107,6 +110,9 @@ def run(
     found = check(ratings, items) if checked else {}
     with scope(spark):
         facts = _write(build(ratings, items, config), output)
+    if quarantined is not None:
+        one = F.count(F.lit(1))
+        facts |= write_table(quarantined, f"{output}/quarantine", partition_by=["reason"], counts={"n_quarantined": one})
     facts |= found | {
         "split_strategy": SPLIT_STRATEGY,
         "train_frac": config.train_fraction,

@@ -11,15 +11,15 @@ CORRUPT_COLUMN = "_corrupt_record"
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: StructType, *, keep_corrupt: bool = False
+    spark: SparkSession, path: str, schema: StructType, *, keep_corrupt: bool = False, header: bool = True
 ) -> DataFrame:
-    """Headed CSV under an explicit schema.
+    """CSV under an explicit schema; every file has a header line unless ``header`` is false.
 
     A malformed field stops the job, unless ``keep_corrupt`` asks for the raw line
     of each bad row in ``_corrupt_record``. Doubled quotes inside quoted fields are
     read as one quote.
     """
-    reader = spark.read.option("header", True).option("escape", '"')
+    reader = spark.read.option("header", header).option("escape", '"')
     if keep_corrupt:
         schema = StructType([*schema.fields, StructField(CORRUPT_COLUMN, StringType())])
         reader = reader.option("mode", "PERMISSIVE").option(
