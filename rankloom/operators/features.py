@@ -20,7 +20,8 @@ from rankloom.schemas import ITEM_FEATURES, ITEM_JOIN_COLUMNS, USER_FEATURES, US
 from rankloom.sources.staging import broadcast_if_small, stage
 
 GENRE_SEPARATOR = r"\|"
-# Genre sets are kept as bits up to this vocabulary size (17 words per item).
+# Genre sets are kept as bits up to this vocabulary size (17 words per item), as rows beyond
+# it; both forms give the same numbers.
 MAX_GENRES = 1_024
 BITS_PER_WORD = 63
 
@@ -89,7 +90,9 @@ def user_features(ratings: DataFrame, items: DataFrame) -> DataFrame:
     words = genre_words(items)
     if words is None:
         users = ratings.groupBy("userId").agg(*activity)
-        users = users.join(genre_diversity(ratings, items), "userId", "left")
+        breadth = genre_diversity(ratings, items).withColumnRenamed("userId", "_user")
+        # Null-safe: ratings without a user are a group of their own in both forms.
+        users = users.join(breadth, F.col("userId").eqNullSafe(F.col("_user")), "left")
         return users.fillna(0, ["user_genre_diversity"]).select(USER_FEATURES.names)
     names = [c for c in words.columns if c != "movieId"]
     diversity = reduce(

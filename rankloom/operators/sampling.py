@@ -117,6 +117,40 @@ def sample_unseen(
     skipped = excluded.select(*keys, "item_idx") if beyond is None else excluded.select(*keys, "item_idx").unionByName(beyond)
     met = walk.with_step(skipped).join(demand, list(keys)).where(F.col("_step") < F.col("_end")).select(*keys, "want", "_step")
     stops = met.unionByName(demand.select(*keys, "want", F.col("_end").cast("bigint").alias("_step")))
+    return _between(stops, walk, n_items, max_group_rows, keys)
+
+
+def sample_in_proportion(
+    pairs: DataFrame, ratio: Column, n_items: int, seed: int = SEED, max_group_rows: int = MAX_GROUP_ROWS, keys: Sequence[str] = ("user_idx",)
+) -> DataFrame:
+    """:func:`sample_unseen` with ``ratio`` draws per excluded pair, which need no demand table.
+
+    Pairs move once more, by user: their number is a window count, and a user's first row
+    brings the stops that every user has. Users who may exceed ``max_group_rows`` go the long
+    way, with the same result.
+    """
+    if n_items + WALK_SPARE >= max_group_rows:
+        demand = pairs.groupBy(*keys).agg(F.count("*").alias("n_excluded")).withColumn("want", F.col("n_excluded") * ratio)
+        return sample_unseen(pairs, demand, n_items, seed, max_group_rows, keys)
+    walk, group = Walk(n_items, seed), Window.partitionBy(*keys)
+    n = F.count("*").over(group)
+    sized = pairs.select(*keys, "item_idx", n.alias("n_excluded"), F.row_number().over(group.orderBy("item_idx")).alias("_nth"))
+    sized = sized.withColumn("want", F.least(F.col("n_excluded") * ratio, F.lit(n_items) - F.col("n_excluded"))).where("want > 0")
+    sized = sized.withColumn("_end", F.col("want") + F.col("n_excluded") + (walk.size - n_items))
+    # Null stands for the end of the walk. Places beyond the catalogue are few by construction.
+    extra = [F.lit(i) for i in range(n_items, walk.size)]
+    places = F.when(F.col("_nth") == 1, F.array("item_idx", *extra, F.lit(None).cast("int"))).otherwise(F.array("item_idx"))
+    placed = sized.select(*keys, "want", "_end", F.explode(places).alias("item_idx"))
+    met = walk.with_step(placed.withColumn("_at", F.coalesce("item_idx", F.lit(0))), "_at")
+    # What is met after the end counts as the end: a stop there again leaves no gap. A filter
+    # would be pushed below the rounds and spell them all out.
+    step = F.when(F.col("item_idx").isNull(), F.col("_end")).otherwise(F.least("_step", "_end")).cast("bigint")
+    stops = met.select(*keys, "want", step.alias("_step"))
+    return _between(stops, walk, n_items, max_group_rows, keys)
+
+
+def _between(stops: DataFrame, walk: Walk, n_items: int, max_group_rows: int, keys: Sequence[str]) -> DataFrame:
+    """The items that lie between stops, as many as are wanted from the start of the walk."""
     gaps = _gaps(stops, n_items, max_group_rows, keys)
     free_before = F.col("_previous") + 1 - F.col("_met")
     length = F.least(F.col("_step") - F.col("_previous") - 1, F.col("want") - free_before)
@@ -179,13 +213,7 @@ def _labelled(
 ) -> DataFrame:
     """Positives as they come, and ``ratio`` negatives per distinct positive of every key."""
     rows = interactions.select(*keys, "item_idx")
-    pairs = rows.dropna().distinct()
-    demand = (
-        pairs.groupBy(*keys)
-        .agg(F.count("*").alias("n_excluded"))
-        .withColumn("want", F.col("n_excluded") * ratio)
-    )
-    negatives = sample_unseen(pairs, demand, n_items, seed, max_group_rows, keys)
+    negatives = sample_in_proportion(rows.dropna().distinct(), ratio, n_items, seed, max_group_rows, keys)
     positives = rows.withColumn("label", F.lit(1.0).cast("float"))
     return positives.unionByName(negatives.withColumn("label", F.lit(0.0).cast("float")))
 

@@ -85,6 +85,15 @@ def test_genre_sets_of_any_vocabulary(spark, monkeypatch, limit):
     assert got == {u: len({g for i in seen for g in genres.get(i, [])}) for u, seen in rated.items()}
 
 
+def test_ratings_without_a_user_count_alike_in_both_forms(spark, monkeypatch):
+    items = spark.createDataFrame([(1, "t", "A|B"), (2, "t", "B")], "movieId int, title string, genres string")
+    df = spark.createDataFrame([(None, 1, 3.0, 0), (None, 2, 4.0, 0), (5, 2, 4.0, 0)], RATINGS)
+    for limit in (0, 1_024):
+        monkeypatch.setattr(features, "MAX_GENRES", limit)
+        got = {r["userId"]: r["user_genre_diversity"] for r in features.user_features(df, items).collect()}
+        assert got == {None: 2, 5: 1}
+
+
 def test_item_features(tiny):
     rows = {r["movieId"]: r for r in features.item_features(*tiny).collect()}
     assert rows[1]["item_popularity_rank"] == 1

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rankloom.config import BATCH_ROWS
 from rankloom.operators import batches, sampling
+from rankloom.sources.staging import stage
 from tests.conftest import PAIRS, plan_text
 
 
@@ -145,6 +146,22 @@ def test_draws_are_not_shuffled(spark):
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
+def test_pairs_move_twice(spark):
+    """Once to drop their repeats, once by user; no join."""
+    _, df = pairs_of(spark, 1)
+    text = plan_text(sampling.sample_in_proportion(sampling.distinct_pairs(df), F.lit(4), 60))
+    assert text.count("Exchange") == 2 and "Join" not in text
+
+
+@pytest.mark.parametrize("n_items", [60, 61, 97])
+def test_both_ways_draw_the_same(spark, n_items):
+    _, df = pairs_of(spark, 2)
+    pairs = stage(sampling.distinct_pairs(df), "pairs")
+    near = sampling.sample_in_proportion(pairs, F.lit(4), n_items)
+    far = sampling.sample_in_proportion(pairs, F.lit(4), n_items, max_group_rows=20)
+    assert near.exceptAll(far).isEmpty() and far.exceptAll(near).isEmpty() and not near.isEmpty()
+
+
 def interactions(spark):
     rows = []
     for u in range(6):
