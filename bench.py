@@ -63,7 +63,7 @@ def staged_jobs(spark: SparkSession, folder: str, scratch: str) -> dict[str, Cal
     return {
         "sampling_alone": lambda: write(labelled_splits(interactions, n_items)),
         "candidates_alone": lambda: write(eval_candidates(interactions, n_items)),
-        "mf_fit_alone": lambda: models.fit_mf(train, n_users, n_items, dim=16, max_iter=4),
+        "mf_fit_alone": lambda: models.fit_mf(train, n_users, n_items, dim=64, max_iter=4),
         "feature_job_written": lambda: feature_plan.run(ratings, items, f"{scratch}/features", config),
     }
 
