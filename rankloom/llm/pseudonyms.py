@@ -11,6 +11,7 @@ The key is a parameter of the plan: keep plans and event logs as safe as the key
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -47,8 +48,18 @@ PHONE_LENGTHS = (
     "|(?:381|385|386|886|962|971|972)[0-9]{8,9}|880[0-9]{10}"
 )
 
-#: Days of the Gregorian cycle, 189 x 773, from this day on. Dates outside stay as they are.
+#: Country codes: none begins another, so digits alone tell where a code ends.
+PHONE_CODE = "^(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})"
+
+#: Days of one Gregorian cycle, 189 x 773, from this day on: a date of theirs stays among them.
 FIRST_DAY, CYCLE = "1800-01-01", (189, 773)
+#: All other days of the years 1 to 9999, 762 x 4,601, among which the others stay.
+YEAR_ONE, OTHERS = "0001-01-01", (762, 4_601)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that stands in the expression a single time, however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def number_from(hexadecimal: Column, digits: int = 15) -> Column:
@@ -207,22 +218,22 @@ def date_parts(value: Column) -> tuple[Column, Column, Column]:
 
 
 def day_number(value: Column) -> Column:
-    """Days from FIRST_DAY; null for what is no date of the cycle."""
+    """Days from FIRST_DAY, negative before it; null for what is no date of the years 1 to 9999."""
     day = F.concat_ws("-", *(F.lpad(p, w, "0") for p, w in zip(date_parts(value), (4, 2, 2), strict=True))).try_cast("date")
-    n = F.date_diff(day, F.lit(FIRST_DAY).cast("date"))
-    return F.when((n >= 0) & (n < CYCLE[0] * CYCLE[1]), n)
+    return F.when(day >= F.lit(YEAR_ONE).cast("date"), F.date_diff(day, F.lit(FIRST_DAY).cast("date")))
 
 
 def date_pseudonym(value: Column, key: str) -> Column:
-    """Another day of the cycle in the same order and with the same separators; two digits
-    for day and month."""
-    n = day_number(value)
-    network = feistel(F.floor(n / CYCLE[1]), n % CYCLE[1], *CYCLE, key, "date")
+    """Another day in the same order and with the same separators; two digits for day and
+    month, four for the year. Days of the cycle are permuted among themselves, and so are all
+    days outside it."""
+    first = F.lit(FIRST_DAY).cast("date")
+    before = F.date_diff(first, F.lit(YEAR_ONE).cast("date"))
+    days = CYCLE[0] * CYCLE[1]
     parts = F.split(value, r"[./-]")
     separator = F.regexp_extract(value, r"[./-]", 0)
 
-    def write(p: Column) -> Column:
-        day = F.date_add(F.lit(FIRST_DAY).cast("date"), (p["left"] * CYCLE[1] + p["right"]).cast("int"))
+    def write(day: Column) -> Column:
         y, m, d = F.date_format(day, "yyyy"), F.date_format(day, "MM"), F.date_format(day, "dd")
         # The day stays first where it was seen to be: a month of over 12 does not occur.
         day_first = value.contains(".") | (parts[0].cast("int") > 12)
@@ -232,14 +243,32 @@ def date_pseudonym(value: Column, key: str) -> Column:
             .otherwise(F.concat_ws("-", m, d, y))
         )
 
-    return F.replace(F.transform(F.array(network), write)[0], F.lit("-"), separator)
+    def moved(n: Column) -> Column:
+        inside = (n >= 0) & (n < days)
+        left, right = (F.when(inside, a).otherwise(b) for a, b in zip(CYCLE, OTHERS, strict=True))
+        place = F.when(inside, n).otherwise(F.when(n < 0, n + before).otherwise(n + before - days))
+        network = feistel(F.floor(place / right), place % right, left, right, key, F.when(inside, "date").otherwise("date.others"))
+        at = once(network, lambda p: p["left"] * right + p["right"])
+        return once(at, lambda x: F.date_add(first, F.when(inside, x).otherwise(x - before + F.when(x < before, 0).otherwise(days)).cast("int")))
+
+    return F.replace(once(once(day_number(value), moved), write), F.lit("-"), separator)
 
 
 def phone_pseudonym(value: Column, key: str) -> Column:
-    """Digits after the country code permuted."""
-    code = F.regexp_extract(value, r"^\+\d{1,3}(?=[ .(-])", 0)
-    rest = F.substring(value, F.length(code) + 1, F.length(value))
-    return F.concat(code, refill(rest, permuted_digits(only_digits(rest), key, "phone")))
+    """Digits after the country code permuted: the same for a number in every format.
+
+    The code is told by its digits, whatever separators follow. A number without a code has
+    its digits permuted as they are after one.
+    """
+    def code(known: Column) -> Column:
+        written = F.concat(F.lit("+"), known)
+        return F.when((known != "") & value.startswith(written), written).otherwise(F.regexp_extract(value, r"^\+\d{1,3}(?=[ .(-])", 0))
+
+    def national(rest: Column) -> Column:
+        return refill(rest, permuted_digits(only_digits(rest), key, "phone"))
+
+    found = once(F.regexp_extract(only_digits(value), PHONE_CODE, 0), code)
+    return once(found, lambda c: F.concat(c, once(F.substring(value, F.length(c) + 1, F.length(value)), national)))
 
 
 def valid_phone(value: Column) -> Column:

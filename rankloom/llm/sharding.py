@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import keep
+from rankloom.llm.common import fresh_name, keep, scratch
 
 #: Bits of one hash, and of a round beyond those that the mean shard needs.
 WORD_BITS = 60
@@ -75,11 +75,12 @@ def _numbered(rows: DataFrame, limit: int) -> DataFrame:
     rows = rows.withColumn("own", own).join(counts.drop("count"), ["shard", "part"])
     fit = F.greatest(F.lit(1), F.floor(limit / F.col("n_bytes")))
     number = F.floor((F.col("before") + F.col("own")) / fit)
-    return rows.select("doc_id", "n_bytes", F.concat_ws("/", "shard", number.cast("string")).alias("shard"))
+    return rows.withColumn("shard", F.concat_ws("/", "shard", number.cast("string"))).drop("by_id", "by_text", "part", "own", "before")
 
 
-def assign(docs: DataFrame, limit: int = SHARD_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, shard, depth of every row; the shard is named by its bits.
+def assign(docs: DataFrame, limit: int = SHARD_BYTES, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """doc_id, n_bytes, shard, depth of every row; the shard is named by its bits. With ``row``
+    that column, a key of the rows, comes last.
 
     Null texts count as empty; null ids hash like empty ones; equal rows are assigned one
     by one; a row over the limit is alone in its shard; an empty table gives no rows.
@@ -91,7 +92,9 @@ def assign(docs: DataFrame, limit: int = SHARD_BYTES, doc_id: str = "doc_id", te
         F.lit("").alias("shard"),
         hash_word(F.col(doc_id).cast("string")).alias("by_id"),
         hash_word(F.col(text)).alias("by_text"),
+        *([] if row is None else [F.col(row).alias("row")]),
     )
+    kept = ["doc_id", "n_bytes", "shard", *([] if row is None else ["row"])]
     rows = keep(rows, "sizes")
     done = []
     left = rows.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0
@@ -105,25 +108,36 @@ def assign(docs: DataFrame, limit: int = SHARD_BYTES, doc_id: str = "doc_id", te
             closed, over = _round(celled, width, limit)
             fitting = celled.join(closed, ["shard", "cell"])
             bits = bit_text(shifted("cell", width - F.col("depth")), F.col("depth"))
-            done.append(fitting.select("doc_id", "n_bytes", F.concat("shard", bits).alias("shard")))
+            done.append(fitting.withColumn("shard", F.concat("shard", bits)).select(*kept))
             used += width
             open_ = over.agg(F.sum("bytes").alias("n"), F.count("*").alias("cells")).first()
             if not open_["cells"]:
                 return _result(done)
             left, shards = open_["n"], open_["cells"]
-            rows = celled.join(over.drop("bytes"), ["shard", "cell"], "left_semi").select(
-                "doc_id", "n_bytes", F.concat("shard", bit_text(F.col("cell"), F.lit(width))).alias("shard"), "by_id", "by_text"
-            )
-    done.append(_numbered(rows, limit))
+            inner = celled.join(over.drop("bytes"), ["shard", "cell"], "left_semi")
+            rows = inner.withColumn("shard", F.concat("shard", bit_text(F.col("cell"), F.lit(width)))).select(*kept, "by_id", "by_text")
+    done.append(_numbered(rows, limit).select(*kept))
     return _result(done)
 
 
 def _result(parts: list[DataFrame]) -> DataFrame:
     depth = F.length(F.element_at(F.split("shard", "/"), 1))
-    return reduce(DataFrame.unionAll, parts).withColumn("depth", depth)
+    whole = reduce(DataFrame.unionAll, parts)
+    return whole.select("doc_id", "n_bytes", "shard", depth.alias("depth"), *[c for c in whole.columns if c == "row"])
 
 
-def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, doc_id: str = "doc_id", text: str = "text") -> None:
-    """The documents as Parquet, one folder per shard (ids must not repeat)."""
-    shards = assign(docs, limit, doc_id, text).select(F.col("doc_id").alias(doc_id), F.concat(F.lit("b"), "shard").alias("shard"))
-    docs.drop("shard").join(shards, doc_id).repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, doc_id: str = "doc_id", text: str = "text") -> str:
+    """The documents as Parquet with all their columns, one folder per shard; the name of the
+    column that tells the shards (``shard``, or with underscores before it where the documents
+    have such a column).
+
+    Rows are told apart by a number of their own, so every row is written once: rows without an
+    id, rows that share one and equal rows too. Null texts count as empty. A copy of the table
+    is kept in the shared folder while the shards are written.
+    """
+    row, shard = fresh_name(docs, "row"), fresh_name(docs, "shard")
+    with scratch():
+        numbered = keep(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+        names = assign(numbered, limit, doc_id, text, row).select(F.col("row").alias(row), F.concat(F.lit("b"), F.replace("shard", F.lit("/"), F.lit("-"))).alias(shard))
+        numbered.join(names, row).drop(row).repartition(shard).write.partitionBy(shard).parquet(path)
+    return shard

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankloom.llm import pseudonyms as P
+from rankloom.llm.common import keep
 
 KEY = "k"
 
@@ -143,3 +144,44 @@ def test_odd_rows(spark):
 def test_native(spark):
     plan = P.pseudonymise(spark.createDataFrame([(1, "x")], "doc_id long, text string"), KEY)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize(
+    "formats,code",
+    [
+        (("+1 415 555 2671", "(415) 555-2671", "+14155552671", "415-555-2671", "+1-415-555-2671"), "1"),
+        (("+49 301 234 5678", "+493012345678", "+49-301-234-5678"), "49"),
+        (("+351 912 345 678", "+351912345678"), "351"),
+    ],
+)
+def test_one_number_has_one_pseudonym_in_every_format(spark, formats, code):
+    got = [one(spark, f"call {f} now")["text"][5:-4] for f in formats]
+    numbers = [re.sub(r"\D", "", g) for g in got]
+    national = {n.removeprefix(code) if g.startswith("+") else n for n, g in zip(numbers, got, strict=True)}
+    assert len(national) == 1 and national != {re.sub(r"\D", "", formats[0]).removeprefix(code)}
+    for before, after in zip(formats, got, strict=True):
+        # The format stays, the code too, and where the country fixes its digits they fit.
+        assert re.sub(r"\d", "0", before) == re.sub(r"\d", "0", after)
+        if before.startswith("+"):
+            digits_after = re.sub(r"\D", "", after)
+            fixed = re.fullmatch(P.PHONE_LENGTHS, re.sub(r"\D", "", before))
+            assert digits_after.startswith(code) and bool(re.fullmatch(P.PHONE_LENGTHS, digits_after)) == bool(fixed)
+
+
+def test_dates_of_any_year(spark):
+    given = ["12.03.1799", "2250-01-02", "0001-01-01", "9999-12-31", "31/12/1799", "1800-01-01", "2199-12-31"]
+    row = one(spark, " , ".join(given))
+    got = row["text"].split(" , ")
+    assert row["n_date"] == len(given) and all(a != b for a, b in zip(given, got, strict=True))
+
+    def read(d):
+        a, b, c = re.split(r"[./-]", d)
+        return datetime.date(int(a), int(b), int(c)) if len(a) == 4 else datetime.date(int(c), int(b), int(a))
+
+    for a, b in zip(given, got, strict=True):
+        assert re.sub(r"\d", "0", a) == re.sub(r"\d", "0", b)
+        assert (1800 <= read(a).year < 2200) == (1800 <= read(b).year < 2200)
+    # A permutation: many days outside the cycle have different pseudonyms.
+    days = [(datetime.date(1500, 1, 1) + datetime.timedelta(days=i)).isoformat() for i in range(400)]
+    table = keep(spark.createDataFrame([(d,) for d in days], "day string"), "days")
+    assert table.select(P.date_pseudonym(F.col("day"), KEY).alias("day")).distinct().count() == 400

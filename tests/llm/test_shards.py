@@ -43,3 +43,15 @@ def test_written_shards(spark, tmp_path):
     back = spark.read.parquet(f"{tmp_path}/out")
     assert back.count() == docs.count()
     assert back.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("n")).where("n > 300000").count() == 0
+
+
+def test_written_shards_keep_every_row_and_column(spark, tmp_path):
+    rows = [(None, "no id", "x"), (3, "twin", "y"), (3, "twin", "y"), (3, "other", None), (4, None, "z"), *[(9, "same " * 40, "w")] * 30]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string")
+    name = sharding.write_shards(docs, f"{tmp_path}/out", 900)
+    assert name == "_shard"
+    back = spark.read.schema(f"doc_id long, text string, shard string, {name} string").parquet(f"{tmp_path}/out")
+    assert sorted(map(str, back.drop(name).collect())) == sorted(map(str, docs.collect()))
+    sizes = back.groupBy(name).agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).collect()
+    assert all(s["bytes"] is None or s["bytes"] <= 900 or s["n"] == 1 for s in sizes) and len(sizes) > 5
+    assert sharding.write_shards(docs.limit(0), f"{tmp_path}/none") == "_shard"
