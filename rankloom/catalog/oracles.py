@@ -577,6 +577,15 @@ ORACLES: dict[str, str] = {
         "user_map",
         "item_map",
     ),
+    "enriched_interactions_bucketed": sql(
+        f"""SELECT {RAW}, {_CROSS}, user_idx, item_idx, split FROM split r {_GENERAL_JOINS}
+            JOIN user_map USING ("userId") JOIN item_map USING ("movieId")""",
+        "split",
+        "users",
+        "catalogue",
+        "user_map",
+        "item_map",
+    ),
     "written_interactions": sql(
         f"""SELECT user_idx, item_idx, "timestamp", split, user_avg_rating, item_rating_count FROM (
               SELECT {RAW}, {_CROSS}, user_idx, item_idx, split FROM split r {_GENERAL_JOINS}

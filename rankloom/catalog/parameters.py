@@ -26,6 +26,8 @@ PASS_BLOCKS = 4
 PASS_STEP = 0.05
 PASS_L2 = 0.01
 LOOP_EPOCHS = 2
+LONG_HISTORY = 80
+HOT_ITEM = 40
 
 
 def _grid(rows: int, cols: int, a: int, b: int, modulus: int) -> np.ndarray:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 import numpy as np
@@ -222,6 +223,15 @@ def enriched_interactions(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(tables.interactions)
 
 
+@query
+def enriched_interactions_bucketed(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by the plan for tables too large to broadcast: histories and users bucketed by
+    user, long histories apart, hot items dealt out."""
+    config = replace(CONFIG, max_broadcast_rows=0, max_group_rows=P.LONG_HISTORY, max_item_rows=P.HOT_ITEM)
+    tables = feature_plan.build(binding.ratings(spark, folder), binding.items(spark, folder), config)
+    return rounded(tables.interactions)
+
+
 @query
 def train_scope_features(spark: SparkSession, folder: str) -> DataFrame:
     """User features that see the training part of each history only."""

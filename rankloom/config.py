@@ -39,6 +39,9 @@ MAX_GROUP_ROWS = 5_000_000
 # Rows a side may have before it is hinted for broadcast.
 MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 32 * 2**20
+# Rows of one bucket of histories, and of one item that meet in a task of a join.
+BUCKET_ROWS = 4_000_000
+MAX_ITEM_ROWS = 4_000_000
 # Longest array a generator row may carry before it is exploded.
 EXPLODE_CHUNK = 4_096
 
@@ -56,6 +59,10 @@ class FeatureConfig:
     # Columns that, after (timestamp, movieId), make a user's history totally ordered.
     tie_columns: tuple[str, ...] = field(default=())
     max_group_rows: int = MAX_GROUP_ROWS
+    # User and item tables of more rows are joined without a broadcast.
+    max_broadcast_rows: int = MAX_BROADCAST_ROWS
+    bucket_rows: int = BUCKET_ROWS
+    max_item_rows: int = MAX_ITEM_ROWS
 
     def __post_init__(self) -> None:
         if self.feature_scope not in ("all", "train"):

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.config import (
+    MAX_ITEM_ROWS,
     MONITORED_ITEM_FEATURES,
     MONITORED_USER_FEATURES,
     POSITIVE_RATING,
@@ -134,19 +135,58 @@ def cross_features() -> dict[str, Column]:
     }
 
 
-def interaction_features(ratings: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
+def dealt(rows: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """``rows`` with ``_part``: 0, or one of the ``_parts`` of a key that ``hot`` lists."""
+    # The partition number is that of a file's split, the same when a task runs again; it tells
+    # equal rows of different files apart.
+    known = rows.withColumn("_at", F.spark_partition_id()).join(hot, key, "left")
+    part = F.pmod(F.xxhash64(*rows.columns, "_at"), F.col("_parts")).cast("int")
+    return known.withColumn("_part", F.coalesce(part, F.lit(0))).drop("_parts", "_at")
+
+
+def join_by_parts(rows: DataFrame, side: DataFrame, key: str, counts: DataFrame, group_rows: int) -> DataFrame:
+    """``rows`` left-joined with ``side`` (one row per key) in one shuffle of the rows, where no
+    more than about ``group_rows`` rows of a key meet in a task.
+
+    ``counts`` (key, _n) is staged. A key of more rows is dealt out in parts and its row of
+    ``side`` goes to each of them; equal rows of one file stay together. Null keys find
+    nothing and are no group. Without such keys this is the plain join.
+    """
+    hot = counts.where((F.col("_n") > group_rows) & F.col(key).isNotNull())
+    if hot.isEmpty():
+        return rows.join(side, key, "left")
+    parts = F.ceil(F.col("_n") / group_rows).cast("int").alias("_parts")
+    hot = broadcast_if_small(stage(hot.select(key, parts), "hot-keys"))
+    every = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+    right = side.join(hot, key, "left").withColumn("_part", F.explode(every)).drop("_parts")
+    return dealt(rows, key, hot).join(right, [key, "_part"], "left").drop("_part")
+
+
+def interaction_features(
+    ratings: DataFrame,
+    users: DataFrame,
+    items: DataFrame,
+    *,
+    item_counts: DataFrame | None = None,
+    group_rows: int = MAX_ITEM_ROWS,
+) -> DataFrame:
     """Ratings with their user's and item's features and the cross features.
 
-    No side is hinted here: without a caller's hint the planner broadcasts what it
-    measures as small and splits the partitions of hot users or items otherwise.
+    Users come first: ratings and users that are bucketed alike are joined where they lie,
+    so that ratings are shuffled once, for their items, or not at all. No side is hinted
+    here: without a caller's hint the planner broadcasts what it measures as small. With
+    ``item_counts`` (movieId, _n; staged, the item side being too large to broadcast) hot
+    items are dealt out over several tasks.
     """
     extra_user = [c for c in ("user_idx",) if c in users.columns]
     extra_item = [c for c in ("item_idx",) if c in items.columns]
-    return (
-        ratings.join(items.select("movieId", *ITEM_JOIN_COLUMNS, *extra_item), "movieId", "left")
-        .join(users.select("userId", *USER_JOIN_COLUMNS, *extra_user), "userId", "left")
-        .withColumns(cross_features())
-    )
+    known = ratings.join(users.select("userId", *USER_JOIN_COLUMNS, *extra_user), "userId", "left")
+    side = items.select("movieId", *ITEM_JOIN_COLUMNS, *extra_item)
+    if item_counts is None:
+        both = known.join(side, "movieId", "left")
+    else:
+        both = join_by_parts(known, side, "movieId", item_counts, group_rows)
+    return both.withColumns(cross_features())
 
 
 def distributions(users: DataFrame, items: DataFrame) -> DataFrame:

@@ -39,21 +39,46 @@ def temporal_split(
     per user again; counts of a larger table serve too, they only decide which way a user
     takes.
     """
+    usual, large = split_parts(
+        df, train_fraction, val_fraction, user=user, order=order, user_counts=user_counts, max_group_rows=max_group_rows
+    )
+    return usual if large is None else usual.unionByName(large)
+
+
+def split_parts(
+    df: DataFrame,
+    train_fraction: float = TRAIN_FRACTION,
+    val_fraction: float = VAL_FRACTION,
+    *,
+    user: str = "userId",
+    order: Sequence[str] = ("timestamp", "movieId"),
+    user_counts: DataFrame | None = None,
+    max_group_rows: int = MAX_GROUP_ROWS,
+    buckets: int | None = None,
+) -> tuple[DataFrame, DataFrame | None]:
+    """The two parts of :func:`temporal_split`: histories of up to ``max_group_rows`` rows, and
+    longer ones (``None`` if there are none).
+
+    With ``buckets`` the first part is shuffled into as many partitions by user, so that it
+    can be staged in buckets without another shuffle.
+    """
     counts = user_counts if user_counts is not None else key_counts(df, user)
     large = counts.where(F.col("_n") > max_group_rows).select(user)
     if large.isEmpty():
-        return _split_by_window(df, user, order, train_fraction, val_fraction)
+        return _split_by_window(df, user, order, train_fraction, val_fraction, buckets), None
     large = broadcast_if_small(stage(large, "large-users"))
-    small_part = _split_by_window(
-        df.join(large, user, "left_anti"), user, order, train_fraction, val_fraction
+    usual = _split_by_window(
+        df.join(large, user, "left_anti"), user, order, train_fraction, val_fraction, buckets
     )
     rows = stage(df.join(large, user, "left_semi"), "large-histories")
-    return small_part.unionByName(_split_by_ranges(rows, user, order, train_fraction, val_fraction, max_group_rows))
+    return usual, _split_by_ranges(rows, user, order, train_fraction, val_fraction, max_group_rows)
 
 
 def _split_by_window(
-    df: DataFrame, user: str, order: Sequence[str], train: float, val: float
+    df: DataFrame, user: str, order: Sequence[str], train: float, val: float, buckets: int | None = None
 ) -> DataFrame:
+    if buckets:
+        df = df.repartition(buckets, user)
     history = Window.partitionBy(user)
     placed = df.withColumn("_place", F.row_number().over(history.orderBy(*order)))
     sized = placed.withColumn("_total", F.count("*").over(history))

@@ -13,8 +13,8 @@ from rankloom.operators import quality
 from rankloom.operators.cold_start import filter_cold_start, key_counts
 from rankloom.operators.features import distributions, interaction_features, item_features, user_features
 from rankloom.operators.ordering import dense_index
-from rankloom.operators.splitting import temporal_split
-from rankloom.sources.staging import broadcast_if_small, scope, stage, stage_all
+from rankloom.operators.splitting import split_parts
+from rankloom.sources.staging import broadcast_if_small, bucket_count, is_small, scope, stage, stage_all, stage_bucketed
 from rankloom.sources.writers import write_manifest, write_table
 
 
@@ -39,6 +39,11 @@ def build(ratings: DataFrame, items: DataFrame, config: FeatureConfig = FeatureC
     the sums per user that follow are nearly finished before their shuffle. User and
     item tables carry features and index in one row, and interactions meet two joins
     in all.
+
+    Where there are too many users to broadcast, histories and users are written in the same
+    buckets by user: sums per user and the user join take no shuffle, and a shuffle by item is
+    the only one that rows with features take. Histories of more than
+    ``max_group_rows`` rows are no part of the buckets; their few users are attached apart.
     """
     ratings = ratings.select(*schemas.RATINGS.names, *config.tie_columns)
     per_user, per_item = stage_all(
@@ -51,17 +56,26 @@ def build(ratings: DataFrame, items: DataFrame, config: FeatureConfig = FeatureC
         user_counts=per_user,
         item_counts=per_item,
     )
-    histories = stage(
-        temporal_split(
-            kept,
-            config.train_fraction,
-            config.val_fraction,
-            order=config.history_order,
-            user_counts=per_user,
-            max_group_rows=config.max_group_rows,
-        ),
-        "histories",
+    buckets = None
+    if not is_small(per_user, config.max_broadcast_rows):
+        n_rows = per_user.agg(F.sum("_n")).first()[0] or 0
+        buckets = bucket_count(ratings.sparkSession, n_rows, config.bucket_rows)
+    usual, large = split_parts(
+        kept,
+        config.train_fraction,
+        config.val_fraction,
+        order=config.history_order,
+        user_counts=per_user,
+        max_group_rows=config.max_group_rows,
+        buckets=buckets,
     )
+    if buckets is None:
+        histories = stage(usual if large is None else usual.unionByName(large), "histories")
+    else:
+        usual = histories = stage_bucketed(usual, "histories", "userId", buckets)
+        if large is not None:
+            large = stage(large, "long-histories")
+            histories = usual.unionByName(large)
     train_only = config.feature_scope == "train"
     source = histories.where("split = 'train'") if train_only else histories
     users, catalogue = user_features(source, items), item_features(source, items)
@@ -69,11 +83,28 @@ def build(ratings: DataFrame, items: DataFrame, config: FeatureConfig = FeatureC
         # Ids that only later splits contain get an index and no features.
         users = histories.select("userId").distinct().join(users, "userId", "left")
         catalogue = histories.select("movieId").distinct().join(catalogue, "movieId", "left")
-    users, catalogue = stage_all(
-        users=dense_index(users, "userId", "user_idx"), items=dense_index(catalogue, "movieId", "item_idx")
-    )
-    enriched = interaction_features(histories, broadcast_if_small(users), broadcast_if_small(catalogue))
-    return FeatureTables(users, catalogue, enriched)
+    users, catalogue = dense_index(users, "userId", "user_idx"), dense_index(catalogue, "movieId", "item_idx")
+    if buckets is None:
+        users, catalogue = stage_all(users=users, items=catalogue)
+    else:
+        users, catalogue = stage_bucketed(users, "users", "userId", buckets), stage(catalogue, "items")
+
+    few_items = is_small(catalogue, config.max_broadcast_rows)
+    side = F.broadcast(catalogue) if few_items else catalogue
+
+    def enriched(rows: DataFrame, of: DataFrame) -> DataFrame:
+        counts = None if few_items else per_item
+        return interaction_features(rows, of, side, item_counts=counts, group_rows=config.max_item_rows)
+
+    if buckets is None:
+        return FeatureTables(users, catalogue, enriched(histories, broadcast_if_small(users, config.max_broadcast_rows)))
+    interactions = enriched(usual, users)
+    if large is not None:
+        # At most one user in max_group_rows ratings.
+        names = per_user.where(F.col("_n") > config.max_group_rows).select("userId")
+        busiest = broadcast_if_small(stage(users.join(names, "userId", "left_semi"), "busiest-users"))
+        interactions = interactions.unionByName(enriched(large, busiest))
+    return FeatureTables(users, catalogue, interactions)
 
 
 def check(ratings: DataFrame, items: DataFrame) -> dict[str, object]:

@@ -51,6 +51,33 @@ def stage(df: DataFrame, name: str, *, partition_by: Sequence[str] = ()) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """``stage`` with one file per bucket of ``key``: what is bucketed alike is joined, and
+    grouped by the key, where it lies.
+
+    The catalogue entry that carries the buckets goes at once; the scan keeps them.
+    """
+    spark = df.sparkSession
+    path = f"{stage_root(spark)}/rankloom/{name}-{uuid.uuid4().hex}"
+    owned = _scope.get()
+    if owned is not None:
+        owned.append(path)
+    table = f"rankloom_stage_{uuid.uuid4().hex}"
+    try:
+        df.repartition(buckets, key).write.bucketBy(buckets, key).saveAsTable(table, format="parquet", path=path)
+        return spark.table(table)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def bucket_count(spark: SparkSession, rows: int, bucket_rows: int) -> int:
+    """Buckets for so many rows: at least the partitions of a shuffle, as the planner would
+    shuffle again for more tasks otherwise, and at most what Spark allows."""
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    return min(max(least, -(-rows // bucket_rows)), most)
+
+
 def discard(staged: DataFrame) -> None:
     """Delete a staged table that nothing reads any more, before its scope ends."""
     spark = staged.sparkSession
@@ -99,9 +126,12 @@ def staged_bytes(staged: DataFrame) -> int:
     return int(staged._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def is_small(staged: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """Whether a staged table has at most ``max_rows`` rows and ``max_bytes`` bytes of files;
+    both are known without reading it."""
+    return staged_bytes(staged) <= max_bytes and staged.limit(max_rows + 1).count() <= max_rows
+
+
 def broadcast_if_small(staged: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast when a staged table has at most ``max_rows`` rows and ``max_bytes``
-    bytes of files; both are known without reading it."""
-    if staged_bytes(staged) <= max_bytes and staged.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(staged)
-    return staged
+    """Hint a broadcast when a staged table is small."""
+    return F.broadcast(staged) if is_small(staged, max_rows, max_bytes) else staged
