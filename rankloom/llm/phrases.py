@@ -1,21 +1,23 @@
 """Removal of word sequences that occur earlier in the corpus.
 
 A window of ``WINDOW`` words is removed where the same words also start earlier. Documents
-are dealt into shards by id, and the work goes in four moves over the same shards:
+are dealt into shards by id, those of an id with much text one by one, and the work goes in
+four moves over the same shards:
 
 1. Every shard names the anchors of its windows: the 8-word phrase of least hash in each
    window. Equal windows have equal anchors, so a window whose anchor occurs once in the
    corpus is new. Anchors meet in buckets by hash, and those that recur are sent back to
    the shards that hold them.
-2. A shard compiles its recurring phrases into an Aho-Corasick automaton and streams its
-   documents through. Only windows around a located phrase go on.
+2. A shard cuts the words of its recurring anchors, compiles them into an Aho-Corasick
+   automaton and streams its documents through. Where phrases occur is known from the
+   automaton alone, word by word; only windows around a located phrase go on.
 3. The first of equal windows in each shard meet in buckets by hash; all but the earliest
    of the corpus are sent back, with the later ones of the shard itself.
 4. A shard drops the words under those windows.
 
 Between moves go packed arrays, one row per shard and bucket: a phrase that a third of all
-documents contain appears once per shard, not once per document. Windows are told apart
-by 96 bits of hash.
+documents contain appears once per shard, not once per document. Windows of different shards
+are told apart by 96 bits of hash.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import offsets, pieces_of, ranges, runs_of, text_bytes, utf8
+from rankloom.llm.common import keep, offsets, pieces_of, ranges, runs_of, utf8
 
 WINDOW = 20
 PHRASE = 8
@@ -49,10 +51,13 @@ SEED = 9
 #: Rows without an id come after all others.
 NO_ID = np.iinfo(np.int64).max
 
+#: Bytes by which texts of one id are dealt into ranges of their order.
+RANGE_BYTES = 256
 
-class WordHashes(dict):
+
+class WordNumbers(dict):
     def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        value = self[word] = len(self)
         return value
 
 
@@ -76,15 +81,18 @@ class Shard:
     def __init__(self, table: pa.Table):
         ids = table["doc_id"].to_pylist()
         texts = [t or b"" for t in table["text"].to_pylist()]
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
+        ranks = table["rank"].to_pylist()
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, ranks[i], texts[i]))
         self.ids = [ids[i] for i in order]
+        self.ranks = np.array([ranks[i] for i in order], np.int64)
         self.words = [texts[i].split() for i in order]
         self.base = offsets(np.array([len(w) for w in self.words], np.int64))
 
     def hash_words(self) -> None:
-        own = WordHashes()
+        own = WordNumbers()
         words = chain.from_iterable(self.words)
-        self.hashes = np.fromiter(map(own.__getitem__, words), np.uint64, int(self.base[-1]))
+        self.symbols = np.fromiter(map(own.__getitem__, words), np.int32, int(self.base[-1]))
+        self.hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in own), np.uint64, len(own))[self.symbols]
 
     def window_starts(self) -> np.ndarray:
         """Places where a window fits into its document."""
@@ -144,6 +152,14 @@ def _rows(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Table:
     return pa.table({name: pa.array(c, kind) for (name, kind), c in zip(fields, columns, strict=True)})
 
 
+def by_shard(shard: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The values of each shard that has any."""
+    order = np.argsort(shard, kind="stable")
+    names, first = np.unique(shard[order], return_index=True)
+    for name, part in zip(names.tolist(), np.split(values[order], first[1:]), strict=False):
+        yield name, part
+
+
 def _owner(table: pa.Table, column: str, width: int) -> np.ndarray:
     """Row of each packed value."""
     return np.repeat(np.arange(len(table)), [len(v) // width for v in table[column].to_pylist()])
@@ -157,14 +173,12 @@ def recurring_anchors(table: pa.Table) -> pa.Table:
     recurs = n > 1
     recurs[which[repeated]] = True
     chosen = recurs[which]
-    rows = []
-    for s in np.unique(shard[chosen]):
-        rows.append((int(s), pack(anchors[chosen & (shard == s)])))
+    rows = [(s, pack(some)) for s, some in by_shard(shard[chosen], anchors[chosen])]
     return _rows(rows, [("shard", pa.int32()), ("anchors", pa.binary())])
 
 
-WINDOWS = "bucket int, shard int, hashes binary, checks binary, docs binary, places binary, later binary"
-WINDOW_FIELDS = [("bucket", pa.int32()), ("shard", pa.int32())] + [(n, pa.binary()) for n in ("hashes", "checks", "docs", "places", "later")]
+WINDOWS = "bucket int, shard int, hashes binary, checks binary, docs binary, ranks binary, places binary, later binary"
+WINDOW_FIELDS = [("bucket", pa.int32()), ("shard", pa.int32())] + [(n, pa.binary()) for n in ("hashes", "checks", "docs", "ranks", "places", "later")]
 
 
 def as_letters(symbols: np.ndarray) -> tuple[str, int]:
@@ -199,16 +213,10 @@ def _locate_windows(buckets: int):
         shard.hash_words()
         phrases = rolling(shard.hashes, PHRASE, MULTIPLIERS[0])
         recurring = np.unique(unpack(replies["anchors"], np.uint64))
-        at = np.minimum(np.searchsorted(recurring, phrases), len(recurring) - 1)
-        known = np.flatnonzero(recurring[at] == phrases)
-        # The hash of a phrase may also arise across two documents; a phrase may not.
-        doc = np.searchsorted(shard.base, known, side="right")
-        known = known[known + PHRASE <= shard.base[doc]]
-        if not len(known):
-            return _rows([], WINDOW_FIELDS)
-        _, first = np.unique(phrases[known], return_index=True)
-        _, symbols = np.unique(shard.hashes, return_inverse=True)
-        places = occurrences(symbols, known[first])
+        anchors = shard.anchors(shard.window_starts(), phrases)
+        cut = anchors[np.isin(phrases[anchors], recurring)]
+        places = occurrences(shard.symbols, cut)
+        # Words of two documents make no phrase.
         doc = np.searchsorted(shard.base, places, side="right")
         start, end = shard.base[doc - 1], shard.base[doc]
         inside = (places + PHRASE <= end) & (end - start >= WINDOW)
@@ -229,13 +237,16 @@ def _locate_windows(buckets: int):
         later = starts[order[~new]].astype(np.uint32)
         name = key[0].as_py()
         ids = np.array([NO_ID if i is None else i for i in shard.ids], np.int64)
-        docs = ids[np.searchsorted(shard.base, starts, side="right") - 1]
+        of = np.searchsorted(shard.base, starts, side="right") - 1
+        docs, ranks = ids[of], shard.ranks[of]
         rows = []
         for b, some in by_bucket(hashes[own], buckets):
             some = own[some]
-            rows.append((b, name, pack(hashes[some]), pack(checks[some]), pack(docs[some]), pack(starts[some].astype(np.uint32)), b""))
+            # Ranks are sent where there are any.
+            rank = pack(ranks[some]) if ranks[some].any() else b""
+            rows.append((b, name, pack(hashes[some]), pack(checks[some]), pack(docs[some]), rank, pack(starts[some].astype(np.uint32)), b""))
         if len(later):
-            rows.append((name % buckets, name, b"", b"", b"", b"", pack(np.sort(later))))
+            rows.append((name % buckets, name, b"", b"", b"", b"", b"", pack(np.sort(later))))
         return _rows(rows, WINDOW_FIELDS)
 
     return locate
@@ -246,13 +257,15 @@ def repeated_windows(table: pa.Table) -> pa.Table:
     hashes, checks = unpack(table["hashes"], np.uint64), unpack(table["checks"], np.uint32)
     docs, places = unpack(table["docs"], np.int64), unpack(table["places"], np.uint32)
     shard = table["shard"].to_numpy()[_owner(table, "hashes", 8)]
-    # Equal ids lie in one shard, which sends the first of its equal windows only.
-    order = np.lexsort((shard, docs, checks, hashes))
+    sent = zip(table["docs"].to_pylist(), table["ranks"].to_pylist(), strict=True)
+    ranks = np.frombuffer(b"".join(r or bytes(len(d)) for d, r in sent), np.int64)
+    # A shard sends the first of its equal windows only; equal ranks of an id are equal texts.
+    order = np.lexsort((shard, ranks, docs, checks, hashes))
     h, c = hashes[order], checks[order]
     again = np.zeros(len(order), bool)
     again[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
     again = order[again]
-    rows = [(int(s), pack(places[again[shard[again] == s]])) for s in np.unique(shard[again])]
+    rows = [(s, pack(some)) for s, some in by_shard(shard[again], places[again])]
     rows += [(s, later) for s, later in zip(table["shard"].to_pylist(), table["later"].to_pylist(), strict=True) if later]
     return _rows(rows, [("shard", pa.int32()), ("places", pa.binary())])
 
@@ -283,20 +296,48 @@ def drop_words(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
     return _rows(rows, [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("spans", pa.list_(SPAN))])
 
 
+def in_shards(rows: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
+    """doc_id, text, shard and rank of the rows (doc_id, text). sizes: doc_id, bytes of all ids.
+
+    Rows of one id share a shard and are ordered by text there (rank 0). An id of more text
+    than a shard holds, null included, is dealt out row by row, equal rows too; the rank of a
+    text among those of its id then gives the order across shards. Ranks are places in a sort
+    by ranges of the texts' first bytes, in which equal texts count once.
+    """
+    crowd = keep(sizes.where(F.col("bytes") > SHARD_BYTES).select(F.col("doc_id").alias("id")), "crowd")
+    same = rows["doc_id"].eqNullSafe(crowd["id"])
+    usual = rows.join(crowd, same, "left_anti").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
+    # Numbers of rows in files: a task that runs again deals alike.
+    busy = keep(rows.join(crowd, same, "left_semi"), "crowded")
+    number = F.xxhash64(F.monotonically_increasing_id())
+    dealt = busy.select("doc_id", "text", F.pmod(number, F.lit(shards)).cast("int").alias("shard"), F.sha2("text", 256).alias("sha"))
+    texts = busy.select("doc_id", "text").distinct()
+    texts = texts.repartitionByRange(shards, "doc_id", F.substring("text", 1, RANGE_BYTES)).sortWithinPartitions("text")
+    ranks = keep(texts.select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("of"), F.monotonically_increasing_id().alias("rank")), "ranks")
+    found = dealt["doc_id"].eqNullSafe(ranks["id"]) & dealt["sha"].eqNullSafe(ranks["of"])
+    ranked = keep(dealt.join(ranks, found, "left").select("doc_id", "text", "shard", "rank"), "ranked")
+    return usual.withColumn("rank", F.lit(0).cast("long")).unionByName(ranked)
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept (the text left, words joined by a space) and removed
     spans (in words, end exclusive) of every row.
 
     Earlier means a smaller id, or an earlier place in the same document. Rows that share
-    an id are documents of their own, ordered by text; rows without an id come last. Texts
-    of fewer than WINDOW words, empty and null ones lose nothing. An empty table gives no
+    an id are documents of their own, ordered by text, however many they are; rows without
+    an id come last. Texts of fewer than WINDOW words, empty and null ones lose nothing. An empty table gives no
     rows; other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), utf8(text).alias("text"))
-    size = text_bytes(docs, text)
-    shards, buckets = pieces_of(size, SHARD_BYTES), pieces_of(size, BUCKET_BYTES)
+    sizes = rows.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    facts = sizes.agg(F.sum("bytes").alias("all"), F.max("bytes").alias("most")).first()
+    shards, buckets = pieces_of(facts["all"] or 0, SHARD_BYTES), pieces_of(facts["all"] or 0, BUCKET_BYTES)
+    if (facts["most"] or 0) > SHARD_BYTES:
+        rows = in_shards(rows, sizes, shards)
+    else:
+        rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).withColumn("rank", F.lit(0).cast("long"))
     # The same shuffled shards feed three of the moves: Spark reuses the exchange.
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).groupBy("shard")
+    rows = rows.groupBy("shard")
     anchors = rows.applyInArrow(_name_anchors(buckets), ANCHORS)
     recurring = anchors.groupBy("bucket").applyInArrow(recurring_anchors, "shard int, anchors binary")
     windows = rows.cogroup(recurring.groupBy("shard")).applyInArrow(_locate_windows(buckets), WINDOWS)
