@@ -28,10 +28,9 @@ SAMPLE = 16_384
 LEAF = 128
 SEED = 7
 
-#: Part of all rows, and least number, that a query's leaves hold together, as the sample
-#: tells. Vectors without structure need a large part; clustered ones far less.
-SHARE = 0.55
-LEAST = 2_000
+#: Part of all rows that a query's leaves hold together, as the sample tells, at every size.
+#: Vectors without structure need a large part; clustered ones far less.
+SHARE = 0.75
 
 #: Rows of a leaf, and queries, that meet in one task.
 LEAF_ROWS = 4_096
@@ -209,7 +208,6 @@ def nearest(
     vec_id: str = "vec_id",
     vector: str = "embedding",
     share: float = SHARE,
-    least: int = LEAST,
     trees: int = TREES,
     sample: int = SAMPLE,
 ) -> DataFrame:
@@ -219,7 +217,8 @@ def nearest(
     own id is no candidate. Vectors that are null, empty, zero or not finite throughout,
     vectors without an id, and vectors of another length than most (the longer of equals)
     take no part; repeated rows count once, and an id with several vectors by the nearest.
-    Where nothing is left the result is empty.
+    Where nothing is left the result is empty. Other columns are ignored. Fewer than k are found
+    only where the leaves of a query hold fewer.
     """
     rows = vectors.where(usable(vector) & F.col(vec_id).isNotNull())
     rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vector"), queries.alias("asks"))
@@ -233,9 +232,8 @@ def nearest(
     same = Window.partitionBy("vector").orderBy("vec_id")
     points = keep(rows.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).select("vec_id", "vector"), "points")
     forest = learn(points, sample, trees)
-    total = points.count()
     # As leaves of several trees overlap, the part they cover is smaller than their sum.
-    wanted = forest.size * overlap_sum(max(share, least / total), trees)
+    wanted = forest.size * overlap_sum(share, trees)
 
     kind = points.schema["vector"].dataType.simpleString()
     placed = points.mapInArrow(_with_leaves(forest), f"tree int, leaf int, vec_id long, vector {kind}")

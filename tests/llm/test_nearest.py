@@ -36,6 +36,33 @@ def test_query_recall_and_exact_scores(spark):
     assert all(s == pytest.approx(np.linalg.norm(points[q] - points[i]), abs=1e-12) for q, own in got.items() for i, s in own)
 
 
+@pytest.mark.parametrize("n", [1_200, 4_000])
+def test_recall_without_structure_and_rows_read(spark, n):
+    """Random directions in 64 dimensions: hardly anything tells near from far."""
+    rng = np.random.default_rng(n)
+    points = rng.normal(size=(n, 64))
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    rows = list(enumerate(points.tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want, got = truth(rows, 40), by_query(ann_forest.nearest(df, F.col("vec_id") % 40 == 0))
+    hits = [len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 10 for q in want]
+    # Not all rows are read, so not all neighbours are found.
+    assert 0.9 <= np.mean(hits) < 1
+    forest = ann_forest.Forest(points)
+    leaves, wanted = forest.leaves(points), forest.size * ann_forest.overlap_sum(ann_forest.SHARE, ann_forest.TREES)
+    read = [np.mean(np.any([leaves[:, t] == leaf for t, leaf in forest.probe(points[q], wanted)], axis=0)) for q in range(0, n, 200)]
+    assert 0.6 < np.mean(read) < 0.85
+
+
+def test_clustered_vectors_need_a_small_share(spark):
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(60, 32)) * 4
+    rows = [(i, (middles[i % 60] + rng.normal(size=32) * 0.5).tolist()) for i in range(6_000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want, got = truth(rows, 50), by_query(ann_forest.nearest(df, F.col("vec_id") % 50 == 0, share=0.1))
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 10 for q in want]) >= 0.9
+
+
 def test_hot_vector_in_parts_is_exact_over_all_leaves(spark, monkeypatch):
     monkeypatch.setattr(ann_forest, "LEAF_ROWS", 64)
     monkeypatch.setattr(ann_forest, "LEAF_QUERIES", 4)
