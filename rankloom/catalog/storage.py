@@ -52,35 +52,35 @@ def csv_inferred(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "column string, type string, n_rows bigint")
 
 
-def _damaged(spark: SparkSession, folder: str) -> DataFrame:
+def _damaged(ratings: DataFrame) -> DataFrame:
     """Lines of ratings; by line number some lack a field, some have an id that is none."""
     user = F.when(F.col("line_no") == 3, F.concat(F.lit("x"), "userId")).otherwise(F.col("userId").cast("string"))
     time = F.when(F.col("line_no") == 4, F.lit("late")).otherwise(F.col("timestamp").cast("string"))
     whole = F.concat_ws(",", user, F.col("movieId").cast("string"), F.col("rating").cast("string"), time)
     short = F.concat_ws(",", user, F.col("movieId").cast("string"))
-    return binding.ratings(spark, folder).select(F.when(F.col("line_no") == 2, short).otherwise(whole).alias("line"))
+    return ratings.select(F.when(F.col("line_no") == 2, short).otherwise(whole).alias("line"))
 
 
-def _records(spark: SparkSession, folder: str) -> quarantine.Records:
+def _records(spark: SparkSession, ratings: DataFrame) -> quarantine.Records:
     path = fresh(spark)
-    _damaged(spark, folder).write.text(path)
+    _damaged(ratings).write.text(path)
     return quarantine.read_records(spark, path, schemas.RATINGS, header=False)
 
 
 @query
 def quarantine_report(spark: SparkSession, folder: str) -> DataFrame:
-    return _records(spark, folder).report()
+    return _records(spark, binding.ratings(spark, folder)).report()
 
 
 @query
 def quarantined_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return _records(spark, folder).bad
+    return _records(spark, binding.ratings(spark, folder)).bad
 
 
 def _written(spark: SparkSession, folder: str) -> str:
     path = fresh(spark)
-    ratings, items = binding.ratings(spark, folder), binding.items(spark, folder)
-    feature_plan.run(ratings, items, path, CONFIG, quarantined=_records(spark, folder).bad)
+    ratings, items = stage(binding.ratings(spark, folder), "bound"), binding.items(spark, folder)
+    feature_plan.run(ratings, items, path, CONFIG, quarantined=_records(spark, ratings).bad, staged=True)
     return path
 
 

@@ -31,10 +31,13 @@ class FeatureTables:
         return distributions(self.users, self.items)
 
 
-def build(ratings: DataFrame, items: DataFrame, config: FeatureConfig = FeatureConfig()) -> FeatureTables:
+def build(
+    ratings: DataFrame, items: DataFrame, config: FeatureConfig = FeatureConfig(), *, staged: bool = False
+) -> FeatureTables:
     """Compose the plan.
 
-    Ratings move once: filtered, shuffled by user while they are still narrow,
+    Ratings are staged first unless they are ``staged`` already: they are read three times, and
+    may be dear to compute. Then they move once: filtered, shuffled by user while they are still narrow,
     split, and written as a stage table. The files then hold whole histories, so
     the sums per user that follow are nearly finished before their shuffle. User and
     item tables carry features and index in one row, and interactions meet two joins
@@ -46,6 +49,8 @@ def build(ratings: DataFrame, items: DataFrame, config: FeatureConfig = FeatureC
     ``max_group_rows`` rows are no part of the buckets; their few users are attached apart.
     """
     ratings = ratings.select(*schemas.RATINGS.names, *config.tie_columns)
+    if not staged:
+        ratings = stage(ratings, "ratings")
     per_user, per_item = stage_all(
         user_counts=key_counts(ratings, "userId"), item_counts=key_counts(ratings, "movieId")
     )
@@ -127,9 +132,12 @@ def run(
     *,
     checked: bool = True,
     quarantined: DataFrame | None = None,
+    staged: bool = False,
 ) -> dict[str, object]:
     """Write all outputs of the plan below ``output`` and return the manifest.
 
+    Ratings are staged once for the checks and the plan, unless they are ``staged`` already.
+
     With ``checked`` the raw tables must keep the loading contract first. ``quarantined``
     (line, reason) are the records that could not be read (``sources/quarantine.py``): they
     are written below quarantine/, one folder per reason, and counted in the manifest.
@@ -138,9 +146,11 @@ def run(
     user_features/, item_features/, baseline_distributions/, feature_manifest/
     """
     spark = ratings.sparkSession
-    found = check(ratings, items) if checked else {}
     with scope(spark):
-        facts = _write(build(ratings, items, config), output)
+        if not staged:
+            ratings = stage(ratings, "ratings")
+        found = check(ratings, items) if checked else {}
+        facts = _write(build(ratings, items, config, staged=True), output)
     if quarantined is not None:
         one = F.count(F.lit(1))
         facts |= write_table(quarantined, f"{output}/quarantine", partition_by=["reason"], counts={"n_quarantined": one})
