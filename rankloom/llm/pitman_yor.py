@@ -2,8 +2,8 @@
 
 Every preceding word is a restaurant whose customers are the words that follow it, and all of
 these restaurants share one parent, whose customers are their tables; the parent's own base is
-uniform over the known words and one unknown word. Seatings are sampled by Gibbs steps: a
-customer leaves and sits down again, at a table in proportion to its customers less the
+uniform over the known words and one unknown word. Seatings are sampled by sweeps: all customers
+of a dish leave and sit down again in turn, at a table in proportion to its customers less the
 discount, or at a new one in proportion to what the parent predicts. Scores are averages over
 the sampled seatings of the predicted probabilities.
 
@@ -18,6 +18,7 @@ are shuffled once and read twice: Spark reuses the exchange. Nothing but crowded
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,13 @@ BATCH_BYTES = 24 << 20
 DISCOUNT, CONCENTRATION = 0.75, 1.0
 PARENT_DISCOUNT, PARENT_CONCENTRATION = 0.75, 1.0
 
-#: Seatings that are averaged, and Gibbs steps per dish before each of them.
+#: Seatings that are averaged, and sweeps over all customers of every dish before each of them.
 SAMPLES, STEPS = 3, 3
 
+#: Customers up to which a dish's tables are drawn from their exact chances, numbers weighed at a
+#: time, and new seatings offered to every larger dish in a sweep.
+ENUMERATED, SEATS, TRIES = 256, 1 << 20, 4
+
 #: Words are told apart by 56 bits of XXH3: among V words the expected number of pairs that
 #: share them is V * V / 2**57, 0.0001 for 4 million words.
 WORD_BYTES = 7
@@ -222,7 +227,8 @@ def _ask(crowded: Crowded):
 
 
 def reseated(customers: np.ndarray, weight: np.ndarray, tables: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """One Gibbs step of every dish: a customer leaves and sits down again.
+    """One customer of every dish leaves and sits down again: the plain step whose chances
+    :class:`Sittings` keeps with whole sweeps.
 
     customers: per dish, two at least; weight: of a new table; tables: customers at each table,
     0 for none, changed in place. Returns the number of tables.
@@ -242,6 +248,96 @@ def reseated(customers: np.ndarray, weight: np.ndarray, tables: np.ndarray, disc
     return out
 
 
+@cache
+def log_stirling(discount: float) -> np.ndarray:
+    """Logarithms of the weights with which n customers sit at t tables, n and t up to ENUMERATED."""
+    size = ENUMERATED + 1
+    out = np.full((size, size), -np.inf)
+    out[1, 1] = 0.0
+    t = np.arange(1, size)
+    for n in range(1, size - 1):
+        free = np.log(np.where(n > discount * t, n - discount * t, 1.0))
+        out[n + 1, 1:] = np.logaddexp(out[n, :-1], np.where(t <= n, out[n, 1:] + free, -np.inf))
+    return out
+
+
+class Sittings:
+    """Sampled numbers of tables of many dishes, which start with one table each.
+
+    A sweep seats all customers of every dish again. Dishes of up to ENUMERATED customers draw
+    their number of tables from its exact chances. Larger ones draw what a new seating would be:
+    as many further tables as a Poisson variable of mean weight / discount says, each of a size
+    after Sibuya's law, thinned by size, and the rest of the customers at the largest table; a
+    Metropolis-Hastings step takes it or not, which keeps the exact chances.
+    """
+
+    def __init__(self, customers: np.ndarray, discount: float):
+        self.customers, self.discount = customers, discount
+        self.tables = np.ones(len(customers), np.int64)
+        order = np.argsort(customers, kind="stable")
+        few, self.large = np.split(order, [np.searchsorted(customers[order], ENUMERATED, "right")])
+        sizes = customers[few]
+        edges = np.append(np.flatnonzero(np.diff(sizes, prepend=0)), len(few))
+        #: Dishes with the same number of customers, in parts of bounded size.
+        self.alike = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            step = max(1, SEATS // int(sizes[a]))
+            self.alike += [few[i : min(i + step, b)] for i in range(a, b, step)]
+        #: Per large dish: customers at the largest table, and other tables as large.
+        self.largest, self.ties = customers[self.large].astype(float), np.zeros(len(self.large))
+
+    def sweep(self, weight: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """All customers leave and sit down again; the number of tables of every dish.
+
+        weight: of a new table, for each dish.
+        """
+        for some in self.alike:
+            n = int(self.customers[some[0]])
+            chances = log_stirling(self.discount)[n, 1 : n + 1] + np.log(weight[some])[:, None] * np.arange(1, n + 1)
+            chances = np.cumsum(np.exp(chances - chances.max(axis=1, keepdims=True)), axis=1)
+            drawn = rng.random(len(some)) * chances[:, -1]
+            self.tables[some] = np.minimum((chances <= drawn[:, None]).sum(axis=1), n - 1) + 1
+        mean = weight[self.large] / self.discount
+        ends = np.flatnonzero(np.diff(np.cumsum(mean + 1) // SEATS, append=-1)) + 1
+        for a, b in zip(np.append(0, ends), ends, strict=False):
+            for _ in range(TRIES):
+                self._seat_large(slice(a, b), mean[a:b], rng)
+        return self.tables.copy()
+
+    def _seat_large(self, part: slice, mean: np.ndarray, rng: np.random.Generator) -> None:
+        dish, largest, ties = self.large[part], self.largest[part], self.ties[part]
+        d, n = self.discount, self.customers[dish].astype(float)
+        # Sizes are thinned by a power of 1 - e, which no chance given their sum depends on, so
+        # that the rest is about 1 / e, as large as the largest of the others.
+        low, high = np.full(len(dish), -45.0), np.zeros(len(dish))
+        for _ in range(40):
+            e = np.exp((low + high) / 2)
+            over = mean * d * (1 - e) * e ** (d - 1) + 1 / e > n
+            low, high = np.where(over, np.log(e), low), np.where(over, high, np.log(e))
+        thin = np.log1p(-np.minimum(np.exp(high), 1 - 1e-9))
+        more = rng.poisson(mean)
+        # Sibuya's law: trials up to the first success, whose chance is a beta variable.
+        chance = np.clip(rng.beta(d, 1 - d, int(more.sum())), 1e-15, 1 - 1e-15)
+        size = np.maximum(np.ceil(np.log1p(-rng.random(len(chance))) / np.log1p(-chance)), 1.0)
+        of = np.repeat(np.arange(len(dish)), more)
+        stays = np.log1p(-rng.random(len(size))) < size * thin[of]
+        of, size = of[stays], size[stays]
+        rest = n - np.bincount(of, size, len(dish))
+        larger = np.bincount(of, size > rest[of], len(dish))
+        as_large = np.bincount(of, size == rest[of], len(dish))
+        # The rest sits at the largest table. Its size was not drawn: the chance of that is what
+        # a seating has over the others; Sibuya's is this power within 1 / size**2.
+        possible = (rest >= 1) & (larger == 0)
+
+        def merit(largest, ties):
+            return -(1 + d) * np.log(largest - d / 2) + largest * thin - np.log1p(ties)
+
+        new = np.where(possible, rest, 1.0)
+        moved = possible & (np.log1p(-rng.random(len(dish))) < merit(new, as_large) - merit(largest, ties))
+        self.tables[dish[moved]] = 1 + np.bincount(of, minlength=len(dish))[moved]
+        largest[moved], ties[moved] = rest[moved], as_large[moved]
+
+
 def shrunk(customers: np.ndarray, tables: np.ndarray, discount: float) -> np.ndarray:
     """Customers less the discount of every table; 0 for what was never served."""
     return np.where(customers > 0, customers - discount * tables, 0.0)
@@ -268,17 +364,14 @@ class Seating:
         base = (PARENT_CONCENTRATION + PARENT_DISCOUNT * (known > 0).sum()) / ((known > 0).sum() + 1)
         parent = (shrunk(known, known > 0, PARENT_DISCOUNT) + base) / (PARENT_CONCENTRATION + known.sum())
         rng = np.random.Generator(np.random.Philox(key=shard))
-        # Counts beyond 32 bits are seated as if they were at that limit.
-        seated = np.minimum(self.customers[dish], np.iinfo(np.int32).max)
-        seats = np.zeros((len(dish), 1 + SAMPLES * STEPS), np.int32)
-        seats[:, 0] = seated
+        sittings = Sittings(self.customers[dish], DISCOUNT)
         tables = served.astype(np.int64)
-        self.tables = np.zeros((SAMPLES, len(self.pairs)), np.uint16)
+        self.tables = np.zeros((SAMPLES, len(self.pairs)), np.uint32)
         for sample in range(SAMPLES):
             for _ in range(STEPS):
                 room = np.bincount(self.pairs.first, tables, n) * self.parts
                 weight = (CONCENTRATION + DISCOUNT * room[self.pairs.first[dish]]) * parent[self.word[dish]]
-                tables[dish] = reseated(seated, weight, seats, DISCOUNT, rng)
+                tables[dish] = sittings.sweep(weight, rng)
             self.tables[sample] = tables
         #: Per sample and restaurant.
         self.rooms = np.stack([np.bincount(self.pairs.first, t, n) for t in self.tables])
@@ -319,10 +412,9 @@ def parent_tables(dest: int, customers: np.ndarray) -> np.ndarray:
     one weighs about the discount under the uniform base."""
     rng = np.random.Generator(np.random.Philox(key=dest))
     tables, dish = (customers > 0).astype(np.int64), np.flatnonzero(customers > 1)
-    seats = np.zeros((len(dish), 1 + STEPS), np.int64)
-    seats[:, 0] = customers[dish]
+    sittings = Sittings(customers[dish], PARENT_DISCOUNT)
     for _ in range(STEPS):
-        tables[dish] = reseated(customers[dish], np.full(len(dish), PARENT_DISCOUNT), seats, PARENT_DISCOUNT, rng)
+        tables[dish] = sittings.sweep(np.full(len(dish), PARENT_DISCOUNT), rng)
     return tables
 
 

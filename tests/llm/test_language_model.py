@@ -149,3 +149,44 @@ def test_pairs_in_exact_order():
     assert [want[i] for i in pairs.of] == list(zip(v.tolist(), w.tolist(), strict=True))
     assert pairs.sums(np.ones(4_000, np.int64)).sum() == 4_000
     assert (model.unpacked(model.packed(w)) == w).all()
+
+
+def _exact_tables(customers, weight, d):
+    """Chances of 1, 2, ... tables: generalized Stirling numbers times powers of the weight."""
+    row = [1.0]
+    for n in range(1, customers):
+        row = [((row[t] * (n - d * (t + 1)) if t < n else 0) + (row[t - 1] if t else 0)) / n for t in range(n + 1)]
+    chances = np.log(row) + np.log(weight) * np.arange(1, len(row) + 1)
+    chances = np.exp(chances - chances.max())
+    return chances / chances.sum()
+
+
+@pytest.mark.parametrize("enumerated", [256, 3])
+@pytest.mark.parametrize(("customers", "weight", "d"), [(4, 0.3, 0.75), (40, 0.6, 0.75), (40, 3.0, 0.5), (200, 6.0, 0.75), (200, 40.0, 0.75)])
+def test_sweeps_keep_exact_chances(monkeypatch, customers, weight, d, enumerated):
+    """Both with enumerated chances and with seatings offered."""
+    monkeypatch.setattr(model, "ENUMERATED", enumerated)
+    model.log_stirling.cache_clear()
+    n, rng = 30_000, np.random.default_rng(8)
+    sittings = model.Sittings(np.full(n, customers), d)
+    for _ in range(20):
+        tables = sittings.sweep(np.full(n, weight), rng)
+    found = np.bincount(tables, minlength=customers + 1)[1:] / n
+    model.log_stirling.cache_clear()
+    assert np.abs(found - _exact_tables(customers, weight, d)).max() < 0.02
+
+
+def test_every_customer_of_a_large_dish_is_seated_again():
+    """A few sweeps give frequent pairs their many tables; single steps left them at four at most."""
+    tables = model.Sittings(np.full(200, 1_000_000), 0.75)
+    weight, rng = np.full(200, 30.0), np.random.default_rng(5)
+    for _ in range(model.STEPS):
+        found = tables.sweep(weight, rng)
+    assert 35 < found.mean() < 45
+
+
+@pytest.mark.parametrize("weight", [100.0, 800.0, 4_000.0])
+def test_large_dishes_leave_their_first_table(weight):
+    """Whatever the weight of a table, a sweep moves a fair part of the large dishes."""
+    dishes, rng = model.Sittings(np.full(100, 10_000), 0.75), np.random.default_rng(6)
+    assert (dishes.sweep(np.full(100, weight), rng) > 1).mean() > 0.3
