@@ -4,7 +4,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from rankloom.operators import splitting
 from rankloom.operators.splitting import temporal_split
 
 SCHEMA = "userId int, movieId int, rating float, timestamp bigint, line int"
@@ -89,3 +91,14 @@ def test_large_users_without_kept_rows(spark):
     _, df = history(spark, 6, {1: 5})
     counts = spark.createDataFrame([(1, 5), (2, 10**9)], "userId int, _n bigint")
     assert temporal_split(df, order=ORDER, user_counts=counts, max_group_rows=100).count() == 5
+
+
+def test_small_ranges_of_long_histories_share_partitions(spark, monkeypatch):
+    """Files follow the rows, not the size of a range; no range is longer than asked for."""
+    staged, keep = {}, splitting.stage
+    monkeypatch.setattr(splitting, "stage", lambda df, name: staged.setdefault(name, keep(df, name)))
+    rows = spark.range(6_000).select((F.col("id") % 3).cast("int").alias("userId"), F.lit(1).alias("movieId"), (F.col("id") % 50).alias("timestamp"))
+    got = splitting.temporal_split(rows, max_group_rows=20).groupBy("userId", "split").count().collect()
+    assert {(r["userId"], r["split"]): r["count"] for r in got} == {(u, s): n for u in range(3) for s, n in (("train", 1_600), ("val", 200), ("test", 200))}
+    assert len(staged["ranges"].inputFiles()) <= 2
+    assert staged["ranges"].groupBy("_range").count().agg(F.max("count")).first()[0] <= 10
