@@ -32,7 +32,7 @@ class FeatureTables:
 
 
 def build(
-    ratings: DataFrame, items: DataFrame, config: FeatureConfig = FeatureConfig(), *, staged: bool = False
+    ratings: DataFrame, items: DataFrame, config: FeatureConfig = FeatureConfig(), *, staged: bool = False, keep_ties: bool = True
 ) -> FeatureTables:
     """Compose the plan.
 
@@ -47,6 +47,8 @@ def build(
     buckets by user: sums per user and the user join take no shuffle, and a shuffle by item is
     the only one that rows with features take. Histories of more than
     ``max_group_rows`` rows are no part of the buckets; their few users are attached apart.
+
+    Tie columns order histories; without ``keep_ties`` they end with the split.
     """
     ratings = ratings.select(*schemas.RATINGS.names, *config.tie_columns)
     if not staged:
@@ -74,6 +76,8 @@ def build(
         max_group_rows=config.max_group_rows,
         buckets=buckets,
     )
+    if not keep_ties:
+        usual, large = (part if part is None else part.drop(*config.tie_columns) for part in (usual, large))
     if buckets is None:
         histories = stage(usual if large is None else usual.unionByName(large), "histories")
     else:
@@ -150,7 +154,7 @@ def run(
         if not staged:
             ratings = stage(ratings, "ratings")
         found = check(ratings, items) if checked else {}
-        facts = _write(build(ratings, items, config, staged=True), output)
+        facts = _write(build(ratings, items, config, staged=True, keep_ties=False), output)
     if quarantined is not None:
         one = F.count(F.lit(1))
         facts |= write_table(quarantined, f"{output}/quarantine", partition_by=["reason"], counts={"n_quarantined": one})

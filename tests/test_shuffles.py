@@ -7,7 +7,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.catalog import queries
+from rankloom.catalog import queries, storage
 from rankloom.config import FeatureConfig
 from rankloom.operators import sampling, scoring
 from rankloom.plans import feature_plan
@@ -95,3 +95,34 @@ def test_scored_candidates_lie_by_user(spark):
     ranks = scoring.mf_score(pairs, factors, factors).groupBy("user_idx").agg(F.max("score"))
     # Two exchanges a join, none for the groups.
     assert plan_text(ranks).count("Exchange ") == 4
+
+
+@pytest.mark.usefixtures("no_broadcast")
+def test_ratings_are_narrow_where_they_are_joined(spark, folder):
+    """Casts and calendar are computed before lines move to their orders."""
+    bound = queries.binding.ratings(spark, folder)
+    moved = [line for line in plan_text(bound.select("userId", "movieId", "rating", "timestamp")).split("+- Exchange") if "Scan" in line]
+    assert len(moved) == 2 and all("Project" in m for m in moved)
+    above = plan_text(bound).split("Exchange")[0]
+    assert "l_shipdate" not in above and "l_quantity" not in above
+
+
+def test_written_histories_leave_ties_behind(spark, folder, tmp_path, monkeypatch):
+    staged = {}
+    keep = feature_plan.stage
+    monkeypatch.setattr(feature_plan, "stage", lambda df, name, **k: staged.setdefault(name, keep(df, name, **k)))
+    items = spark.createDataFrame([(m, f"Item {m}", "Noir|War") for m in range(31)], "movieId int, title string, genres string")
+    config = FeatureConfig(3, 2, tie_columns=queries.binding.TIE_COLUMNS)
+    feature_plan.run(queries.binding.ratings(spark, folder), items, str(tmp_path / "out"), config, checked=False)
+    assert set(queries.binding.TIE_COLUMNS) <= set(staged["ratings"].columns)
+    assert not set(queries.binding.TIE_COLUMNS) & set(staged["histories"].columns)
+
+
+def test_lines_are_stored_compressed(spark, folder, tmp_path, monkeypatch):
+    """Lines of ratings are written packed and read back whole."""
+    ratings = queries.binding.ratings(spark, folder)
+    monkeypatch.setattr(storage, "fresh", lambda _: str(tmp_path / "lines"))
+    parsed = storage._records(spark, ratings)
+    assert parsed.good.count() + parsed.bad.count() == ratings.count()
+    files = [f.name for f in (tmp_path / "lines").glob("part-*")]
+    assert files and all(f.endswith(".gz") for f in files)
