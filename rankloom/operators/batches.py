@@ -30,9 +30,10 @@ def training_batches(labelled: DataFrame, batch_rows: int = BATCH_ROWS, seed: in
     runs = counted.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), last_run)))
     runs = runs.withColumn(
         "_n", F.least(F.lit(COPY_RUN).cast("bigint"), F.col("_n") - F.col("_run") * COPY_RUN)
-    ).withColumn("_key", seeded_hash(seed, "user_idx", "item_idx", "int(label)", "_run"))
+    )
+    key = seeded_hash(seed, "user_idx", "item_idx", "int(label)", "_run")
     order = ["_key", "user_idx", "item_idx", "label", "_run"]
-    placed = prefix_sums(runs, order, ["_n"], F.shiftright("_key", KEY_BITS - bits))
+    placed = prefix_sums(runs, order, ["_n"], F.shiftright(key, KEY_BITS - bits), derived={"_key": key})
     copies = placed.withColumn(
         "_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1))
     )

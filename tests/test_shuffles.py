@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rankloom.catalog import queries, storage
 from rankloom.config import FeatureConfig
-from rankloom.operators import sampling, scoring
+from rankloom.operators import batches, sampling, scoring
 from rankloom.plans import feature_plan
 from tests.conftest import RATINGS, plan_text
 
@@ -107,6 +107,15 @@ def test_ratings_are_narrow_where_they_are_joined(spark, folder):
     assert "l_shipdate" not in above and "l_quantity" not in above
 
 
+def test_sort_keys_of_batches_do_not_move(spark):
+    """The shuffle key follows from the row: it is computed where rows have come together, as
+    sums of the cells before are."""
+    rows = spark.createDataFrame([(u, i, float(u % 2)) for u in range(20) for i in range(30)], "user_idx int, item_idx int, label float")
+    plan = plan_text(batches.training_batches(rows.repartition(3), 50, cell_rows=100))
+    exchanges = [part for part in plan.split("Exchange hashpartitioning(_cell")[1:]]
+    assert exchanges and not any("_key" in part.split("HashAggregate")[0].split("Generate")[0] for part in exchanges)
+
+
 def test_written_histories_leave_ties_behind(spark, folder, tmp_path, monkeypatch):
     staged = {}
     keep = feature_plan.stage
