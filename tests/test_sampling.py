@@ -130,6 +130,36 @@ def test_long_walks_in_stretches(spark, stretch):
     assert cut.exceptAll(plain).isEmpty()
 
 
+def test_only_long_users_walk_in_stretches(spark):
+    """A long catalogue alone is no reason for joins and a second reading of the pairs."""
+    _, some = pairs_of(spark, 9, n_items=900, n=300)
+    assert "Join" not in plan_text(sampling.negative_samples(some, 900, 4, max_group_rows=200))
+    hot = spark.range(180).select(F.lit(99).alias("user_idx"), (F.col("id") * 5).cast("int").alias("item_idx"))
+    df = stage(some.unionByName(hot), "pairs")
+    assert [tuple(r) for r in sampling.long_users(df, ["user_idx"], 100).collect()] == [(99,)]
+    assert sampling.long_users(df, ["user_idx"], 180) is None
+    cut, plain = (sampling.negative_samples(df, 900, 4, max_group_rows=most) for most in (200, 5_000_000))
+    assert plain.exceptAll(cut).isEmpty() and cut.exceptAll(plain).isEmpty()
+
+
+def test_long_walks_where_partitions_are_unlike(spark):
+    """Nothing is broadcast, and the parts of a union end in unlike numbers of partitions."""
+    rows = [(u, i * 7 % 900) for u in range(3_000) for i in range(u % 9 + 1)]
+    df = stage(spark.createDataFrame(rows, PAIRS).repartition(8), "pairs")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        demand = df.distinct().groupBy("user_idx").agg(F.count("*").alias("n_excluded"), (F.count("*") * 4).alias("want"))
+        drawn = sampling.sample_unseen(df.distinct(), demand, 900, max_group_rows=300)
+        assert drawn.count() == 4 * len(set(rows)) and drawn.join(df, ["user_idx", "item_idx"]).isEmpty()
+        assert sampling.negative_samples(df, 900, 4, max_group_rows=28).where("label = 0").count() == 4 * len(set(rows))
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def test_draws_are_spread(spark):
     users = spark.range(2_000).select(F.col("id").cast("int").alias("user_idx"), F.lit(0).alias("item_idx"))
     counts = [r["count"] for r in sampling.negative_samples(users, 101, 5).where("label = 0").groupBy("item_idx").count().collect()]
