@@ -42,6 +42,27 @@ def test_auc_of_saturated_scores_is_exact(spark):
     assert row["accuracy"] == pytest.approx(((score[:-1] > 0.5) == (label[:-1] > 0.5)).mean())
 
 
+def test_metrics_of_odd_labels_and_scores(spark):
+    """Missing and fractional labels, both zeros and no number as a score, in cells of one score."""
+    rows = [(None, 0.3), (1.0, 0.3), (None, 0.9), (0.75, None), (0.0, float("nan")), (1.0, -0.0), (0.0, 0.0), (0.25, 0.8)]
+    df = spark.createDataFrame(rows, "label double, score double")
+    row = metrics.binary_metrics(df, cell_rows=1).first()
+    # Pairs in order: 0.3 over the zero, and the tied zeros half, of two positives and three negatives.
+    assert (row["n"], row["accuracy"], row["auc"]) == (8, pytest.approx(1 / 7), pytest.approx(1.5 / 6))
+    # Labels that are missing at a score with labels count as negative ones.
+    losses = [-np.log(0.3) - np.log(0.7), 0.0, -np.log(1e-7), -np.log(1e-7), -np.log(1 - 1e-7), -0.25 * np.log(0.8) - 0.75 * np.log(0.2)]
+    assert row["log_loss"] == pytest.approx(sum(losses) / 7, rel=1e-6)
+    assert metrics.binary_metrics(df.where("label IS NULL")).first().asDict() == {"n": 2, "log_loss": None, "accuracy": 0.0, "auc": None}
+
+
+def test_scores_move_once_and_packed(spark):
+    """Counts are not grouped by score across tasks: stretches leave one row each."""
+    df = spark.range(0, 40_000, 1, 4).select((F.col("id") % 3 == 0).cast("float").alias("label"), (F.rand(3)).alias("score"))
+    counts = metrics.score_counts(df, 5_000)
+    assert counts.count() == 4
+    assert 4 <= metrics._ranked(counts, 5_000).count() <= 16
+
+
 def test_metrics_of_no_rows(spark):
     row = metrics.binary_metrics(spark.createDataFrame([], "label double, score double")).first()
     assert row.asDict() == {"n": 0, "log_loss": None, "accuracy": None, "auc": None}
